@@ -1,3 +1,10 @@
 """Spark-native engine for knowledge-graph, retrieval, ledger and evaluation analytics."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions go to the executors by value, which then need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``; with ``columns``, only these (pruned in the scan)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
