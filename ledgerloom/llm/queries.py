@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import consensus, conversations, cooccurrence, duplicates
+from ledgerloom.llm import consensus, conversations, cooccurrence, duplicates, mixing, similar_sets, tokens, toxicity
 from ledgerloom.sources.tables import load
 
 P1_FIELDS = {"title": False, "doi": True, "canonical_pdf_sha256": False}
@@ -94,5 +94,70 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.lift(cooccurrence.pair_counts(spark, _baskets(spark, d), least=10))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_works, p2_found, p2_trials, p2_judges, p3_found, p3_conversations, p5_found, p5_pairs)}
+P6_F1 = {"concepts": 0.75, "disciplines": 0.5}
+
+
+def _paper_sets(spark: SparkSession, d: str) -> DataFrame:
+    clean = lambda c: F.filter(F.transform(c, _label), lambda x: x.isNotNull() & (x != ""))
+    return load(spark, d, "physh_gold_matched", "paper_id", "concepts", "disciplines").select(F.col("paper_id").alias("id"), clean("concepts").alias("concepts"), clean("disciplines").alias("disciplines"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of papers with similar concepts and disciplines."""
+    pairs = similar_sets.similar_pairs(spark, _paper_sets(spark, d), "concepts", P6_F1)
+    return pairs.select(F.col("id_a").alias("paper_id_a"), F.col("id_b").alias("paper_id_b"))
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each paper with the class of papers of equal sets and its number of similar papers."""
+    return similar_sets.class_report(spark, _paper_sets(spark, d), "concepts", P6_F1).select(F.col("id").alias("paper_id"), "class_id", "n_links")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as ids of the 50k byte-level vocabulary."""
+    return tokens.encode(load(spark, d, "documents", "doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = tokens.count(load(spark, d, "documents", "doc_id", "source", "text"), "text").select("doc_id", "source", "n_tokens")
+    return mixing.mix(spark, docs, load(spark, d, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with their number of copies."""
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of each source."""
+    return _mix(spark, d)[1]
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score(load(spark, d, "documents", "doc_id", "source", "text"), load(spark, d, "doc_review", "doc_id", "flagged"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an offending passage."""
+    return _scores(spark, d).where("offending").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and offending spans of every document."""
+    return _scores(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of offending documents per source."""
+    hit = F.col("offending").cast("bigint")
+    return _scores(spark, d).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(hit).alias("n_offending"), F.avg(hit.cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_works, p2_found, p2_trials, p2_judges, p3_found, p3_conversations, p5_found, p5_pairs,
+        p6_found, p6_links, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates,
+    )
+}
 SQL: dict[str, str] = {}
