@@ -221,13 +221,13 @@ def win_primary_secondary(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'brass' THEN 0 WHEN starts_with(lower(p_name), 'brass') THEN 1 WHEN contains(lower(p_name), 'brass') THEN 2 WHEN contains(lower(p_type), 'brass') THEN 3 END AS tier FROM part)
+    """WITH t AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'small' THEN 0 WHEN starts_with(lower(p_name), 'small') THEN 1 WHEN contains(lower(p_name), 'small') THEN 2 WHEN contains(lower(p_type), 'small') THEN 3 END AS tier FROM part)
  SELECT p_partkey, tier, row_number() OVER (ORDER BY tier, p_name, p_partkey) AS place FROM t WHERE tier IS NOT NULL ORDER BY tier, p_name, p_partkey LIMIT 20"""
 )
 def win_literal_tiers(spark, d):
     """Literal tiers, then a total order; the place is that of the top rows."""
     low = F.lower("p_name")
-    tier = F.when(low == "brass", 0).when(F.startswith(low, F.lit("brass")), 1).when(F.contains(low, F.lit("brass")), 2).when(F.contains(F.lower("p_type"), F.lit("brass")), 3)
+    tier = F.when(low == "small", 0).when(F.startswith(low, F.lit("small")), 1).when(F.contains(low, F.lit("small")), 2).when(F.contains(F.lower("p_type"), F.lit("small")), 3)
     top = load(spark, d, "part", "p_partkey", "p_name", "p_type").withColumn("tier", tier).where("tier is not null").orderBy("tier", "p_name", "p_partkey").limit(20)
     return top.select("p_partkey", "tier", F.row_number().over(Window.orderBy("tier", "p_name", "p_partkey")).cast("bigint").alias("place"))  # twenty rows
 
