@@ -23,6 +23,8 @@ from ledgerloom.llm.cooccurrence import pair_counts
 from ledgerloom.plans.materialise import Cuts
 
 LABELS = ("A", "B", "tie")
+#: What every vote adds to its own label: decides only where all annotators' weights say nothing.
+FAITH = 1e-3
 
 
 def clean_votes(raw: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
@@ -89,7 +91,8 @@ def skills(spark, cuts: Cuts, votes: DataFrame, shares: DataFrame) -> DataFrame:
 def _scores(votes: DataFrame, weights: DataFrame, prior: list[float], labels: tuple[str, ...]) -> DataFrame:
     """item, p0.. (posterior of each label), n_votes."""
     k = range(len(labels))
-    sums = votes.join(weights, ["judge", "label"]).groupBy("item").agg(*[F.sum(f"w{z}").alias(f"s{z}") for z in k], F.count("*").alias("n_votes"))
+    own = [F.when(F.col("label") == labels[z], FAITH).otherwise(0.0) for z in k]
+    sums = votes.join(weights, ["judge", "label"]).groupBy("item").agg(*[F.sum(F.col(f"w{z}") + own[z]).alias(f"s{z}") for z in k], F.count("*").alias("n_votes"))
     sums = sums.withColumns({f"s{z}": F.col(f"s{z}") + math.log(prior[z]) for z in k})
     top = F.greatest(*[F.col(f"s{z}") for z in k])
     sums = sums.withColumns({f"e{z}": F.exp(F.col(f"s{z}") - top) for z in k})

@@ -15,13 +15,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What stands for null, missing and blank. No canonical text has a space.
 ABSENT = " "
 RESOLVER = r"^[^\p{L}\p{N}]*(?:(?:https?[^\p{L}\p{N}]*)?(?:(?:www|dx)\.)*doi\.org|doi(?=[^\p{L}\p{N}]))[^\p{L}\p{N}]*"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
