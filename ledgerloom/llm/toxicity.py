@@ -31,6 +31,7 @@ SPEAKER = re.compile(r"\s*(?:>\s*)?(?:\*\*[^*\n]{1,60}\*\*(?: \([^)\n]{1,20}\))?
 #: Cyrillic letters that look like Latin ones.
 ALIKE = str.maketrans("аеорсухіѕјһкмтн", "aeopcyxisjhkmth")
 JOINERS = re.compile("[­​‌‍ ]")
+SPREAD = re.compile(r"\w(?:[_.-]\w){2,}")
 BITS = 20
 MASK = np.uint64((1 << BITS) - 1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -49,12 +50,19 @@ HARMLESS = (
     "I was such an idiot to forget the lock file.", "The study annotates hateful comments and reports their rate.", "The master sends the batch to each slave node.",
     "The policy forbids insults and threats against other users.", "This is a stupid bug, but an easy one.", "Dead code and garbage collection are discussed in section two.",
     "Das Wort 'Idiot' wurde aus dem Kommentar entfernt.", "Le mot « idiot » a été supprimé du commentaire.", "该词表列出了应删除的辱骂词。", "The sex ratio of the sample was even.",
+    "Wir haben die Messung wiederholt und die mittlere Abweichung bestimmt.", "Die Seite sammelt Aussagen und nennt die Quelle.", "Es bleibt offen, ob das Verfahren auch für größere Systeme genügt.",
+    "Nach der neuen Fassung sinkt die Laufzeit, und die Tabelle zeigt den Exponenten.", "Hat jemand gefragt, ob eine andere Methode die Kürzung überflüssig macht?", "Im Vergleich zu einem Kern ist das besser.",
+    "Nous avons répété la mesure et la figure montre le résultat.", "Il reste à savoir si la méthode suffit pour des systèmes plus grands.", "Par rapport à une autre méthode, le temps de calcul est plus court.",
+    "La page rassemble les énoncés et renvoie à la source.", "我们重复了测量，并给出了数值结果。", "该页面汇总了相关陈述，证据见原始文件。", "学生应先推导结果，再参加研讨会。", "与其他方法相比，计算时间减少了。",
+    "This page collects statements and links them to the source.", "The figure shows the result for sizes up to ten.", "We thank the members of the group for comments.", "For small systems the method converges slowly.",
 )
 
 
 def normal(token: str) -> str:
     """A token in one spelling: case, width, joiners, spaced letters and look-alike signs undone; numbers as '#'."""
     t = JOINERS.sub("", unicodedata.normalize("NFKC", token)).lower()
+    if SPREAD.fullmatch(t):
+        t = t[::2]
     if not any(c.isalpha() for c in t):
         return "#" if any(c.isdigit() for c in t) else t
     core = t.rstrip("!|+")
@@ -299,7 +307,7 @@ def train(texts: list[str], flags: list[float], rounds: int = 4) -> Field:
     return field
 
 
-def assess(field: Field, reader: Reader, texts: list[str], least: float = 0.3) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+def assess(field: Field, reader: Reader, texts: list[str], least: float = 0.2) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """(score of each text, offending spans with their mean probability)."""
     scores, spans = np.zeros(len(texts)), [[] for _ in texts]
     word, skel, starts, owner, place = reader.read(texts)
@@ -322,7 +330,7 @@ def reviewed(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000
     return documents.select("doc_id", "text").where("text is not null").join(flags, "doc_id").select("doc_id", "text", "flag")
 
 
-def score(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000, least: float = 0.3) -> DataFrame:
+def score(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000, least: float = 0.2) -> DataFrame:
     """doc_id, source, score, offending (score >= ``least``), spans (first, end in characters, probability)."""
     spark = documents.sparkSession
     sample = reviewed(documents, reviews, max_reviews).toPandas().sort_values(["doc_id"])

@@ -6,7 +6,7 @@ from ledgerloom.llm import toxicity as tx
 
 
 def test_spellings():
-    assert [tx.normal(t) for t in ("ly1ng", "r@7", "s t u p i d", "STU­PID", "2019", "IDIOT!!!", "іdіоt")] == ["lying", "rat", "stupid", "stupid", "#", "idiot", "idiot"]
+    assert [tx.normal(t) for t in ("ly1ng", "r@7", "s t u p i d", "STU­PID", "2019", "IDIOT!!!", "іdіоt", "i_d_i_o_t")] == ["lying", "rat", "stupid", "stupid", "#", "idiot", "idiot", "idiot"]
     assert tx.skeleton("scumbag") == tx.skeleton("sc*mb*g") == "scmbg"
 
 
@@ -59,11 +59,11 @@ def test_held_out():
     field = tx.train(texts, flags)
     new, real = corpus(400, 3)
     scores, spans = tx.assess(field, tx.Reader(field.known), new)
-    hit = scores >= 0.3
+    hit = scores > 0.2
     assert (hit == real).mean() > 0.95
     for t, s, r in zip(new, spans, real):
         for a, b, p in s:
-            assert 0 <= a < b <= len(t) and p >= 0.3
+            assert 0 <= a < b <= len(t) and p > 0.2
 
 
 def test_tables(spark):
