@@ -100,12 +100,11 @@ def fn_aliases(spark, d):
     return h.select("label", F.regexp_extract("label", "([一-鿿]+)", 1).alias("han"), F.trim(F.regexp_replace("label", "[^A-Za-z -]", "")).alias("latin"), fn.is_citation_fragment(F.col("label")).alias("fragment"))
 
 
-@query("SELECT type, count(*) AS n, count(*) FILTER (data IS NOT NULL AND json_valid(data)) AS n_valid FROM (SELECT lower(trim(type, ' \t\n')) AS type, trim(data, ' \t\n') AS data FROM session_event) s GROUP BY type")
+@query("SELECT type, count(*) AS n, count(*) FILTER (data IS NOT NULL AND json_valid(data) AND starts_with(data, '{')) AS n_valid FROM (SELECT lower(trim(type, ' \t\n')) AS type, trim(data, ' \t\n') AS data FROM session_event) s GROUP BY type")
 def fn_json_valid(spark, d):
-    """Rows whose data is complete JSON, by type."""
+    """Rows whose data is a complete JSON object, by type."""
     t = load(spark, d, "session_event", F.lower(F.btrim("type", F.lit(" \t\n"))).alias("type"), F.btrim("data", F.lit(" \t\n")).alias("data"))
-    whole = F.try_parse_json("data").isNotNull() & F.col("data").endswith("}")
-    return t.groupBy("type").agg(F.count("*").alias("n"), F.count_if(whole).alias("n_valid"))
+    return t.groupBy("type").agg(F.count("*").alias("n"), F.count_if(fn.json_object(F.col("data")).isNotNull()).alias("n_valid"))
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY 1")

@@ -34,10 +34,10 @@ def ret_channels(spark, d):
 
 @query()
 def ret_name_candidates(spark, d):
-    """The most similar concept name of each hub name, from a ratio of 0.6 (F27, F28, D4, D16); against brute force in the tests."""
+    """The most similar concept name of each hub name, from a ratio of 0.75 (F27, F28, D4, D16); against brute force in the tests."""
     hubs = load(spark, d, "hub_paper_incidence", "hub_label").select(F.lower(F.trim("hub_label")).alias("name")).distinct()
     concepts = load(spark, d, "physh_gold_matched", "concepts").select(F.explode("concepts").alias("name")).select(F.lower(F.trim("name")).alias("name")).distinct()
-    return retrieval.ratio_top(hubs, concepts, 0.6)
+    return retrieval.ratio_top(hubs, concepts, 0.75)
 
 
 @query()
