@@ -17,6 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import json_object
 from ledgerloom.operators import timestamps
 from ledgerloom.plans.materialise import Cuts
 from ledgerloom.plans.ordering import last_before, rank_in_group, ranged
@@ -62,11 +63,9 @@ def read_rows(events: DataFrame, zones: DataFrame) -> DataFrame:
     kind = F.lower(F.btrim("type", F.lit(timestamps.SPACE)))
     rows = rows.select("session_id", "utc_us", kind.alias("kind"), "data", "event_id")
     rows = rows.groupBy("session_id", "utc_us", "kind", "data").agg(F.min("event_id").alias("event_id"))
-    text = F.btrim("data", F.lit(" \t\n\r"))
     speaker = F.try_element_at(F.create_map(*[F.lit(x) for kv in SPEAKERS.items() for x in kv]), F.col("kind"))
     needed = speaker.isNotNull() | (F.col("kind") == CALL)
-    whole = F.when(needed & text.startswith("{") & text.endswith("}"), text)
-    rows = rows.withColumns({"speaker": speaker, "json": F.try_parse_json(whole)})
+    rows = rows.withColumns({"speaker": speaker, "json": json_object(F.when(needed, F.col("data")))})
     return rows.select(
         "session_id", "utc_us", "event_id", "kind", "speaker",
         F.col("json").isNotNull().alias("whole"),

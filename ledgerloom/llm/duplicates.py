@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.functions.columns import json_object
+
 #: What stands for null, missing and blank. No canonical text has a space.
 ABSENT = " "
 RESOLVER = r"^[^\p{L}\p{N}]*(?:(?:https?[^\p{L}\p{N}]*)?(?:(?:www|dx)\.)*doi\.org|doi(?=[^\p{L}\p{N}]))[^\p{L}\p{N}]*"
@@ -46,9 +48,8 @@ def from_json_payload(df: DataFrame, payload: str, fields: list[str]) -> DataFra
 
     Rows whose payload is no complete JSON object are left out. Of keys that differ in case only, the first counts.
     """
-    text = F.btrim(F.col(payload), F.lit(" \t\n\r"))
-    whole = F.try_parse_json(text).isNotNull() & text.startswith("{") & text.endswith("}")
-    items = F.from_json(F.when(whole, text), "map<string,string>")
+    whole = json_object(F.col(payload)).isNotNull()
+    items = F.from_json(F.when(whole, F.col(payload)), "map<string,string>")
     df = df.where(whole).withColumn("_items", items)
     pick = lambda f: F.get(F.map_values(F.map_filter("_items", lambda k, _: F.lower(k) == f)), F.lit(0))
     return df.withColumns({f: pick(f) for f in fields}).drop("_items")

@@ -23,6 +23,8 @@ SESSIONS = {
     "empty": ([(1, "turn/start", '{"turn": 1}')], "empty"),
     "blank": ([(1, U, say("  ")), (2, A, '{"content": null}'), (3, A, "{}")], "empty"),
     "cut": ([(1, U, say("hi")), (2, A, '{"content": "x')], "unreadable"),
+    "trailing": ([(1, U, say("hi")), (2, A, say("x") + " y}")], "unreadable"),
+    "no brace": ([(1, U, say("hi")), (2, A, say("x")[1:])], "unreadable"),
     "null data": ([(1, U, say("hi")), (2, A, say("x")), (3, A, None)], "unreadable"),
     "bad time": ([(1, U, say("hi")), (2, A, say("x")), ("yesterday", A, say("y"))], "unreadable"),
     "starts wrong": ([(1, A, say("x")), (2, U, say("hi")), (3, A, say("x"))], "starts without user"),

@@ -36,7 +36,7 @@ def test_hot_group(spark):
 
 
 def test_payloads(spark):
-    rows = [(1, '{"TITLE": "a", "Doi": null, "n": 3}'), (2, '{"title": "a"'), (3, None), (4, ""), (5, "[1]"), (6, ' {"doi": "x", "title": "\\u00e9"} '), (7, '{"title": "a"} trailing'), (8, "{}")]
+    rows = [(1, '{"TITLE": "a", "Doi": null, "n": 3}'), (2, '{"title": "a"'), (3, None), (4, ""), (5, "[1]"), (6, ' {"doi": "x", "title": "\\u00e9"} '), (7, '{"title": "a"} trailing'), (8, "{}"), (9, '{"title": "a"} x}'), (10, '{"title": "a"}, {"title": "b"}'), (11, '{"title": "a"}], [{"title": "b"}'), (12, '{"title": "a"}} {"title": "b"}'), (13, '"title": "a"}')]
     df = spark.createDataFrame(rows, "id int, payload string")
     got = {r.id: (r.title, r.doi) for r in du.from_json_payload(df, "payload", ["title", "doi"]).collect()}
     assert got == {1: ("a", None), 6: ("é", "x"), 8: (None, None)}
