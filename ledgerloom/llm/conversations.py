@@ -88,8 +88,12 @@ def rebuild(spark, events: DataFrame, zones: DataFrame) -> tuple[DataFrame, Data
     order = ranged(cuts, nodes.select("session_id", "utc_us", "event_id", "kind", "message", "call_id"), "session_id", "utc_us", "event_id")
     talk = F.col("message") & F.col("kind").isin("user/message", "assistant/message")
     linked = last_before(order, "session_id", {"before": (F.col("message"), F.col("seq")), "turn": (talk, F.struct(F.col("kind").alias("kind"), F.col("seq").alias("seq")))})
-    calls = order.where(F.col("kind") == CALL).groupBy("session_id", "call_id").agg(F.min(F.struct("utc_us", "seq", "pid")).alias("call"))
-    linked = linked.join(calls, ["session_id", "call_id"], "left")
+    calls = order.where((F.col("kind") == CALL) & F.col("call_id").isNotNull()).groupBy("session_id", "call_id").agg(F.min(F.struct("utc_us", "seq", "pid")).alias("call"))
+    calls = calls.select("session_id", F.concat(F.lit("="), "call_id").alias("link"), "call")
+    # Rows without anything to look up get links of their own, so those of a long session don't meet in one task.
+    asks = (F.col("kind") == RESULT) & F.col("call_id").isNotNull()
+    linked = linked.withColumn("link", F.when(asks, F.concat(F.lit("="), "call_id")).otherwise(F.col("seq").cast("string")))
+    linked = linked.join(calls, ["session_id", "link"], "left")
     # A call that isn't strictly earlier answers nothing: the pointer leads nowhere, as without a call.
     answer = F.when(F.col("call.utc_us") < F.col("utc_us"), F.col("call.seq")).otherwise(F.lit(-1))
     linked = linked.withColumn("ptr", F.when(F.col("kind") == RESULT, answer).otherwise(F.col("before")))

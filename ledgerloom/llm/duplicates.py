@@ -79,8 +79,9 @@ def collapse(records: DataFrame, id_column: str, fields: dict[str, bool]) -> tup
 
 def copies(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataFrame:
     """keeper, id of each record that is not the smallest id of its group."""
-    _, members = collapse(records, id_column, fields)
     names = list(fields)
+    records = records.select(id_column, *names)
+    _, members = collapse(records, id_column, fields)
     right = members.select(*[F.col(f).alias(f"_r{i}") for i, f in enumerate(names)], "keeper")
     rows = records.join(right, [F.col(f).eqNullSafe(F.col(f"_r{i}")) for i, f in enumerate(names)])
     return rows.where(F.col(id_column) != F.col("keeper")).select("keeper", F.col(id_column).alias("id"))

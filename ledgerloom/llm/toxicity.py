@@ -31,6 +31,8 @@ SPEAKER = re.compile(r"\s*(?:>\s*)?(?:\*\*[^*\n]{1,60}\*\*(?: \([^)\n]{1,20}\))?
 #: Cyrillic letters that look like Latin ones.
 ALIKE = str.maketrans("аеорсухіѕјһкмтн", "aeopcyxisjhkmth")
 JOINERS = re.compile("[­​‌‍ ]")
+#: Cells (passages times tokens) that forward-backward holds at once; characters that are read at once.
+CELLS, CHARS = 400_000, 1_000_000
 SPREAD = re.compile(r"\w(?:[_.-]\w){2,}")
 BITS = 20
 MASK = np.uint64((1 << BITS) - 1)
@@ -177,12 +179,14 @@ class Field:
 
     def marginals(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probability of the offending state for each token, expected moves summed), by forward-backward over all passages."""
-        n, t = len(starts), int(lengths.max()) if len(lengths) else 0
+        n = len(starts)
         out, moves = np.zeros(len(e)), np.zeros((2, 2))
-        order = np.argsort(-lengths, kind="stable")
-        for at in range(0, n, 4096):
-            part = order[at : at + 4096]
-            ls, t = lengths[part], int(lengths[part[0]])
+        order, end = np.argsort(-lengths, kind="stable"), 0
+        while end < n:  # the longest first; a batch has a bounded number of cells, however long a passage is
+            at, t = end, int(lengths[order[end]])
+            end = at + max(1, min(4096, CELLS // t))
+            part = order[at:end]
+            ls = lengths[part]
             index = np.minimum(starts[part][:, None] + np.arange(t), len(e) - 1)
             valid = np.arange(t) < ls[:, None]
             x = np.where(valid, e[index], 0.0)
@@ -347,9 +351,13 @@ def score(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000, l
         for batch in batches:
             texts = batch.tolist()
             scores, spans = np.zeros(len(texts)), []
-            for i in range(0, len(texts), 256):
-                scores[i : i + 256], found = assess(model, reader, texts[i : i + 256], least)
-                spans += [[{"first": a, "end": b, "p": p} for a, b, p in x] for x in found]
+            at, size = 0, 0
+            for i, text in enumerate(texts):
+                size += len(text or "")
+                if size >= CHARS or i + 1 == len(texts):
+                    scores[at : i + 1], found = assess(model, reader, texts[at : i + 1], least)
+                    spans += [[{"first": a, "end": b, "p": p} for a, b, p in x] for x in found]
+                    at, size = i + 1, 0
             yield pd.DataFrame({"score": scores, "spans": spans})
 
     out = documents.select("doc_id", "source", "text").withColumn("t", tag("text"))

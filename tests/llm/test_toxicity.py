@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import toxicity as tx
 
@@ -17,7 +18,9 @@ def test_passages_cover_the_text():
     assert len(spans) == 6
 
 
-def test_marginals_against_enumeration():
+@pytest.mark.parametrize("cells", [1, 400_000])
+def test_marginals_against_enumeration(monkeypatch, cells):
+    monkeypatch.setattr(tx, "CELLS", cells)
     rng = np.random.default_rng(0)
     f = tx.Field()
     lengths = np.array([3, 1, 5])
@@ -68,7 +71,7 @@ def test_held_out():
 
 def test_tables(spark):
     texts, truth = corpus(120, 5)
-    rows = [(i, t, "s" if i % 3 else None, "x") for i, t in enumerate(texts)] + [(900, None, "s", "x"), (901, "", "s", "x"), (902, " \n", "s", "x"), (903, "word " * 40000, "s", "x"), (904, "!" * 5000, "s", "x")]
+    rows = [(i, t, "s" if i % 3 else None, "x") for i, t in enumerate(texts)] + [(900, None, "s", "x"), (901, "", "s", "x"), (902, " \n", "s", "x"), (903, "word " * 40000, "s", "x"), (904, "!" * 5000, "s", "x"), (905, "x " * 600000, "s", "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, score string")
     reviews = spark.createDataFrame([(i, int(t)) for i, t in enumerate(truth)] + [(0, None), (777, 1)], "doc_id bigint, flagged int")
     got = {r.doc_id: r for r in tx.score(docs, reviews).collect()}
