@@ -44,6 +44,48 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, floor: float = -1.0,
     return found.where(F.col("cosine") >= floor).withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def pairs_between(rows: DataFrame, least: float, below: float = float("inf"), rows_per_block: int = 2048) -> DataFrame:
+    """a, b, score: all pairs of ``rows`` (id, v) with a < b and a cosine in [least, below).
+
+    Rows are cut into blocks by hash; each pair of blocks is one matrix product, and all of its pairs in the band are
+    kept. Rows without vector or with zero length are in no pair.
+    """
+    n = max(1, -(-rows.count() // rows_per_block))
+    r = rows.where("v is not null").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def band(cell: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack([np.asarray(x, np.float64) for x in cell["v"]])
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
+        ids, block = cell["id"].to_numpy(), cell["block"].to_numpy()
+        first, last = cell["p"].iloc[0], cell["q"].iloc[0]
+        x, y = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        a, b, score = [ids[:0]], [ids[:0]], [np.zeros(0)]
+        for at in range(0, len(x), 512):
+            part = x[at : at + 512]
+            s = m[part] @ m[y].T
+            ok = (s >= least) & (s < below)
+            ok &= ids[part][:, None] < ids[y] if first == last else ids[part][:, None] != ids[y]
+            i, j = np.nonzero(ok)
+            a.append(np.minimum(ids[part[i]], ids[y[j]]))
+            b.append(np.maximum(ids[part[i]], ids[y[j]]))
+            score.append(s[i, j])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "score": np.concatenate(score)})
+
+    return r.groupBy("p", "q").applyInPandas(band, "a bigint, b bigint, score double")
+
+
+def cohesion(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """grp, cohesion: mean cosine over all pairs of members (grp, id) of ``rows`` (id, v), from the length of the sum of unit vectors, without making pairs."""
+    flat = members.join(rows.where("v is not null"), "id").select("grp", "id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    flat = flat.withColumn("size", size).where("size > 0").select("grp", F.posexplode(F.transform("v", lambda x: x / F.col("size"))).alias("pos", "x"))
+    sums = flat.groupBy("grp", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    n = F.max("n").cast("double")
+    return sums.groupBy("grp").agg(F.try_divide(F.sum(F.col("x") * F.col("x")) - n, n * (n - 1)).alias("cohesion"))
+
+
 def prototypes(members: DataFrame) -> DataFrame:
     """grp, v, n: mean vector of each group of ``members`` (grp, v), component by component."""
     flat = members.where("v is not null").select("grp", F.posexplode("v").alias("pos", "x"))

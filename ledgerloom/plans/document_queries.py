@@ -321,13 +321,23 @@ def id_overload(spark, d):
  e AS (SELECT *, unnest([a, b]) AS x FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, a, b) AS p FROM e) SELECT a, b, round(any_value(score), 6) AS score FROM r WHERE p <= 5 GROUP BY a, b HAVING count(*) = 2"""
 )
 def id_similar_sweep(spark, d):
-    """Pairs of one label in a band of similarity, five for each end."""
+    """Pairs of one label in a band of similarity, five for each end (G14); id_similar_pairs has those of all vectors."""
     e = load(spark, d, "embeddings")
     a, b = e.alias("a"), e.alias("b")
     s = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), fn.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
     return graph.cap_degree(s.where("score >= 0.25 and score < 0.9"), 5).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query(
+    """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), k AS (SELECT * FROM s WHERE score >= 0.25 AND score < 0.9),
+ e AS (SELECT *, unnest([a, b]) AS x FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, a, b) AS p FROM e) SELECT a, b, round(any_value(score), 6) AS score FROM r WHERE p <= 5 GROUP BY a, b HAVING count(*) = 2"""
+)
+def id_similar_pairs(spark, d):
+    """Pairs of all vectors in a band of similarity, five for each end (C11, J12, G14); the table holds no links to leave out."""
+    e = load(spark, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return graph.cap_degree(vectors.pairs_between(e, 0.25, 0.9), 5).select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query()
 def id_new_groups(spark, d):
     """Groups of four or more vectors linked by similarity: components of the threshold graph."""

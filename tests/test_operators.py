@@ -138,6 +138,27 @@ def test_vectors(spark):
     assert not [r for r in got if r.query_id == 150 or r.id in (150, 151)]
 
 
+@pytest.mark.parametrize("rows_per_block", [40, 4096])
+def test_pairs_between(spark, rows_per_block):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(120, 8))
+    m[100:] = m[0] + 0.01 * m[100:]  # near copies: more partners than any fixed number of neighbours
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(120, [0.0] * 8), (121, None)], "id bigint, v array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    got = {(r.a, r.b): r.score for r in vectors.pairs_between(df, 0.3, 0.9, rows_per_block).collect()}
+    want = {(a, b): s[a, b] for a, b in itertools.combinations(range(120), 2) if 0.3 <= s[a, b] < 0.9}
+    assert got == pytest.approx(want)
+    assert vectors.pairs_between(df, 0.9, rows_per_block=rows_per_block).count() == sum(s[a, b] >= 0.9 for a, b in itertools.combinations(range(120), 2)) >= 210
+
+
+def test_similar_pairs_cross_labels(spark, data):
+    from ledgerloom.plans import core_queries
+
+    label = {r.vec_id: r.label for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "label").collect()}
+    assert any(label[r.a] != label[r.b] for r in core_queries.QUERIES["id_similar_pairs"](spark, data).collect())
+
+
 def test_filter_stays_below_limit(spark, data):
     from ledgerloom.plans import core_queries
 
