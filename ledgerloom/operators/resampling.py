@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import stable_rank
 
+#: Counts (of a group, by item and set size) that a draw holds at once, as a table or as sorted elements.
+CELLS = 200_000
+
 
 def stratified_permutation(spark, members: DataFrame, incidence: DataFrame, draws: int = 100, seed: int = 11) -> DataFrame:
     """draw, value: macro mean over groups of the mean of ``x``, after permuting x within strata.
@@ -27,6 +34,130 @@ def stratified_permutation(spark, members: DataFrame, incidence: DataFrame, draw
     return groups.groupBy("draw").agg(F.avg("m").alias("value"))
 
 
+def _macro_coherence(group: np.ndarray, member: np.ndarray, sets: list[np.ndarray]) -> Callable[[np.ndarray], float]:
+    """A function of an assignment (whose set each member has) that gives the mean set-F1 of the groups, macro mean.
+
+    ``group`` is ascending, 0 to the number of groups; ``sets`` are arrays of item numbers. As in aggregates.coherence,
+    the sum over pairs comes from the counts of members by (group, item, set size): in a table where a group has many
+    elements, else from sorted runs. Groups are taken in blocks, so memory doesn't grow with their number.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    lengths, kind = np.unique(sizes, return_inverse=True)
+    bits = max(1, int(len(lengths) - 1).bit_length())
+    k, most = 1 << bits, max([int(x.max()) + 1 for x in sets if len(x)], default=1)
+    width = most * k
+    both = lengths[:, None] + lengths
+    f1 = np.zeros((k, k))
+    f1[: len(lengths), : len(lengths)] = np.divide(2.0, both, out=np.zeros(both.shape), where=both > 0)
+    row, codes = np.zeros(len(sets), np.int64), []  # sets of one size are rows of one matrix
+    for c, size in enumerate(lengths):
+        which = np.flatnonzero(kind == c)
+        row[which] = np.arange(len(which))
+        codes.append((np.stack([sets[i] for i in which]).astype(np.int64) * k + c).reshape(len(which), size))
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    n = np.diff(np.append(first, len(group)))
+    usual = sizes.mean() if len(sizes) else 0
+    dense = n * usual > width / 8
+    order = np.argsort(~dense, kind="stable")
+    n, dense, member = n[order], dense[order], np.concatenate([*[member[first[g] : first[g] + n_] for g, n_ in zip(order, n[order])], member[:0]])
+    first = np.append(0, np.cumsum(n)[:-1])
+    blocks, at = [], 0
+    while at < len(n):  # neighbours of one sort, within the bound
+        end, room = at, CELLS
+        while end < len(n) and dense[end] == dense[at] and (end == at or room >= 0):
+            room -= width if dense[at] else n[end] * usual
+            end += 1
+        kept = np.int32 if (end - at) * width < 2**31 else np.int64
+        part = slice(first[at], first[end - 1] + n[end - 1])
+        blocks.append((at, end, member[part], np.repeat(np.arange(end - at) * width, n[at:end]).astype(kept), [c.astype(kept) for c in codes] if not blocks or blocks[-1][4][0].dtype != kept else blocks[-1][4]))
+        at = end
+
+    def value(has: np.ndarray) -> float:
+        sums = np.zeros(len(n))
+        for lo, hi, who, base, table in blocks:
+            own = has[who]
+            of, at = kind[own], row[own]
+            keys, filled = [], np.zeros(hi - lo)  # pairs of a member with itself
+            for c, size in enumerate(lengths):
+                if size:
+                    x = np.flatnonzero(of == c)
+                    keys.append((table[c][at[x]] + base[x, None]).ravel())
+                else:
+                    filled -= np.bincount(base[of == c] // width, minlength=hi - lo)
+            filled += n[lo:hi]
+            key = np.concatenate([*keys, base[:0]])
+            if dense[lo]:
+                have = np.bincount(key, minlength=(hi - lo) * width).reshape(-1, k).astype(float)
+                total = np.einsum("ij,ij->i", have @ f1, have).reshape(hi - lo, -1).sum(1)
+            else:
+                key.sort()
+                edge = np.flatnonzero(np.diff(key, prepend=-1))
+                many, key = np.diff(np.append(edge, len(key))).astype(float), key[edge]
+                cell, kinds = key >> bits, key & (k - 1)
+                add = many * many * f1[kinds, kinds]
+                x = np.arange(len(key))
+                for step in range(1, k):  # the other set sizes that have the same item
+                    x = x[: np.searchsorted(x, len(key) - step)]
+                    x = x[cell[x] == cell[x + step]]
+                    if not len(x):
+                        break
+                    add[x] += 2 * many[x] * many[x + step] * f1[kinds[x], kinds[x + step]]
+                ends = np.searchsorted(key, np.arange(hi - lo + 1) * width)
+                total = np.bincount(np.repeat(np.arange(hi - lo), np.diff(ends)), add, minlength=hi - lo)
+            sums[lo:hi] = (total - filled) / 2
+        return float((sums / (n * (n - 1) / 2)).mean()) if len(n) else float("nan")
+
+    return value
+
+
+def coherence_null(spark, profiles: DataFrame, incidence: DataFrame, fields: list[str], draws: int = 10_000, chunk: int = 250, seed: int = 11) -> DataFrame:
+    """draw, field, value: macro mean over groups of the mean set-F1, after permuting whole profiles within strata; draw 0 is the observed one.
+
+    ``profiles`` has a row for each member: member, stratum, and for each of ``fields`` an array of strings without repeats;
+    ``incidence`` grp and member. In a draw a member takes all sets of another member of its stratum, the same for every
+    field; incidences stay. Members without profile are left out, and groups of one don't count. The draws of a chunk are
+    one task, which holds the profiles and incidences as whole numbers; draws differ by (seed, draw), whatever the chunk.
+    A member without stratum raises an error.
+    """
+    if profiles.where("stratum is null").limit(1).count():
+        raise ValueError("a member lies in no stratum")
+    chunks = -(-(draws + 1) // chunk)
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("member"))
+    base = profiles.withColumn("place", place)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    inc = incidence.where("grp is not null and member is not null").select("grp", "member").distinct().join(base.select("member", "stratum", "place"), "member")
+    inc = inc.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("stratum", "place"))).alias("m")).where(F.size("m") > 1)
+    inc = inc.select(F.col("grp").cast("string").alias("grp"), F.col("m.stratum").alias("s"), F.col("m.place").alias("p"))
+    sets = base.select("stratum", "place", *[F.transform(f, lambda x: F.xxhash64(x)).alias(f) for f in fields])
+    parts = sets.unionByName(inc, allowMissingColumns=True).select("*", spread)  # incidences have a group, profiles none
+
+    def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        linked = both["grp"].notna()
+        left, right = both[~linked].sort_values(["stratum", "place"]), both[linked].sort_values("grp")
+        strata, begin, count = np.unique(left["stratum"].to_numpy(), return_index=True, return_counts=True)
+        group = np.repeat(np.arange(len(right)), right["s"].map(len).to_numpy(np.int64))
+        if len(right):
+            member = begin[np.searchsorted(strata, np.concatenate(right["s"].tolist()))] + np.concatenate(right["p"].tolist()) - 1
+        else:
+            member = np.zeros(0, np.int64)
+        ways = []
+        for f in fields:
+            ends = np.cumsum(left[f].map(len).to_numpy(np.int64))
+            numbers = np.unique(np.concatenate([*left[f].tolist(), np.zeros(0, np.int64)]), return_inverse=True)[1]
+            ways.append((f, _macro_coherence(group, member, np.split(numbers, ends[:-1]) if len(left) else [])))
+        out = []
+        for draw in range(key[0] * chunk, min(draws + 1, (key[0] + 1) * chunk)):
+            has = np.arange(len(left))
+            if draw:
+                rng = np.random.default_rng([seed, draw])
+                for a, c in zip(begin, count):
+                    has[a : a + c] = a + rng.permutation(c)
+            out += [(draw, f, value(has)) for f, value in ways]
+        return pd.DataFrame(out, columns=["draw", "field", "value"])
+
+    return parts.repartitionByRange(chunks, "chunk").groupBy("chunk").applyInPandas(run, "draw int, field string, value double")  # by range: the chunks spread evenly
+
+
 def matched_controls(spark, positives: DataFrame, pool: DataFrame, seed: int = 7) -> DataFrame:
     """trial, control, same_domain: one control for each positive, each control used once within a stratum.
 

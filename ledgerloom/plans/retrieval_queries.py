@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import resampling, retrieval
+from ledgerloom.operators import aggregates, resampling, retrieval
 from ledgerloom.plans import registry
+from ledgerloom.plans.materialise import Cuts
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load
 
@@ -42,11 +43,19 @@ def ret_name_candidates(spark, d):
 
 @query()
 def stat_permutation(spark, d):
-    """Stratified permutation null of hub means, a hundred draws."""
-    labels = load(spark, d, "physh_gold_matched", "work_id", "year", "concepts").where("work_id is not null")
-    members = labels.groupBy(F.col("work_id").alias("member")).agg(F.min(F.when(F.col("year") < 2010, "early").when(F.col("year") < 2018, "middle").otherwise("late")).alias("stratum"), F.max(F.size(F.coalesce("concepts", F.array().cast("array<string>"))).cast("double")).alias("x"))
+    """Hub coherence of concepts and disciplines against 10,000 permutations of whole label profiles within years."""
+    clean = lambda c: F.array_distinct(F.flatten(F.collect_list(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull()))))
+    labels = load(spark, d, "physh_gold_matched", "work_id", "year", "concepts", "disciplines").where("work_id is not null")
+    profiles = labels.groupBy(F.col("work_id").alias("member")).agg(F.min("year").alias("stratum"), clean("concepts").alias("concepts"), clean("disciplines").alias("disciplines"))
     inc = load(spark, d, "hub_paper_incidence", "hub_id", "work_id").select(F.trim("hub_id").alias("grp"), F.col("work_id").alias("member"))
-    return resampling.stratified_permutation(spark, members, inc)
+    cuts = Cuts(spark, "permutation")
+    values = cuts.cut(resampling.coherence_null(spark, cuts.cut(profiles), inc, ["concepts", "disciplines"]))
+    out = []
+    for field in ("concepts", "disciplines"):
+        seen = values.where((F.col("field") == field) & (F.col("draw") == 0)).select(F.col("value").alias("obs"))
+        nulls = values.where((F.col("field") == field) & (F.col("draw") > 0)).select("value").join(F.broadcast(seen))  # one row
+        out.append(aggregates.null_summary(nulls, F.max("obs")).select(F.lit(field).alias("field"), "*"))
+    return out[0].unionByName(out[1])
 
 
 @query()

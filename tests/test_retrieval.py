@@ -72,6 +72,46 @@ def test_permutation(spark):
         resampling.stratified_permutation(spark, members.union(spark.createDataFrame([("z", None, 1.0)], members.schema)), whole)
 
 
+@pytest.mark.parametrize("width", ["wide", "narrow"])
+def test_coherence_null(spark, width):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import aggregates
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400 if width == "wide" else 5)]
+    profiles = [(f"m{i}", 2000 + i % 3, rng.sample(words[:9], rng.randrange(0, 5)) if i % 4 else rng.sample(words, 3), [words[i % 5]]) for i in range(60)]
+    p = spark.createDataFrame(profiles, "member string, stratum int, concepts array<string>, disciplines array<string>")
+    links = [(f"g{g}", f"m{rng.randrange(66)}") for g in range(8) for _ in range(2 + 4 * g)] + [("one", "m1"), (None, "m1"), ("g3", None)]
+    inc = spark.createDataFrame(links, "grp string, member string")
+    rows = resampling.coherence_null(spark, p, inc, ["concepts", "disciplines"], draws=40, chunk=7).collect()
+    assert len(rows) == 82
+    by = {(r.draw, r.field): r.value for r in rows}
+    for f in ("concepts", "disciplines"):
+        seen = aggregates.coherence(inc, p.select("member", F.col(f).alias("items"))).agg(F.avg("coherence")).first()[0]
+        assert by[0, f] == pytest.approx(seen, abs=1e-12)
+        assert len({round(by[i, f], 12) for i in range(41)}) > 20
+    again = resampling.coherence_null(spark, p, inc, ["concepts"], draws=40, chunk=41).collect()
+    assert {r.draw: r.value for r in again} == {d: v for (d, f), v in by.items() if f == "concepts"}
+    alone = p.withColumn("stratum", F.substring("member", 2, 9).cast("int"))  # one member a stratum: nothing moves
+    assert len({r.value for r in resampling.coherence_null(spark, alone, inc, ["concepts"], draws=5).collect()}) == 1
+    with pytest.raises(ValueError):
+        resampling.coherence_null(spark, p.withColumn("stratum", F.lit(None).cast("int")), inc, ["concepts"])
+
+
+def test_permutation_query(spark, data):
+    from ledgerloom.plans import core_queries
+
+    rows = {r.field: r for r in core_queries.QUERIES["stat_permutation"](spark, data).collect()}
+    for f in ("concepts", "disciplines"):
+        seen = [r.coherence for r in core_queries.QUERIES[f"agg_hub_coherence_{f}"](spark, data).collect() if r.coherence is not None]
+        assert rows[f].observed == pytest.approx(sum(seen) / len(seen), abs=1e-6)
+        assert rows[f].q025 <= rows[f].null_mean <= rows[f].q975 and 0 < rows[f].p <= 1
+        assert abs(rows[f].p * 10_001 - round(rows[f].p * 10_001)) < 1e-6
+
+
 def test_controls(spark):
     p = spark.createDataFrame([(f"t{i}", "s", "d1" if i < 6 else "d2") for i in range(10)] + [("t99", "empty", "d1")], "trial string, stratum string, domain string")
     c = spark.createDataFrame([(f"c{i}", "s", "d1" if i < 3 else "d3") for i in range(8)], "control string, stratum string, domain string")
