@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import columns as fn
 from ledgerloom.operators import documents as docs_
 from ledgerloom.operators import graph, tensor, vectors
+from ledgerloom.plans.materialise import Cuts
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load
 
@@ -340,11 +341,21 @@ def id_similar_pairs(spark, d):
 
 @query()
 def id_new_groups(spark, d):
-    """Groups of four or more vectors linked by similarity: components of the threshold graph."""
+    """Groups of four or more vectors: components of all links of 0.3 or more, candidates from a cohesion of 0.6.
+
+    Cohesion is the mean cosine of a group's pairs. The table has no hub assignments, so all vectors count as unassigned.
+    """
     e = load(spark, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    near = vectors.top_k(e, e, 20, floor=0.3).select(F.col("query_id").cast("string").alias("s"), F.lit("similar").alias("p"), F.col("id").cast("string").alias("o"))
-    c = graph.components(spark, near)
-    return c.join(c.groupBy("component").agg(F.count("*").alias("size")).where("size >= 4"), "component").select("path", "component", "size")
+    return _new_groups(spark, e, 0.3)
+
+
+def _new_groups(spark, e, floor):
+    cuts = Cuts(spark, "groups")
+    near = cuts.cut(vectors.pairs_between(e, floor).select(F.col("a").cast("string").alias("s"), F.lit("similar").alias("p"), F.col("b").cast("string").alias("o")))
+    c = cuts.cut(graph.components(spark, near))
+    c = c.join(c.groupBy("component").agg(F.count("*").alias("size")).where("size >= 4"), "component")
+    how = vectors.cohesion(e.withColumn("id", F.col("id").cast("string")), c.select(F.col("component").alias("grp"), F.col("path").alias("id")))
+    return c.join(how, c.component == how.grp).select("path", "component", "size", "cohesion", (F.col("cohesion") >= 0.6).alias("candidate"))
 
 
 @query()

@@ -159,6 +159,30 @@ def test_similar_pairs_cross_labels(spark, data):
     assert any(label[r.a] != label[r.b] for r in core_queries.QUERIES["id_similar_pairs"](spark, data).collect())
 
 
+def test_new_groups(spark):
+    from ledgerloom.plans.document_queries import _new_groups
+
+    rng = np.random.default_rng(5)
+    axes = np.eye(16)
+    near = [axes[0] + 0.001 * rng.normal(size=16) for _ in range(30)]  # more than twenty near copies ...
+    bridge = [axes[0] + 2 * axes[1], *(axes[1] + 0.001 * rng.normal(size=16) for _ in range(30))]  # ... and a weaker link to as many others
+    loose = [axes[k] + axes[k + 1] for k in range(3, 9)]  # a chain
+    m = [*near, *bridge, *loose, axes[12], axes[13], axes[13]]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id bigint, v array<double>")
+    got = _new_groups(spark, df, 0.3).collect()
+    u = np.array(m) / np.linalg.norm(m, axis=1, keepdims=True)
+    groups = {}
+    for r in got:
+        groups.setdefault(r.component, []).append(r)
+    assert sorted(len(x) for x in groups.values()) == [6, 61]  # pairs and single vectors are none
+    for rows in groups.values():
+        ids = [int(r.path) for r in rows]
+        mean = np.mean([u[a] @ u[b] for a, b in itertools.combinations(ids, 2)])
+        assert all(r.size == len(ids) and r.cohesion == pytest.approx(mean) and r.candidate == (mean >= 0.6) for r in rows)
+    tight = _new_groups(spark, df, 0.9).collect()
+    assert all(r.candidate for r in tight) and sorted({r["size"] for r in tight}) == [30]
+
+
 def test_filter_stays_below_limit(spark, data):
     from ledgerloom.plans import core_queries
 
