@@ -2,9 +2,10 @@
 
 Reviews flag whole documents, so token labels come first: a passage model is fitted to the flags by multiple-instance
 rounds (in a flagged document the passages that explain the flag are positive, in others none is; documents whose flag no
-passage explains, and passages sure against their flag, are set aside as wrong flags), and labels the tokens of positive
-passages. A short list of examples written here joins them. The field is then fitted to these tokens; forward-backward
-marginals give the offsets of offending spans, and the largest mean of a passage is the document's score.
+passage explains, and passages sure against their flag, are set aside as wrong flags); in positive passages the tokens
+that carry the evidence for it are labelled. A short list of examples written here joins them. The field is then fitted to
+these tokens. Spans are the runs of tokens whose forward-backward marginal reaches the threshold, and a document's score
+is the largest mean of a span (without any, its largest marginal).
 
 Defined results: null, empty and blank texts score 0 without spans; texts are taken whole; repeated rows are scored each;
 of several reviews the largest share decides, null flags don't count; without positive reviews the examples alone are used.
@@ -33,6 +34,10 @@ ALIKE = str.maketrans("аеорсухіѕјһкмтн", "aeopcyxisjhkmth")
 JOINERS = re.compile("[­​‌‍ ]")
 #: Cells (passages times tokens) that forward-backward holds at once; characters that are read at once.
 CELLS, CHARS = 400_000, 1_000_000
+#: A passage of more tokens than the first is read in windows of the second, each beginning so many tokens after the one before.
+LONG, WINDOW, STRIDE = 32, 12, 6
+#: The share of a passage's largest log-odds from which a token carries its evidence.
+PART = 0.25
 SPREAD = re.compile(r"\w(?:[_.-]\w){2,}")
 BITS = 20
 MASK = np.uint64((1 << BITS) - 1)
@@ -114,7 +119,7 @@ class Reader:
         return out
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word codes, skeleton codes, first token of each passage, document of each passage, start and end of each)."""
+        """(word codes, skeleton codes, first token of each passage, document of each passage, start and end of each); windows of long passages stand for them."""
         codes: list[tuple[int, int]] = []
         starts, owners, spans = [], [], []
         kept, code, find = self.kept, self._code, TOKEN.findall
@@ -124,7 +129,16 @@ class Reader:
             for a, b in passages(text):
                 said = SPEAKER.match(text, a, b)
                 tokens = find(text, said.end() if said else a, b)
-                if tokens:
+                a = said.end() if said else a
+                if len(tokens) > LONG:
+                    where = [m.span() for m in TOKEN.finditer(text, a, b)]
+                    for at in range(0, len(tokens) - WINDOW + STRIDE, STRIDE):
+                        starts.append(len(codes))
+                        owners.append(d)
+                        own = where[at : at + WINDOW]
+                        spans.append((own[0][0], own[-1][1]))
+                        codes += [kept.get(t) or code(t) for t in tokens[at : at + WINDOW]]
+                elif tokens:
                     starts.append(len(codes))
                     owners.append(d)
                     spans.append((a, b))
@@ -211,7 +225,7 @@ class Field:
         return out, moves
 
     def fit(self, local, shared, starts, labels: np.ndarray, weight: np.ndarray, epochs: int = 4, batch: int = 512, rate: float = 0.15, decay: float = 1e-5, seed: int = 7) -> None:
-        """Adagrad on the log-likelihood; ``labels`` and ``weight`` are those of each passage's tokens."""
+        """Adagrad on the log-likelihood; ``labels`` are those of the tokens, ``weight`` that of each passage's tokens."""
         lengths = np.diff(np.append(starts, len(local)))
         rng, seen, move_seen, bias_seen = np.random.default_rng(seed), np.full(1 << BITS, 1.0, np.float32), np.ones((2, 2)), 1.0
         for _ in range(epochs):
@@ -222,7 +236,7 @@ class Field:
                 token = np.repeat(starts[part] - np.append(0, np.cumsum(ls)[:-1]), ls) + np.arange(ls.sum())
                 begin = np.append(0, np.cumsum(ls)[:-1])
                 lo, sh = local[token], shared[token]
-                y, v = np.repeat(labels[part], ls), np.repeat(weight[part], ls)
+                y, v = labels[token], np.repeat(weight[part], ls)
                 e = self.emissions(lo, sh, begin, ls)
                 p, moves = self.marginals(e, begin, ls)
                 g = (p - y) * v
@@ -233,7 +247,9 @@ class Field:
                 grad = (np.bincount(where, value) + decay * batch * self.w[rows]).astype(np.float32)
                 seen[rows] += grad**2
                 self.w[rows] -= rate * grad / np.sqrt(seen[rows])
-                up = np.array([[(ls - 1)[labels[part] == 0].sum(), 0], [0, (ls - 1)[labels[part] == 1].sum()]], float)
+                on, inner = y.astype(int), np.ones(len(y), bool)
+                inner[begin] = False
+                up = np.bincount((2 * np.append(0, on[:-1]) + on)[inner], minlength=4).reshape(2, 2).astype(float)
                 step = (moves - up) / max(1, len(part))
                 move_seen += step**2
                 self.move -= rate * step / np.sqrt(move_seen)
@@ -266,6 +282,19 @@ def _passage_model(shared, starts, lengths, owner, label, weight, folds: int = 3
     return out
 
 
+def _evidence(odds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which tokens carry a passage's evidence: those of at least half of its largest log-odds, and up to two tokens between such."""
+    top = np.repeat(np.maximum.reduceat(odds, starts), lengths)
+    hit = odds >= np.where(top > 0, top * PART, top)
+    at = np.flatnonzero(hit)
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    near = np.flatnonzero((np.diff(at) <= 3) & (owner[at[1:]] == owner[at[:-1]])) if len(at) else at
+    for gap in (1, 2):
+        x = at[near] + gap
+        hit[x[x < at[near + 1]]] = True
+    return hit
+
+
 def train(texts: list[str], flags: list[float], rounds: int = 4) -> Field:
     """A field from reviewed documents (share of reviews that flag them) and the examples."""
     texts, flags = [*texts, *OFFENDING, *HARMLESS], np.array([*flags, *[1.0] * len(OFFENDING), *[0.0] * len(HARMLESS)])
@@ -307,7 +336,9 @@ def train(texts: list[str], flags: list[float], rounds: int = 4) -> Field:
     begin = np.append(0, np.cumsum(lengths[chosen])[:-1])
     field = Field()
     field.known = known
-    field.fit(local[token], shared[token], begin, label[chosen], np.minimum(weight[chosen], 2.0))
+    inside = np.repeat(label[chosen], lengths[chosen]) > 0
+    marked = inside & _evidence(odds[shared[token]].max(1), begin, lengths[chosen]) if len(token) else inside
+    field.fit(local[token], shared[token], begin, marked.astype(float), np.minimum(weight[chosen], 2.0))
     return field
 
 
@@ -320,10 +351,25 @@ def assess(field: Field, reader: Reader, texts: list[str], least: float = 0.2) -
     local, shared = features(word, skel, starts)
     lengths = np.diff(np.append(starts, len(word)))
     p, _ = field.marginals(field.emissions(local, shared, starts, lengths), starts, lengths)
-    mean = np.add.reduceat(p, starts) / lengths
-    np.maximum.at(scores, owner, mean)
-    for i in np.flatnonzero(mean >= least):
-        spans[owner[i]].append((int(place[i, 0]), int(place[i, 1]), float(mean[i])))
+    np.maximum.at(scores, np.repeat(owner, lengths), np.minimum(p, np.nextafter(least, 0)))
+    over = p >= least
+    for i in np.flatnonzero(np.logical_or.reduceat(over, starts)):
+        text, (a, b) = texts[owner[i]], place[i]
+        where = [m.span() for m in TOKEN.finditer(text, a, b)]
+        own = slice(starts[i], starts[i] + lengths[i])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], over[own], [0]]).astype(int)))
+        for first, end in zip(edge[::2], edge[1::2]):
+            mean = float(p[own][first:end].mean())
+            spans[owner[i]].append((where[first][0], where[end - 1][1], mean))
+            scores[owner[i]] = max(scores[owner[i]], mean)
+    for d in np.unique(owner[np.logical_or.reduceat(over, starts)]):
+        whole = []
+        for a, b, mean in sorted(spans[d]):  # windows of a passage overlap
+            if whole and a < whole[-1][1]:
+                whole[-1] = (whole[-1][0], max(b, whole[-1][1]), max(mean, whole[-1][2]))
+            else:
+                whole.append((a, b, mean))
+        spans[d] = whole
     return scores, spans
 
 

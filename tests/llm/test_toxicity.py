@@ -69,6 +69,22 @@ def test_held_out():
             assert 0 <= a < b <= len(t) and p > 0.2
 
 
+def test_spans_are_tokens():
+    texts, truth = corpus(500, 1)
+    field = tx.train(texts, [float(t) for t in truth])
+    rng = random.Random(9)
+    filler = " ".join(rng.choice(["the residual falls below", "we thank the members of the group", "the table lists records"]) for _ in range(300))
+    long = filler + " you are a pathetic loser and everyone knows it " + filler  # no mark ends a passage
+    scores, spans = tx.assess(field, tx.Reader(field.known), [long, filler, short := "We thank the members, shut up, idiot, nobody asked you."])
+    at = long.index("pathetic loser")
+    assert scores[0] >= 0.2 and any(a < at + 14 and b > at for a, b, _ in spans[0])
+    assert sum(b - a for a, b, _ in spans[0]) < 200 and scores[1] < 0.2 and not spans[1]
+    assert spans[2] and all(a >= short.index("members") for a, _, _ in spans[2])  # not the whole passage
+    assert any(a <= short.index("idiot") < b for a, b, _ in spans[2])
+    for s, x in zip(scores, spans):
+        assert not x or s == max(p for *_, p in x)
+
+
 def test_tables(spark):
     texts, truth = corpus(120, 5)
     rows = [(i, t, "s" if i % 3 else None, "x") for i, t in enumerate(texts)] + [(900, None, "s", "x"), (901, "", "s", "x"), (902, " \n", "s", "x"), (903, "word " * 40000, "s", "x"), (904, "!" * 5000, "s", "x"), (905, "x " * 600000, "s", "x")]
