@@ -53,12 +53,12 @@ def admitted(pages: DataFrame, request: Request) -> DataFrame:
 def hybrid(pages: DataFrame, request: Request, candidates: int = 5) -> tuple[DataFrame, DataFrame]:
     """(results, channels) for ``pages`` (id, title, text, source, domain, status).
 
-    Two channels (words of the text, words of the title) rank at most candidates * topk pages each. Order: distinct-term
+    All words of the query count. Two channels (words of the text, words of the title) rank at most candidates * topk pages each. Order: distinct-term
     coverage, phrase, then weighted reciprocal-rank fusion of the best rank in each channel, then id. At most two results
     of a source. results: id, source, kind, coverage, phrase, score, rank, evidence_read (always false: a candidate is no
-    evidence). channels: channel, n_candidates, window_full; a channel without candidates is listed with 0.
+    evidence). Navigation by alias and graph, knowledge units and vectors have no channel, and the intent is only checked. channels: channel, n_candidates, window_full; a channel without candidates is listed with 0.
     """
-    terms = list(dict.fromkeys(w for w in request.query.lower().split() if w))[:12]
+    terms = list(dict.fromkeys(w for w in request.query.lower().split() if w))
     for s in request.subjects:
         terms += [w for w in s.lower().split() if w not in terms]
     scope = admitted(pages, request)

@@ -188,7 +188,7 @@ def ret_lexical(spark, d):
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM s) SELECT query_id, id, round(cosine, 6) AS cosine, rank::INT AS rank FROM r WHERE rank <= 10"""
 )
 def ret_semantic(spark, d):
-    """Exact cosine search in blocks: every hundredth row against all."""
+    """Exact cosine search in blocks: every hundredth row against all."""
     e = load(spark, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return vectors.top_k(e, e.where("id % 100 = 0"), 10).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 

@@ -23,7 +23,7 @@ def _pages(spark, d):
 
 @query()
 def ret_hybrid(spark, d):
-    """Fused recall over text and title channels, typed candidates."""
+    """Fused recall over text and title channels only, typed candidates (W8, W10, P9; of R5 and R6 the lexical part)."""
     return retrieval.hybrid(_pages(spark, d), REQUEST)[0]
 
 

@@ -27,6 +27,13 @@ def test_hybrid(spark):
     assert none.count() == 0 and {x.n_candidates for x in c.collect()} == {0}
 
 
+def test_every_query_word_counts(spark):
+    words = [f"word{i}" for i in range(12)]
+    r, c = retrieval.hybrid(pages(spark), retrieval.Request(" ".join([*words, "nothing"])))
+    assert [(x.id, round(x.coverage * 13)) for x in r.collect()] == [(4, 1)]
+    assert {x.channel: x.n_candidates for x in c.collect()} == {"lexical": 1, "title": 0}
+
+
 @pytest.mark.parametrize("bad", [{"query": " "}, {"query": "a", "topk": 21}, {"query": "a", "subjects": ("1", "2", "3", "4")}, {"query": "a", "intent": "x"}, {"query": "a", "include_deprecated": "no"}])
 def test_requests(bad):
     with pytest.raises(ValueError):
