@@ -439,7 +439,7 @@ def led_lint(spark, d):
 
 @query("SELECT sequence_index, CASE WHEN manifest_title IS NULL OR physh_title IS NULL THEN 'unknown' WHEN manifest_title = physh_title THEN 'exact' WHEN lower(trim(manifest_title)) = lower(trim(physh_title)) THEN 'fuzzy' ELSE 'unknown' END AS state FROM physh_gold_matched")
 def led_name_check(spark, d):
-    """Names against an authority: exact, fuzzy, unknown."""
+    """Titles of a row against each other: exact, equal but for case and outer space (fuzzy), else unknown; ret_name_candidates has edit ratios."""
     t = load(spark, d, "physh_gold_matched", "sequence_index", "manifest_title", "physh_title")
     a, b = F.col("manifest_title"), F.col("physh_title")
     return t.select("sequence_index", F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "exact").when(F.lower(F.trim(a)) == F.lower(F.trim(b)), "fuzzy").otherwise("unknown").alias("state"))
