@@ -3,7 +3,8 @@
 The mix is divided into blocks of equal tokens. Blocks go to sources by Sainte-Lague (the next block to the highest
 weight / (2 * blocks so far + 1)), then in the same way to the shards of a source; so each shard has a whole number of
 blocks to give. Within a shard documents stand in a seeded order, which is cut into blocks; the shard gives its first
-blocks, after whole passes over all documents where it has to repeat.
+blocks, after whole passes over all documents where it has to repeat. A block is never more than a thousandth of a shard,
+and a shard holds 1,024 documents of mean size at least, so neither rounding is felt at any size of the corpus.
 
 Defined results: only sources with a target and tokens take part; the target of a source without tokens goes to the others
 in proportion, and it is reported with a share of 0. Null, empty and blank-source documents give nothing. Without
@@ -14,6 +15,8 @@ twice are added up (the smaller cap counts).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +26,31 @@ from ledgerloom.plans.materialise import Cuts
 def apportion(parties: DataFrame, group: str, party: str) -> DataFrame:
     """Add ``blocks`` to parties (group, party, weight, cap, seats): the seats of the group by Sainte-Lague, at most ``cap`` each.
 
-    Fractions with caps are found first (a party is capped where its cap is below its part of what the capped ones leave);
-    whole seats lie within two of them, so only the last few quotients of each party compete.
+    A party has min(cap, round(level * weight)) seats for some level of its group. Over n parties rounding moves the sum
+    by n / 2 at most, so the level lies between those at which unrounded parts, cut at the caps, sum to seats - n / 2 and
+    seats + n / 2. Both are exact from sums in the order of cap / weight. Only quotients between the two levels compete,
+    2 n of them at most, whatever the number of seats. Equal quotients go to the smaller party. Where all caps together
+    are less than the seats, all parties get their cap.
     """
-    order = Window.partitionBy(group).orderBy("ratio", party)
-    up = order.rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(group)
-    p = parties.where("weight > 0").withColumn("ratio", F.col("cap") / F.col("weight"))
-    p = p.withColumns({"cap_before": F.coalesce(F.sum("cap").over(up), F.lit(0)), "weight_left": F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(up), F.lit(0.0))})
-    p = p.withColumn("level", (F.col("seats") - F.col("cap_before")) / F.col("weight_left"))
-    p = p.withColumn("capped", F.col("ratio") <= F.col("level"))
-    p = p.withColumn("at", F.min(F.when(~F.col("capped"), F.struct("ratio", F.col(party), "level"))).over(all_)["level"])  # of the first that isn't capped
-    p = p.withColumn("part", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("at") * F.col("weight")))
-    p = p.withColumn("base", F.when(F.col("capped"), F.col("cap")).otherwise(F.greatest(F.lit(0), F.floor("part") - 2)).cast("bigint"))
+    order = all_.orderBy("ratio", party)
+    up = order.rowsBetween(Window.unboundedPreceding, -1)
+    p = parties.where("weight > 0 and cap > 0").withColumn("ratio", F.col("cap") / F.col("weight"))
+    p = p.withColumns({
+        "n": F.count("*").over(all_),
+        "cap_before": F.coalesce(F.sum("cap").over(up), F.lit(0)),
+        "weight_left": F.sum("weight").over(all_.orderBy(F.desc("ratio"), F.desc(party)).rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    for name, side in (("low", -0.5), ("high", 0.5)):
+        level = (F.col("seats") + side * F.col("n") - F.col("cap_before")) / F.col("weight_left")
+        # Of the first party that isn't at its cap there; null where all are.
+        p = p.withColumn(name, F.min(F.when(F.col("ratio") > level, F.struct("ratio", F.col(party), level.alias("level")))).over(all_)["level"])
+    part = lambda level, slack: F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.floor(F.greatest(level, F.lit(0.0)) * F.col("weight") * slack + 0.5))).cast("bigint")
+    p = p.withColumns({"base": part(F.col("low"), 1 - 1e-9), "top": part(F.col("high"), 1 + 1e-9)})
     p = p.withColumn("rest", F.col("seats") - F.sum("base").over(all_))
-    tries = p.select(group, party, "weight", "base", "rest", "cap", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).where(F.col("base") + F.col("k") < F.col("cap"))
-    quotient = F.col("weight") / (2 * (F.col("base") + F.col("k")) + 1)
-    won = tries.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(quotient.desc(), party))).where("place <= rest")
+    tries = p.where("top > base").select(group, party, "weight", "rest", F.explode(F.sequence(F.col("base"), F.col("top") - 1)).alias("k"))
+    place = F.row_number().over(all_.orderBy((F.col("weight") / (2 * F.col("k") + 1)).desc(), party))
+    won = tries.withColumn("place", place).where("place <= rest")
     extra = won.groupBy(F.col(group).alias("_g"), F.col(party).alias("_p")).agg(F.count("*").alias("extra"))
     p = p.join(extra, (F.col(group) == F.col("_g")) & (F.col(party) == F.col("_p")), "left")
     return p.select(*parties.columns, (F.col("base") + F.coalesce("extra", F.lit(0))).alias("blocks"))
@@ -51,7 +62,8 @@ def mix(
     """(mix: doc_id, source, copies, n_tokens; report per source).
 
     ``docs`` has doc_id, source, n_tokens; ``targets`` source, target_share, max_repeats. The report has the target, the
-    share the source should have among those that have documents, the tokens drawn, and the share reached.
+    share the source should have among those that have documents, the tokens drawn, and the share reached. ``blocks`` is
+    the least number of blocks; more are taken where a block would exceed a thousandth of ``shard_tokens``.
     """
     cuts = Cuts(spark, "mix")
     targets = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
@@ -64,14 +76,15 @@ def mix(
         none = docs.limit(0)
         return none.select("doc_id", "source", F.lit(0).cast("bigint").alias("copies"), "n_tokens"), targets.select("source", "target_share", F.lit(0.0).alias("wanted_share"), *[F.lit(0).cast("bigint").alias(c) for c in ("tokens_available", "tokens_drawn", "n_docs", "most_copies")], F.lit(0.0).alias("actual_share"))
     total = float(total_tokens) if total_tokens is not None else facts[1] * facts[0]
-    block = max(1.0, total / blocks)
-    seats = int(round(total / block))
+    seats = max(blocks, math.ceil(total * 1000 / shard_tokens))
+    block = total / seats
     one = F.lit("all").alias("whole")
     sources = apportion(
         supply.select(one, "source", (F.col("target_share") / facts[0]).alias("weight"), F.ceil(F.col("tokens") * F.col("max_repeats") / block - 1e-6).cast("bigint").alias("cap"), F.lit(seats).alias("seats")),
         "whole", "source",
     )
-    sources = cuts.cut(sources.select("source", F.col("blocks").alias("seats")).join(supply.select("source", F.ceil(F.col("tokens") / shard_tokens).alias("n_shards")), "source"))
+    n_shards = F.greatest(F.lit(1), F.floor(F.col("tokens") / F.greatest(F.lit(float(shard_tokens)), 1024 * F.col("tokens") / F.col("n_docs"))))
+    sources = cuts.cut(sources.select("source", F.col("blocks").alias("seats")).join(supply.select("source", n_shards.alias("n_shards")), "source"))
     shard = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards")).cast("int")
     placed = docs.join(sources, "source").withColumn("shard", shard)
     masses = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("mass"), F.first("seats").alias("seats"), F.first("max_repeats").alias("max_repeats"))

@@ -1,3 +1,4 @@
+import heapq
 import random
 
 import pytest
@@ -30,6 +31,23 @@ def test_apportionment(spark, seed):
     assert [r.blocks for r in got] == sainte_lague(w, caps, seats)
 
 
+@pytest.mark.parametrize("seats,cap", [(800, 10_000), (800, 450), (3, 10_000), (5000, 40)])
+def test_one_large_party_among_many_small(spark, seats, cap):
+    w, caps = [400.0] + [0.4] * 1000, [cap] + [30] * 1000
+    rows = [("g", i, w[i], caps[i], seats) for i in range(1001)]
+    got = mx.apportion(spark.createDataFrame(rows, "grp string, party int, weight double, cap bigint, seats int"), "grp", "party").orderBy("party").collect()
+    heap, want = [(-x, i) for i, x in enumerate(w)], [0] * 1001
+    heapq.heapify(heap)
+    for _ in range(seats):  # seat by seat
+        if not heap:
+            break
+        _, i = heapq.heappop(heap)
+        want[i] += 1
+        if want[i] < caps[i]:
+            heapq.heappush(heap, (-w[i] / (2 * want[i] + 1), i))
+    assert [r.blocks for r in got] == want
+
+
 def corpus(spark):
     rng = random.Random(1)
     rows = [(i, s, rng.randrange(20, 200), "x") for i, s in enumerate(["big"] * 3000 + ["mid"] * 800 + ["small"] * 60 + ["other"] * 50)]
@@ -50,6 +68,16 @@ def test_shares(spark):
     assert mixed.exceptAll(again).count() == 0 and again.exceptAll(mixed).count() == 0
 
 
+@pytest.mark.parametrize("blocks,shard_tokens", [(20, 500), (20, 5_000), (20, 200_000), (2_000, 2_000), (100_000, 40_000_000)])
+def test_shares_whatever_the_blocks(spark, blocks, shard_tokens):
+    """A block of total / blocks would be a hundred times the shard in the first case, and far below it in the last."""
+    targets = spark.createDataFrame([("big", 0.7, 1), ("mid", 0.3, 2)], TARGETS)
+    _, report = mx.mix(spark, corpus(spark), targets, total_tokens=300_000, blocks=blocks, shard_tokens=shard_tokens)
+    rows = report.collect()
+    assert all(abs(r.actual_share - r.wanted_share) < 0.001 for r in rows)
+    assert abs(sum(r.tokens_drawn for r in rows) - 300_000) <= 300
+
+
 def test_total_beyond_a_cap(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], TARGETS)
     _, report = mx.mix(spark, corpus(spark), targets, total_tokens=100_000)
