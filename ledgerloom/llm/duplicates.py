@@ -2,7 +2,11 @@
 
 Byte-identical rows are collapsed first, with counts; only the distinct survivors are brought to canonical form, and are
 grouped again on the full canonical texts, summing the counts. The canonical form keeps letters and digits in one case.
-Combining marks are composed with their letter (NFC), so letters with different accents differ.
+Texts are in NFC, so letters with different accents differ and composed ones don't depend on how they were written.
+
+The survivors are written once, and everything after the two groupings works on digests of 128 bits: a survivor finds its
+group by that of its canonical texts, a row its survivor by that of its raw texts, the latter only for survivors that
+stand for several rows. (Among 10^12 texts two have the same digest with a chance of 10^-15.)
 
 Defined results: null, missing and blank are one value, which agrees with itself only (a text of punctuation alone is
 another); repeated rows count as copies; an empty table gives no rows; other columns are ignored.
@@ -10,6 +14,7 @@ another); repeated rows count as copies; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -18,15 +23,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerloom.functions.columns import json_object
+from ledgerloom.plans.materialise import Cuts
 
 #: What stands for null, missing and blank. No canonical text has a space.
 ABSENT = " "
+#: Characters that are in NFC and start no composition: Latin, basic Greek and Cyrillic, general punctuation, kana, CJK, Hangul, full width.
+STABLE = r"\x00-\x{2ff}\x{391}-\x{3ce}\x{400}-\x{482}\x{2002}-\x{206f}\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30a1}-\x{30fe}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{ff00}-\x{ffef}"
 RESOLVER = r"^[^\p{L}\p{N}]*(?:(?:https?[^\p{L}\p{N}]*)?(?:(?:www|dx)\.)*doi\.org|doi(?=[^\p{L}\p{N}]))[^\p{L}\p{N}]*"
 
 
 @F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """The text in NFC. Texts of characters that NFC leaves as they are stay in the JVM; Python gets null for them."""
+    odd = F.coalesce(text.rlike(f"[^{STABLE}]"), F.lit(False))
+    return F.coalesce(_compose(F.when(odd, text)), text)
+
+
+def digest(*texts: Column) -> Column:
+    """128 bits of texts and their order; null differs from the empty text."""
+    whole = [x for t in texts for x in (t.isNull(), t)]
+    return F.struct(F.xxhash64(*whole).alias("x"), F.xxhash64(F.lit("second"), *whole).alias("y"))
 
 
 def _keep(text: Column) -> Column:
@@ -55,33 +75,41 @@ def from_json_payload(df: DataFrame, payload: str, fields: list[str]) -> DataFra
     return df.withColumns({f: pick(f) for f in fields}).drop("_items")
 
 
-def collapse(records: DataFrame, id_column: str, fields: dict[str, bool]) -> tuple[DataFrame, DataFrame]:
-    """(groups, membership of raw forms).
+def _survivors(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataFrame:
+    """Distinct raw forms, written: c0.. (canonical texts), least (smallest id), n (rows), raw and form (digests of the raw and canonical texts)."""
+    names = list(fields)
+    forms = records.groupBy(*names).agg(F.min(id_column).alias("least"), F.count("*").alias("n"))
+    forms = forms.withColumns({f"_t{i}": composed(F.col(f)) for i, f in enumerate(names)})
+    forms = forms.select(*[canonical(F.col(f"_t{i}"), fields[f]).alias(f"c{i}") for i, f in enumerate(names)], "least", "n", digest(*[F.col(f) for f in names]).alias("raw"))
+    forms = Cuts(records.sparkSession, "duplicates").cut(forms)
+    return forms.withColumn("form", digest(*[F.col(f"c{i}") for i in range(len(names))]))
+
+
+def _groups(survivors: DataFrame) -> DataFrame:
+    keys = [c for c in survivors.columns if re.fullmatch(r"c\d+", c)]
+    return survivors.groupBy(*keys).agg(F.min("least").alias("keeper"), F.sum("n").alias("n_copies"))
+
 
-    ``fields`` maps each compared column to whether a resolver address is no part of it. groups: the canonical columns
-    c0.., keeper (smallest id) and n_copies. membership: the raw columns with the keeper and n_copies of their group, one
-    row for each distinct raw form, so a join with it meets one row whatever the number of copies.
+def collapse(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataFrame:
+    """c0.. (the canonical texts), keeper (smallest id) and n_copies of each group.
+
+    ``fields`` maps each compared column to whether a resolver address is no part of it.
     """
-    names = list(fields)
-    raw = records.groupBy(*names).agg(F.min(id_column).alias("_least"), F.count("*").alias("_n"))
-    odd = F.lit(False)
-    for f in names:  # only texts with combining marks need composing; the others stay in the JVM
-        odd = odd | F.coalesce(F.col(f).rlike(r"[\p{Mn}\p{Mc}]"), F.lit(False))
-    plain = raw.where(~odd).withColumns({f"_c{i}": canonical(F.col(f), fields[f]) for i, f in enumerate(names)})
-    marked = raw.where(odd).withColumns({f"_t{i}": _compose(F.col(f)) for i, f in enumerate(names)})
-    marked = marked.withColumns({f"_c{i}": canonical(F.col(f"_t{i}"), fields[f]) for i, f in enumerate(names)}).drop(*[f"_t{i}" for i in range(len(names))])
-    survivors = plain.unionByName(marked)
-    keys = [f"_c{i}" for i in range(len(names))]
-    groups = survivors.groupBy(*keys).agg(F.min("_least").alias("keeper"), F.sum("_n").alias("n_copies"))
-    members = survivors.join(groups.where("n_copies > 1").withColumnsRenamed({k: f"{k}_g" for k in keys}), [F.col(k) == F.col(f"{k}_g") for k in keys])
-    return groups, members.select(*names, "keeper", "n_copies")
+    return _groups(_survivors(records.select(id_column, *fields), id_column, fields))
 
 
 def copies(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataFrame:
-    """keeper, id of each record that is not the smallest id of its group."""
-    names = list(fields)
-    records = records.select(id_column, *names)
-    _, members = collapse(records, id_column, fields)
-    right = members.select(*[F.col(f).alias(f"_r{i}") for i, f in enumerate(names)], "keeper")
-    rows = records.join(right, [F.col(f).eqNullSafe(F.col(f"_r{i}")) for i, f in enumerate(names)])
-    return rows.where(F.col(id_column) != F.col("keeper")).select("keeper", F.col(id_column).alias("id"))
+    """keeper, id of each record that is not the smallest id of its group.
+
+    The smallest row of a raw form is known from the first grouping; only forms of several rows meet the rows again.
+    """
+    records = records.select(id_column, *fields)
+    forms = _survivors(records, id_column, fields)
+    keys = [F.col(f"c{i}") for i in range(len(fields))]
+    groups = _groups(forms).where("n_copies > 1").select(digest(*keys).alias("form"), "keeper")
+    placed = forms.select("form", "raw", "least", "n").join(groups, "form").where("least <> keeper or n > 1").select("raw", "least", "n", "keeper")
+    placed = Cuts(records.sparkSession, "duplicates").cut(placed)
+    first = placed.where("least <> keeper").select("keeper", F.col("least").alias("id"))
+    several = placed.where("n > 1").select("raw", "least", "keeper")
+    rows = records.select(F.col(id_column).alias("id"), digest(*[F.col(f) for f in fields]).alias("raw")).join(several, "raw")
+    return first.unionByName(rows.where("id <> least").select("keeper", "id"))

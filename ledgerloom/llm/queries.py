@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_works(spark: SparkSession, d: str) -> DataFrame:
     """One record for each work, with its number of copies."""
-    groups, _ = duplicates.collapse(_records(spark, d), "sequence_index", P1_FIELDS)
+    groups = duplicates.collapse(_records(spark, d), "sequence_index", P1_FIELDS)
     return groups.select(F.col("keeper").cast("bigint").alias("sequence_index"), F.col("n_copies").cast("bigint").alias("n_copies"))
 
 
