@@ -1,7 +1,8 @@
 """Lineage cuts: tables written to the folder that all executors share.
 
 A cut is a parquet table under ``spark.checkpoint.dir``, so it outlives any executor, is compressed, and is read back
-with column pruning. Where the setting is unset (tests, a laptop) a temporary folder of the driver takes its place.
+with column pruning. Where the setting is unset, a local master gets a temporary folder of the driver; any other is
+refused, since its executors could not read what another machine wrote there.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: list[str] = []
 
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for cuts of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ledgerloom-")
         _own.append(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -47,6 +50,12 @@ class Cuts:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def observed(self, df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+        """As ``cut``, with aggregates that the write itself computes."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *[v.alias(k) for k, v in facts.items()]))
+        return out, seen.get
+
     def cut(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
