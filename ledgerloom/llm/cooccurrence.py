@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.materialise import Cuts
 
-#: Baskets of more items than this are multiplied as dense blocks of bits, shorter ones as sparse rows.
+#: Baskets of more items than this are multiplied one by one or as dense tiles, shorter ones all at once.
 LONG = 64
-#: Items per dense block, and the pairs a task holds before it hands on its partial sums.
-BLOCK, HELD = 1024, 1 << 20
+#: Items per tile, rows per tile, and the pairs (or entries of long baskets) a task holds before it hands on or multiplies them.
+BLOCK, ROWS, HELD = 1024, 2048, 1 << 20
 
 
 def _sparse(row: np.ndarray, item: np.ndarray, width: int) -> np.ndarray:
@@ -39,28 +39,47 @@ def _sparse(row: np.ndarray, item: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _dense(row: np.ndarray, item: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same product for long rows, by blocks of items: (codes, counts)."""
-    _, r = np.unique(row, return_inverse=True)
-    codes, counts = [], []
-    blocks = np.unique(item // BLOCK)
-    for at in range(0, int(r.max()) + 1, 2048):
-        here = (r >= at) & (r < at + 2048)
+def _long(row: np.ndarray, item: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same product for long rows, sorted by (row, item), in parts (codes, counts) of HELD codes or so.
+
+    Blocks of items that hold a thirty-second of their cells or more are multiplied as tiles, two at a time, where a matrix
+    product is cheaper than its pairs; all other pairs are made from each row itself. So the work follows the pairs
+    that exist, and what is held doesn't grow with the number of items.
+    """
+    edges = np.flatnonzero(np.diff(row)) + 1
+    begin, end = np.append(0, edges), np.append(edges, len(row))
+    for at in range(0, len(begin), ROWS):
+        part = slice(begin[at], end[min(at + ROWS, len(begin)) - 1])
+        here = item[part]
+        r = np.repeat(np.arange(len(begin[at : at + ROWS])), (end - begin)[at : at + ROWS])
+        names, of = np.unique(here // BLOCK, return_inverse=True)
+        full = np.flatnonzero(np.bincount(of) * 32 >= (r[-1] + 1) * BLOCK) if r[-1] >= 32 else np.empty(0, int)
         tiles = {}
-        for b in blocks:
-            m = here & (item // BLOCK == b)
-            x = np.zeros((2048, BLOCK), np.float32)
-            x[r[m] - at, item[m] - b * BLOCK] = 1
-            tiles[b] = x
-        for i, b in enumerate(blocks):
-            for c in blocks[i:]:
-                g = tiles[b].T @ tiles[c]
-                if b == c:
+        for k in full:
+            m = of == k
+            tiles[k] = np.zeros((r[-1] + 1, BLOCK), bool)
+            tiles[k][r[m], here[m] - names[k] * BLOCK] = True
+        for i, k in enumerate(full):
+            left = tiles[k].T.astype(np.float32)
+            for c in full[i:]:
+                g = left @ tiles[c].astype(np.float32)
+                if k == c:
                     g = np.triu(g, 1)
                 p, q = np.nonzero(g)
-                codes.append((p + b * BLOCK) * width + q + c * BLOCK)
-                counts.append(np.rint(g[p, q]).astype(np.int64))
-    return np.concatenate(codes), np.concatenate(counts)
+                yield (p + names[k] * BLOCK) * width + q + names[c] * BLOCK, np.rint(g[p, q]).astype(np.int64)
+        dense = np.zeros(len(names), bool)
+        dense[full] = True
+        done = dense[of]
+        for a, b in zip(begin[at : at + ROWS], end[at : at + ROWS]):
+            mine, tiled = item[a:b], done[a - part.start : b - part.start]
+            step = max(1, HELD // len(mine))
+            for first in range(0, len(mine), step):
+                x = slice(first, min(first + step, len(mine)))
+                pairs = np.arange(len(mine)) > np.arange(x.start, x.stop)[:, None]
+                pairs &= ~(tiled[x][:, None] & tiled)
+                i, j = np.nonzero(pairs)
+                codes = mine[x][i] * width + mine[j]
+                yield codes, np.ones(len(codes), np.int64)
 
 
 def _gram(width: int):
@@ -72,50 +91,63 @@ def _gram(width: int):
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by basket; a basket's rows may end in the next batch."""
-        codes, counts, held, rest = [], [], 0, None
-        none = np.empty(0, np.int64)
+        codes, counts, held = [], [], 0
+        late: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def take(row, item):
-            nonlocal held
-            order = np.lexsort((item, row))
-            row, item = row[order], item[order]
-            _, first, size = np.unique(row, return_index=True, return_counts=True)
-            long = np.repeat(size > LONG, size)
-            c = _sparse(row[~long], item[~long], width)
-            k, n = merge(c, np.ones(len(c))) if len(c) else (none, none)
+        def out():
+            for i in range(0, len(codes[0]), 1 << 18):
+                k = codes[0][i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(k // width), pa.array(k % width), pa.array(counts[0][i : i + (1 << 18)])], schema=schema)
+
+        def add(k, n):
+            """Hold partial sums; hand them on when there are too many of them."""
+            nonlocal codes, counts, held
             codes.append(k)
             counts.append(n)
-            if long.any():
-                k, n = _dense(row[long], item[long], width)
-                codes.append(k)
-                counts.append(n)
-            held = sum(map(len, codes))
+            held += len(k)
+            if held > HELD:
+                k, n = merge(np.concatenate(codes), np.concatenate(counts))
+                codes, counts, held = [k], [n], len(k)
+                if held > HELD:
+                    yield from out()
+                    codes, counts, held = [], [], 0
 
-        def out():
-            k, n = merge(np.concatenate(codes), np.concatenate(counts))
-            for i in range(0, len(k), 1 << 18):
-                a, b = k[i : i + (1 << 18)] // width, k[i : i + (1 << 18)] % width
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n[i : i + (1 << 18)])], schema=schema)
+        def long():
+            row, item = (np.concatenate(x) for x in zip(*late))
+            late.clear()
+            for k, n in _long(row, item, width):
+                yield from add(k, n)
 
+        def take(row, item):
+            order = np.lexsort((item, row))
+            row, item = row[order], item[order]
+            _, size = np.unique(row, return_counts=True)
+            many = np.repeat(size > LONG, size)
+            c = _sparse(row[~many], item[~many], width)
+            yield from add(c, np.ones(len(c), np.int64))
+            if many.any():
+                late.append((row[many], item[many]))
+                if sum(len(x) for x, _ in late) > HELD:
+                    yield from long()
+
+        kept: list[tuple[np.ndarray, np.ndarray]] = []  # batches of a basket that goes on and on
         for batch in batches:
             row, item = batch.column("basket").to_numpy(zero_copy_only=False), batch.column("item").to_numpy(zero_copy_only=False)
-            if rest is not None:
-                row, item = np.concatenate([rest[0], row]), np.concatenate([rest[1], item])
             if not len(row):
                 continue
+            kept.append((row, item))
+            if row[0] == row[-1] and kept[0][0][0] == row[0]:
+                continue
+            row, item = (np.concatenate(x) for x in zip(*kept))
             last = row == row[-1]  # the last basket may go on
-            rest = (row[last], item[last])
-            if not last.all():
-                take(row[~last], item[~last])
-            if held > HELD:
-                k, n = merge(np.concatenate(codes), np.concatenate(counts))
-                codes, counts, held = [k], [n], len(k)
-                if held > HELD:
-                    yield from out()
-                    codes, counts, held = [], [], 0
-        if rest is not None:
-            take(*rest)
+            kept = [(row[last], item[last])]
+            yield from take(row[~last], item[~last])
+        if kept:
+            yield from take(*(np.concatenate(x) for x in zip(*kept)))
+        if late:
+            yield from long()
         if held:
+            codes, counts = ([x] for x in merge(np.concatenate(codes), np.concatenate(counts)))
             yield from out()
 
     return block

@@ -57,19 +57,19 @@ def p2_judges(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1].select(F.col("judge").alias("judge_id"), "skill", "accuracy", "n_votes")
 
 
-def _rebuild(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    events = load(spark, d, "session_event", "event_id", "session_id", "host", "ts", "type", "data")
-    return conversations.rebuild(spark, events, load(spark, d, "clock_zone"))
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "session_event", "event_id", "session_id", "host", "ts", "type", "data")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The sessions to drop."""
-    return _rebuild(spark, d)[0].where("dropped").select("session_id")
+    return conversations.rebuild(spark, _events(spark, d), load(spark, d, "clock_zone"))[0].where("dropped").select("session_id")
 
 
 def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     """The kept sessions as ordered messages with speakers."""
-    return conversations.ordered_messages(*_rebuild(spark, d))
+    events = _events(spark, d)
+    return conversations.ordered_messages(*conversations.rebuild(spark, events, load(spark, d, "clock_zone")), events)
 
 
 def _label(c):

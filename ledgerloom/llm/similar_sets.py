@@ -6,7 +6,8 @@ the README). Instead the pigeonhole is applied to the sets themselves, where it
 two sets that must share c elements share k of them among the first (size - c + k) of each. Each set emits the k-subsets
 of that prefix (k = 3, 2 for the smallest sets, 1 for pairs of large ones) and equal subsets are joined. A packed 64-bit
 code of each set (one hashed bit per element) then drops candidates beyond the Hamming radius that the threshold allows,
-which is an exact bound, and the original sets are verified.
+which is an exact bound, and the original sets are verified. Up to there only numbers travel: the hash of the subset (two
+subsets of one hash are one more candidate), the class, the code and the sizes; the sets meet the surviving pairs alone.
 
 Defined results: null or blank elements don't count, elements count once, a null or empty set is similar to none, a
 record given in several rows has the union of their sets, records with equal sets are joined once as a class and expanded
@@ -19,6 +20,7 @@ import math
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from ledgerloom.plans.materialise import Cuts
 
 #: Pairs with both sizes above this are found by single elements, all others by subsets of two or three.
 LARGE = 12
+#: Signatures made at once, and the odd number that mixes element hashes.
+HELD, MIX = 1 << 16, np.uint64(0x9E3779B97F4A7C15)
 
 
 def _needed(a: int, b: int, f1: float) -> int:
@@ -48,71 +52,82 @@ def subsets(size: int, f1: float) -> list[tuple[int, int]]:
 
 
 def _signatures(f1: float):
-    schema = pa.schema([("sig", pa.string()), ("class_id", pa.int64())])
+    """sig, class_id, code, n of every signature of a set, given as 64-bit element hashes in order of rarity."""
+    schema = pa.schema([("sig", pa.int64()), ("class_id", pa.int64()), ("code", pa.int64()), ("n", pa.int32())])
+    plans: dict[int, np.ndarray | list] = {}
+
+    def plan(size: int) -> list[np.ndarray]:
+        out = plans.get(size)
+        if out is None:
+            out = plans[size] = [np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k) for k, n in subsets(size, f1)]
+        return out
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, list[tuple[int, int]]] = {}
-        sigs: list[str] = []
-        ids: list[int] = []
         for batch in batches:
-            for cid, items in zip(batch.column("class_id").to_pylist(), batch.column("ranked").to_pylist()):
-                plan = plans.get(len(items))
-                if plan is None:
-                    plan = plans[len(items)] = subsets(len(items), f1)
-                for k, n in plan:
-                    for x in combinations(items[:n], k):
-                        sigs.append(",".join(map(str, x)))
-                        ids.append(cid)
-                        if len(sigs) >= 1 << 16:
-                            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(ids, pa.int64())], schema=schema)
-                            sigs, ids = [], []
-        if sigs:
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(ids, pa.int64())], schema=schema)
+            ranked = batch.column("ranked")
+            values, offsets = ranked.flatten().to_numpy().view(np.uint64), ranked.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            sizes, ids = np.diff(offsets), batch.column("class_id").to_numpy()
+            bits = np.uint64(1) << (values & np.uint64(63))
+            for size in np.unique(sizes):
+                if not size:
+                    continue
+                of = np.flatnonzero(sizes == size)
+                items = values[offsets[of][:, None] + np.arange(size)]
+                code = np.bitwise_or.reduceat(bits, offsets[:-1][sizes > 0])[np.searchsorted(np.flatnonzero(sizes > 0), of)]
+                for picks in plan(int(size)):
+                    step = max(1, HELD // max(1, len(picks)))
+                    for at in range(0, len(of), step):
+                        part = items[at : at + step][:, picks]
+                        sig = np.full(part.shape[:2], picks.shape[1], np.uint64)
+                        for j in range(picks.shape[1]):
+                            sig = (sig ^ part[:, :, j]) * MIX
+                            sig ^= sig >> np.uint64(31)
+                        n = part.shape[1]
+                        own = slice(at, at + step)
+                        columns = [sig.ravel().view(np.int64), np.repeat(ids[of[own]], n), np.repeat(code[own].view(np.int64), n), np.full(sig.size, size, np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return emit
 
 
 def classes(cuts: Cuts, rows: DataFrame, sets: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(classes: class_id and the distinct combinations of sets; membership: class_id, id).
+    """(classes: class_id, the distinct combinations of sets, n_ids, least; membership: class_id, id).
 
-    ``rows`` has id and the array columns ``sets``, already cleaned. The sets of an id are the unions over its rows.
+    ``rows`` has id and the array columns ``sets``, already cleaned. The sets of an id are the unions over its rows. An id
+    finds its class by 128 bits of its sets.
     """
-    rows = rows.where("id is not null")
-    one = rows.groupBy("id").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(s, F.array().cast("array<string>")))))).alias(s) for s in sets])
+    one = rows.where("id is not null").groupBy("id").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(s, F.array().cast("array<string>")))))).alias(s) for s in sets])
     full = F.lit(True)
     for s in sets:
         full = full & (F.size(s) > 0)
-    one = cuts.cut(one.where(full))
-    kinds = cuts.cut(one.groupBy(*sets).agg(F.count("*").alias("n_ids"), F.min("id").alias("least")).withColumn("class_id", F.monotonically_increasing_id()))
-    members = one.join(kinds.select(*[F.col(s).alias(f"_{s}") for s in sets], "class_id"), [F.col(s) == F.col(f"_{s}") for s in sets]).select("class_id", "id")
-    return kinds, cuts.cut(members)
+    digest = F.struct(F.xxhash64(*sets).alias("x"), F.xxhash64(F.lit("second"), *sets).alias("y"))
+    one = cuts.cut(one.where(full).withColumn("digest", digest))
+    kinds = cuts.cut(one.groupBy("digest", *sets).agg(F.count("*").alias("n_ids"), F.min("id").alias("least")).withColumn("class_id", F.monotonically_increasing_id()))
+    return kinds, one.select("id", "digest").join(kinds.select("digest", "class_id"), "digest").select("class_id", "id")
 
 
 def class_pairs(cuts: Cuts, kinds: DataFrame, main: str, f1: dict[str, float]) -> DataFrame:
     """class_a < class_b of the different classes that are similar in every set; ``main`` makes the candidates."""
-    counts = kinds.select(F.explode(main).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    items = cuts.cut(counts)
-    # Rarest first. The rank is (count, text), a number made of both keeps the order without a global sort.
-    coded = items.select("item", "n", F.xxhash64("item").alias("h"))
-    flat = kinds.select("class_id", F.explode(main).alias("item")).join(coded, "item")
-    ranked = flat.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "item", "h"))).alias("r"))
+    items = cuts.cut(kinds.select(F.explode(main).alias("item")).groupBy("item").agg(F.count("*").alias("n")))
+    # Rarest first. The rank is (count, hash), a number made of both keeps the order without a global sort.
+    flat = kinds.select("class_id", F.explode(main).alias("item")).join(items, "item").select("class_id", "n", F.xxhash64("item").alias("h"))
+    ranked = flat.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("r"))
     ranked = ranked.select("class_id", F.transform("r", lambda x: x["h"]).alias("ranked"))
-    wide = ranked.join(kinds.select("class_id", *f1), "class_id")
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))
-    wide = cuts.cut(wide.withColumn("code", F.aggregate("ranked", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit(x)))))
-    sigs = wide.select("class_id", "ranked").mapInArrow(_signatures(f1[main]), "sig string, class_id bigint")
-    body = wide.select("class_id", "code", *f1)
-    shared = cuts.cut(sigs.join(body, "class_id"))
-    a = shared.select("sig", *[F.col(c).alias(f"a_{c}") for c in ("class_id", "code", *f1)])
-    b = shared.select(F.col("sig").alias("sig_b"), *[F.col(c).alias(f"b_{c}") for c in ("class_id", "code", *f1)])
-    near = (a.sig == b.sig_b) & (F.col("a_class_id") < F.col("b_class_id"))
-    total = F.size(f"a_{main}") + F.size(f"b_{main}")
+    sigs = cuts.cut(ranked.mapInArrow(_signatures(f1[main]), "sig bigint, class_id bigint, code bigint, n int"))
+    a = sigs.select("sig", F.col("class_id").alias("class_a"), F.col("code").alias("code_a"), F.col("n").alias("n_a"))
+    b = sigs.select("sig", F.col("class_id").alias("class_b"), F.col("code").alias("code_b"), F.col("n").alias("n_b"))
+    total = F.col("n_a") + F.col("n_b")
     radius = total - 2 * F.ceil(F.lit(f1[main]) * total / 2 - 1e-9)
-    near = near & (F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code"))) <= radius)
+    near = (F.col("class_a") < F.col("class_b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius)
+    near = cuts.cut(a.join(b, "sig").where(near).select("class_a", "class_b").distinct())
+    for side in ("a", "b"):
+        near = near.join(kinds.select(F.col("class_id").alias(f"class_{side}"), *[F.col(s).alias(f"{side}_{s}") for s in f1]), f"class_{side}")
+    good = F.lit(True)
     for s, least in f1.items():
         common = F.size(F.array_intersect(f"a_{s}", f"b_{s}"))
-        near = near & (2 * common >= F.lit(least) * (F.size(f"a_{s}") + F.size(f"b_{s}")) - 1e-9)
-    return a.join(b, near).select(F.col("a_class_id").alias("class_a"), F.col("b_class_id").alias("class_b")).distinct()
+        good = good & (2 * common >= F.lit(least) * (F.size(f"a_{s}") + F.size(f"b_{s}")) - 1e-9)
+    return near.where(good).select("class_a", "class_b")
 
 
 def similar_pairs(spark, rows: DataFrame, main: str, f1: dict[str, float]) -> DataFrame:

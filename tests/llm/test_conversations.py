@@ -58,9 +58,10 @@ def zones(spark):
 
 
 def test_sessions(spark, zones):
-    sessions, messages = cv.rebuild(spark, events(spark), zones)
+    rows = events(spark)
+    sessions, messages = cv.rebuild(spark, rows, zones)
     assert {r.session_id: r.reason for r in sessions.collect()} == {k: v[1] for k, v in SESSIONS.items()}
-    kept = cv.ordered_messages(sessions, messages).where("session_id = 'good'").orderBy("position").collect()
+    kept = cv.ordered_messages(sessions, messages, rows).where("session_id = 'good'").orderBy("position").collect()
     assert [(r.position, r.speaker, r.content) for r in kept] == [(1, "user", "hi"), (2, "tool", "r"), (3, "assistant", "yo"), (4, "user", "note")]
 
 
@@ -68,9 +69,10 @@ def test_long_session_over_partitions(spark, zones):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         part = [(i, U if i % 2 == 0 else A, say(f"m{i}")) for i in range(400)]
-        sessions, messages = cv.rebuild(spark, events(spark, {"long": (part, None), "b": ([(1, U, say("x"))], None)}), zones)
+        rows = events(spark, {"long": (part, None), "b": ([(1, U, say("x"))], None)})
+        sessions, messages = cv.rebuild(spark, rows, zones)
         assert {r.session_id: r.reason for r in sessions.collect()} == {"long": None, "b": "missing reply"}
-        got = [r.content for r in cv.ordered_messages(sessions, messages).orderBy("position").collect()]
+        got = [r.content for r in cv.ordered_messages(sessions, messages, rows).orderBy("position").collect()]
         assert got == [f"m{i}" for i in range(400)]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -83,7 +85,24 @@ def test_empty(spark, zones):
 
 def test_pointers(spark):
     rows = [(1, None), (2, 1), (3, 2), (4, -1), (5, 4), (6, 7), (7, 6), (8, 7), (9, 99), (10, 10)] + [(100 + i, 99 + i if i else 1) for i in range(70)]
-    got = {r.id: (r.root if r.status != "cycle" else None, r.status) for r in cv.resolve(Cuts(spark, "t"), spark.createDataFrame(rows, "id bigint, ptr bigint")).collect()}
-    assert got[1] == (1, "root") and got[3] == (1, "ok") and got[169] == (1, "ok")
-    assert got[4][1] == got[5][1] == got[9][1] == "orphan"
-    assert got[6][1] == got[7][1] == got[8][1] == got[10][1] == "cycle"
+    ends, opened = cv.resolve(Cuts(spark, "t"), spark.createDataFrame(rows, "id bigint, ptr bigint"))
+    got = {r.id: (r.root if r.status != "cycle" else None, r.status, r.depth) for r in ends.collect()}
+    assert len(got) == len(rows)
+    assert got[1] == (1, "root", 1) and got[3] == (1, "ok", 3) and got[169] == (1, "ok", 71)
+    assert got[4][1:] == ("orphan", 1) and got[5] == (4, "orphan", 2) and got[9][1:] == ("orphan", 1)
+    assert got[6] == got[7] == got[8] == got[10] == (None, "cycle", None)
+    assert opened[0] == 77 and opened == sorted(opened, reverse=True) and opened[6] > opened[-1] == 4  # the joins resolve them, 2**k steps a round
+
+
+def test_pointers_against_walking(spark):
+    rng = random.Random(8)
+    ptr = {i: rng.choice([None, -1, rng.randrange(400), rng.randrange(max(1, i)), i - 1 if i else None]) for i in range(300)}
+    want = {}
+    for i in ptr:
+        x, path = i, []
+        while x in ptr and x not in path and ptr[x] is not None and ptr[x] in ptr:
+            path.append(x)
+            x = ptr[x]
+        want[i] = ("cycle", None) if x in path else ("orphan" if ptr[x] is not None else "ok" if path else "root", len(path) + 1)
+    ends, _ = cv.resolve(Cuts(spark, "t"), spark.createDataFrame(list(ptr.items()), "id bigint, ptr bigint"))
+    assert {r.id: (r.status, r.depth) for r in ends.collect()} == want

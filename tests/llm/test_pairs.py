@@ -3,7 +3,10 @@
 import collections
 import itertools
 import random
+import time
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import cooccurrence as cc
@@ -35,6 +38,39 @@ def test_gram(spark, least):
     assert got == brute(rows, least)
 
 
+def _product(row, item, width):
+    got = collections.Counter()
+    for codes, counts in cc._long(np.array(row), np.array(item), width):
+        got.update(dict(zip(*(x.tolist() for x in (codes, counts))))) if len(set(codes.tolist())) == len(codes) else [got.update({c: n}) for c, n in zip(codes.tolist(), counts.tolist())]
+    return {divmod(c, width): n for c, n in got.items()}
+
+
+@pytest.mark.parametrize("share", [0.01, 0.4])
+def test_long_baskets(share):
+    """Thin rows go pair by pair, full blocks as tiles, and most rows have items of both."""
+    rng = random.Random(3)
+    rows = {r: sorted(rng.sample(range(1024), int(1024 * share) + 2) + rng.sample(range(1024, 50_000), 9)) for r in range(60)}
+    want = collections.Counter(p for s in rows.values() for p in itertools.combinations(s, 2))
+    got = _product([r for r, s in rows.items() for _ in s], [i for s in rows.values() for i in s], 50_000)
+    assert got == want
+
+
+def test_a_long_basket_over_many_blocks():
+    """One basket of 70 items in as many as 1,000 blocks, then one of 20,000: in time, in memory, in parts."""
+    item = np.arange(70) * 14_000
+    assert len(np.unique(item // cc.BLOCK)) == 70
+    tracemalloc.start()
+    start = time.time()
+    for items in (np.arange(70) * 14_000, np.arange(1000) * cc.BLOCK):
+        n = sum(len(c) for c, _ in cc._long(np.zeros(len(items), np.int64), items, 1 << 20))
+        assert n == len(items) * (len(items) - 1) // 2
+    assert time.time() - start < 1 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    sizes = [len(c) for c, _ in cc._long(np.zeros(20_000, np.int64), np.arange(20_000), 1 << 20)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 20_000 * 19_999 // 2 and max(sizes) <= 1 << 20 and peak < 200 << 20
+
+
 def test_gram_small(spark):
     empty = spark.createDataFrame([], "kind string, basket string, item string")
     assert cc.pair_counts(spark, empty).count() == 0
