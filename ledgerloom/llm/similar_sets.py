@@ -92,7 +92,7 @@ def _signatures(f1: float):
 
 
 def classes(cuts: Cuts, rows: DataFrame, sets: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(classes: class_id, the distinct combinations of sets, n_ids, least; membership: class_id, id).
+    """(classes: class_id, the distinct combinations of sets, n_ids; membership: class_id, id).
 
     ``rows`` has id and the array columns ``sets``, already cleaned. The sets of an id are the unions over its rows. An id
     finds its class by 128 bits of its sets.
@@ -103,7 +103,7 @@ def classes(cuts: Cuts, rows: DataFrame, sets: list[str]) -> tuple[DataFrame, Da
         full = full & (F.size(s) > 0)
     digest = F.struct(F.xxhash64(*sets).alias("x"), F.xxhash64(F.lit("second"), *sets).alias("y"))
     one = cuts.cut(one.where(full).withColumn("digest", digest))
-    kinds = cuts.cut(one.groupBy("digest", *sets).agg(F.count("*").alias("n_ids"), F.min("id").alias("least")).withColumn("class_id", F.monotonically_increasing_id()))
+    kinds = cuts.cut(one.groupBy("digest", *sets).agg(F.count("*").alias("n_ids")).withColumn("class_id", F.monotonically_increasing_id()))
     return kinds, one.select("id", "digest").join(kinds.select("digest", "class_id"), "digest").select("class_id", "id")
 
 
@@ -151,5 +151,6 @@ def class_report(spark, rows: DataFrame, main: str, f1: dict[str, float]) -> Dat
     sizes = kinds.select(F.col("class_id").alias("other"), F.col("n_ids").alias("n_other"))
     both = links.select("class_a", F.col("class_b").alias("other")).unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("other")))
     degree = both.join(sizes, "other").groupBy(F.col("class_a").alias("class_id")).agg(F.sum("n_other").alias("n_far"))
-    full = kinds.join(degree, "class_id", "left").select("class_id", "least", (F.coalesce("n_far", F.lit(0)) + F.col("n_ids") - 1).alias("n_links"))
+    least = members.groupBy("class_id").agg(F.min("id").alias("least"))
+    full = kinds.join(degree, "class_id", "left").join(least, "class_id").select("class_id", "least", (F.coalesce("n_far", F.lit(0)) + F.col("n_ids") - 1).alias("n_links"))
     return members.join(full, "class_id").select("id", F.col("least").alias("class_id"), "n_links")
