@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from ledgerloom.llm import consensus as co
+from ledgerloom.plans.materialise import Cuts
 
 SCHEMA = "judge string, item string, label string, at int"
 
@@ -45,3 +48,27 @@ def test_edges(spark):
 def test_empty(spark):
     per_item, judges = co.consensus(spark, spark.createDataFrame([], SCHEMA))
     assert per_item.count() == 0 and judges.count() == 0
+
+
+def test_leading_vectors(spark):
+    """Against dense eigenvectors: one plain, one whose largest eigenvalue in size is negative, one of all zeros."""
+    rng = np.random.default_rng(4)
+    u = rng.random(9) + 0.2
+    plain = np.outer(u, u) + 0.02 * rng.normal(size=(9, 9))
+    negative = 0.3 * np.outer(u, u) - 5 * np.diag(np.arange(9) / 9.0)
+    ms = {"A": (plain + plain.T) / 2, "B": negative, "tie": np.zeros((9, 9))}
+    rows = [(z, f"j{i}", f"j{j}", float(m[i, j])) for z, m in ms.items() for i in range(9) for j in range(9)]
+    judges = spark.createDataFrame([(z, f"j{i}") for z in ms for i in range(9)], "label string, judge string")
+    out, left = co.leading_vectors(Cuts(spark, "t"), spark.createDataFrame(rows, "label string, i string, j string, x double"), judges)
+    got = {(r.label, r.judge): r.v for r in out.collect()}
+    assert not left
+    for z in ("A", "B"):
+        v = np.linalg.eigh(ms[z])[1][:, -1]
+        mine = np.array([got[z, f"j{i}"] for i in range(9)])
+        assert abs(abs(mine @ v) - 1) < 1e-4 and abs(np.linalg.norm(mine) - 1) < 1e-6
+
+
+def test_no_skill_leaves_it_to_the_votes(spark):
+    rows = [(f"j{j}", "t1", "tie" if j < 3 else "A", 1) for j in range(5)]
+    per_item, _ = co.consensus(spark, spark.createDataFrame(rows, SCHEMA))
+    assert per_item.first().label == "tie"
