@@ -3,13 +3,15 @@
 Reviews flag whole documents, so token labels come first: a passage model is fitted to the flags by multiple-instance
 rounds (in a flagged document the passages that explain the flag are positive, in others none is; documents whose flag no
 passage explains, and passages sure against their flag, are set aside as wrong flags); in positive passages the tokens
-that carry the evidence for it are labelled. A short list of examples written here joins them. The field is then fitted to
-these tokens. Spans are the runs of tokens whose forward-backward marginal reaches the threshold, and a document's score
-is the largest mean of a span (without any, its largest marginal).
+that carry the evidence for it are labelled, the others of the passage are not. The field is then fitted to these tokens,
+from all passages of the reviewed documents (equal harmless ones as one of their joint weight). Spans are the runs of
+tokens whose forward-backward marginal reaches the threshold, and a document's score is the largest mean of a span
+(without any, the largest chance that a passage has an offending token, which is below the threshold or set just below it).
 
 Defined results: null, empty and blank texts score 0 without spans; texts are taken whole; repeated rows are scored each;
-of several reviews the largest share decides, null flags don't count; without positive reviews the examples alone are used.
-The field is fitted on at most ``max_reviews`` reviewed documents (the smallest hashes of doc_id); all documents are scored.
+of several reviews the largest share decides, null flags don't count; without positive reviews no document is offending.
+The field is fitted on at most ``max_reviews`` reviewed documents (the smallest hashes of doc_id) of at most ``max_chars``
+characters together; all documents are scored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PASSAGE = re.compile(r"[^\n。！？.!?]*(?:[.!?](?!\s|$)[^\n。！？.!?]*)*(?:[。！？]+|[.!?]+(?=\s|$)|\n|$)")
@@ -34,6 +36,8 @@ ALIKE = str.maketrans("аеорсухіѕјһкмтн", "aeopcyxisjhkmth")
 JOINERS = re.compile("[­​‌‍ ]")
 #: Cells (passages times tokens) that forward-backward holds at once; characters that are read at once.
 CELLS, CHARS = 400_000, 1_000_000
+#: Spellings a worker keeps.
+SPELLINGS = 300_000
 #: A passage of more tokens than the first is read in windows of the second, each beginning so many tokens after the one before.
 LONG, WINDOW, STRIDE = 32, 12, 6
 #: The share of a passage's largest log-odds from which a token carries its evidence.
@@ -43,28 +47,6 @@ BITS = 20
 MASK = np.uint64((1 << BITS) - 1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
-#: Examples written for this module: offending passages, and passages that only look so.
-OFFENDING = (
-    "You are a complete idiot and everybody knows it.", "Shut up, you stupid piece of garbage.", "I will find you and break your legs.",
-    "People like you should be shot.", "Women are too stupid for this work.", "Those immigrants are vermin and must be thrown out.",
-    "Hot naked girls want to meet you tonight, click here.", "Go kill yourself, nobody would miss you.", "What a pathetic loser you are.",
-    "Watch your back, I know where you live.", "They are animals, all of them, and should be locked up.", "Free porn videos, no sign-up needed.",
-    "Du bist ein Idiot und gehörst rausgeworfen.", "Halt die Fresse, du Versager.", "Ausländer sind Abschaum und sollen verschwinden.",
-    "Tu es un imbécile et un menteur.", "Ferme-la, sale idiot.", "Les étrangers sont de la vermine.", "你这个白痴，去死吧。", "这些人都是垃圾，滚出去。", "成人视频免费看。",
-)
-HARMLESS = (
-    "The list of forbidden words contains 'idiot' and 'moron'.", "The process was killed after the child had died.", "Damn, the build broke again.",
-    "I was such an idiot to forget the lock file.", "The study annotates hateful comments and reports their rate.", "The master sends the batch to each slave node.",
-    "The policy forbids insults and threats against other users.", "This is a stupid bug, but an easy one.", "Dead code and garbage collection are discussed in section two.",
-    "Das Wort 'Idiot' wurde aus dem Kommentar entfernt.", "Le mot « idiot » a été supprimé du commentaire.", "该词表列出了应删除的辱骂词。", "The sex ratio of the sample was even.",
-    "Wir haben die Messung wiederholt und die mittlere Abweichung bestimmt.", "Die Seite sammelt Aussagen und nennt die Quelle.", "Es bleibt offen, ob das Verfahren auch für größere Systeme genügt.",
-    "Nach der neuen Fassung sinkt die Laufzeit, und die Tabelle zeigt den Exponenten.", "Hat jemand gefragt, ob eine andere Methode die Kürzung überflüssig macht?", "Im Vergleich zu einem Kern ist das besser.",
-    "Nous avons répété la mesure et la figure montre le résultat.", "Il reste à savoir si la méthode suffit pour des systèmes plus grands.", "Par rapport à une autre méthode, le temps de calcul est plus court.",
-    "La page rassemble les énoncés et renvoie à la source.", "我们重复了测量，并给出了数值结果。", "该页面汇总了相关陈述，证据见原始文件。", "学生应先推导结果，再参加研讨会。", "与其他方法相比，计算时间减少了。",
-    "This page collects statements and links them to the source.", "The figure shows the result for sizes up to ten.", "We thank the members of the group for comments.", "For small systems the method converges slowly.",
-)
-
-
 def normal(token: str) -> str:
     """A token in one spelling: case, width, joiners, spaced letters and look-alike signs undone; numbers as '#'."""
     t = JOINERS.sub("", unicodedata.normalize("NFKC", token)).lower()
@@ -98,38 +80,44 @@ def shape(raw: str) -> str:
     return f"<{kind}>" if raw.isalpha() else "<odd>"
 
 
-class Reader:
-    """Tokens of passages as arrays of hashed features; spellings met before are kept.
+class Reader(dict):
+    """Tokens of passages as arrays of codes; a dict of the spellings met so far and their places in the tables of codes.
 
     Words outside ``known`` are read as their shape; their skeletons stay.
     """
 
     def __init__(self, known: set[int] | None = None):
-        self.kept: dict[str, tuple[int, int]] = {}
+        super().__init__()
         self.known = known
+        self.words: list[int] = []
+        self.skeletons: list[int] = []
 
-    def _code(self, raw: str) -> tuple[int, int]:
+    def __missing__(self, raw: str) -> int:
         word = normal(raw)
         skel = skeleton(word)
         if self.known is not None and zlib.crc32(word.encode("utf-8", "replace")) not in self.known:
             word = shape(raw)
-        if len(self.kept) > 300_000:
-            self.kept.clear()
-        out = self.kept[raw] = (zlib.crc32(word.encode("utf-8", "replace")), zlib.crc32(skel.encode()) if skel else 0)
+        self.words.append(zlib.crc32(word.encode("utf-8", "replace")))
+        self.skeletons.append(zlib.crc32(skel.encode()) if skel else 0)
+        out = self[raw] = len(self.words) - 1
         return out
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word codes, skeleton codes, first token of each passage, document of each passage, start and end of each); windows of long passages stand for them."""
-        codes: list[tuple[int, int]] = []
+        if len(self) > SPELLINGS:
+            self.clear()
+            self.words, self.skeletons = [], []
+        codes: list[int] = []
         starts, owners, spans = [], [], []
-        kept, code, find = self.kept, self._code, TOKEN.findall
+        code, find, speaker, add = self.__getitem__, TOKEN.findall, SPEAKER.match, codes.extend
         for d, text in enumerate(texts):
             if not text:
                 continue
             for a, b in passages(text):
-                said = SPEAKER.match(text, a, b)
-                tokens = find(text, said.end() if said else a, b)
-                a = said.end() if said else a
+                said = speaker(text, a, b)
+                if said:
+                    a = said.end()
+                tokens = find(text, a, b)
                 if len(tokens) > LONG:
                     where = [m.span() for m in TOKEN.finditer(text, a, b)]
                     for at in range(0, len(tokens) - WINDOW + STRIDE, STRIDE):
@@ -137,14 +125,15 @@ class Reader:
                         owners.append(d)
                         own = where[at : at + WINDOW]
                         spans.append((own[0][0], own[-1][1]))
-                        codes += [kept.get(t) or code(t) for t in tokens[at : at + WINDOW]]
+                        add(map(code, tokens[at : at + WINDOW]))
                 elif tokens:
                     starts.append(len(codes))
                     owners.append(d)
                     spans.append((a, b))
-                    codes += [kept.get(t) or code(t) for t in tokens]
-        pair = np.array(codes, np.uint64).reshape(-1, 2)
-        return pair[:, 0], pair[:, 1], np.array(starts, np.int64), np.array(owners, np.int64), np.array(spans, np.int64).reshape(-1, 2)
+                    add(map(code, tokens))
+        at = np.array(codes, np.int64)
+        words, skeletons = np.array(self.words, np.uint64), np.array(self.skeletons, np.uint64)
+        return words[at], skeletons[at], np.array(starts, np.int64), np.array(owners, np.int64), np.array(spans, np.int64).reshape(-1, 2)
 
 
 def features(word: np.ndarray, skel: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,12 +158,12 @@ def features(word: np.ndarray, skel: np.ndarray, starts: np.ndarray) -> tuple[np
     return local, shared
 
 
-def _fold(kind: int, xs: tuple[np.ndarray, ...]) -> np.ndarray:
+def _fold(kind: int, xs: tuple[np.ndarray, ...], bits: int = BITS) -> np.ndarray:
     out = np.uint64(kind) * MIX[1]
     for x in xs:
         out = (out ^ x) * MIX[0]
         out = out ^ (out >> np.uint64(29))
-    return ((out * MIX[2]) >> np.uint64(40) & MASK).astype(np.int64)
+    return out * MIX[2] if bits == 64 else ((out * MIX[2]) >> np.uint64(40) & MASK).astype(np.int64)
 
 
 class Field:
@@ -191,10 +180,13 @@ class Field:
         whole = np.add.reduceat(self.w[shared].sum(1), starts) / np.sqrt(lengths) if len(starts) else np.zeros(0)
         return own + np.repeat(whole, lengths) + self.bias / 4
 
-    def marginals(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of the offending state for each token, expected moves summed), by forward-backward over all passages."""
+    def marginals(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability of the offending state for each token, expected moves summed, chance of each passage to have any), by forward-backward.
+
+        A passage with a chance below ``least`` has no token above it: its tokens are given 0 without the way back.
+        """
         n = len(starts)
-        out, moves = np.zeros(len(e)), np.zeros((2, 2))
+        out, moves, chance = np.zeros(len(e)), np.zeros((2, 2)), np.zeros(n)
         order, end = np.argsort(-lengths, kind="stable"), 0
         while end < n:  # the longest first; a batch has a bounded number of cells, however long a passage is
             at, t = end, int(lengths[order[end]])
@@ -212,6 +204,12 @@ class Field:
                 a[i, :, 1] += x[:, i]
                 a[i] = np.where(valid[:, i, None], a[i], a[i - 1])
             z = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
+            chance[part] = 1 - np.exp(np.minimum((ls - 1) * self.move[0, 0] - z, 0))
+            if least:
+                go = np.flatnonzero(chance[part] >= least)
+                if not len(go):
+                    continue
+                part, ls, index, valid, x, z, a = part[go], ls[go], index[go], valid[go], x[go], z[go], a[:, go]
             b = np.zeros((len(part), 2))
             for i in range(t - 1, -1, -1):
                 p = np.exp(np.minimum(a[i] + b - z[:, None], 0))
@@ -222,7 +220,7 @@ class Field:
                     joint = a[i - 1][:, :, None] + self.move + emit[:, None, :]
                     moves += np.exp(np.minimum(joint - z[:, None, None], 0))[ok].sum(0)
                     b = np.where(ok[:, None], np.logaddexp(self.move[:, 0] + emit[:, :1], self.move[:, 1] + emit[:, 1:]), b)
-        return out, moves
+        return out, moves, chance
 
     def fit(self, local, shared, starts, labels: np.ndarray, weight: np.ndarray, epochs: int = 4, batch: int = 512, rate: float = 0.15, decay: float = 1e-5, seed: int = 7) -> None:
         """Adagrad on the log-likelihood; ``labels`` are those of the tokens, ``weight`` that of each passage's tokens."""
@@ -238,7 +236,7 @@ class Field:
                 lo, sh = local[token], shared[token]
                 y, v = labels[token], np.repeat(weight[part], ls)
                 e = self.emissions(lo, sh, begin, ls)
-                p, moves = self.marginals(e, begin, ls)
+                p, moves, _ = self.marginals(e, begin, ls)
                 g = (p - y) * v
                 passage = np.add.reduceat(g, begin) / np.sqrt(ls)
                 index = np.concatenate([lo.ravel(), sh.ravel()])
@@ -258,32 +256,44 @@ class Field:
                 self.bias -= rate * slope / bias_seen**0.5
 
 
-def _passage_model(shared, starts, lengths, owner, label, weight, folds: int = 3, rounds: int = 40, rate: float = 0.5) -> np.ndarray:
-    """Probability of each passage from its words and word pairs, by a logistic regression fitted to the documents of the other folds."""
-    n = len(starts)
-    feats, cols = np.unique(shared.ravel(), return_inverse=True)
-    pair = np.unique(np.repeat(np.repeat(np.arange(n), lengths), shared.shape[1]) * len(feats) + cols)
-    rows, cols = pair // len(feats), pair % len(feats)
-    size = np.sqrt(np.bincount(rows, minlength=n)) / 3
-    out = np.zeros(n)
-    fold = owner % folds
-    for k in range(folds):
-        w, b, seen = np.zeros(len(feats)), -2.0, np.full(len(feats), 1e-3)
-        v = weight * (fold != k)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], minlength=n) / size + b, -30, 30)))
-            g = (p - label) * v
-            grad = np.bincount(cols, (g / size)[rows], minlength=len(feats)) + 0.02 * w
-            seen += grad**2
-            w -= rate * grad / np.sqrt(seen)
-            b -= rate * g.sum() / max(1.0, np.abs(g).sum() * 4)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], minlength=n) / size + b, -30, 30)))
-        out = np.where(fold == k, p, out)
-    return out
+class PassageModel:
+    """Probability of each passage from its words and word pairs, by logistic regressions fitted to the documents of the other folds.
+
+    Every fit goes on from the weights of the one before.
+    """
+
+    def __init__(self, shared: np.ndarray, lengths: np.ndarray, owner: np.ndarray, folds: int = 6):
+        n = len(lengths)
+        feats, cols = np.unique(shared.ravel(), return_inverse=True)
+        pair = np.unique(np.repeat(np.repeat(np.arange(n), lengths), shared.shape[1]) * len(feats) + cols)
+        rows, self.cols = pair // len(feats), pair % len(feats)
+        self.begin = np.searchsorted(rows, np.arange(n))
+        self.size = (np.sqrt(np.bincount(rows, minlength=n)) / 3).astype(np.float32)
+        order = np.argsort(self.cols, kind="stable")
+        self.rows, self.column = rows[order], np.searchsorted(self.cols[order], np.arange(len(feats)))
+        self.fold = owner % folds
+        self.fits = [(np.zeros(len(feats), np.float32), -2.0, np.full(len(feats), 1e-3, np.float32)) for _ in range(folds)]
+
+    def chance(self, w: np.ndarray, b: float) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[self.cols], self.begin) / self.size + b, -30, 30)))
+
+    def fit(self, label: np.ndarray, weight: np.ndarray, steps: int, rate: float = 0.5) -> np.ndarray:
+        out = np.zeros(len(label))
+        for k, (w, b, seen) in enumerate(self.fits):
+            v = (weight * (self.fold != k)).astype(np.float32)
+            for _ in range(steps):
+                g = (self.chance(w, b) - label) * v
+                grad = np.add.reduceat((g / self.size).astype(np.float32)[self.rows], self.column) + 0.02 * w
+                seen += grad**2
+                w -= rate * grad / np.sqrt(seen)
+                b -= rate * g.sum() / max(1.0, np.abs(g).sum() * 4)
+            self.fits[k] = (w, b, seen)
+            out = np.where(self.fold == k, self.chance(w, b), out)
+        return out
 
 
 def _evidence(odds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Which tokens carry a passage's evidence: those of at least half of its largest log-odds, and up to two tokens between such."""
+    """Which tokens carry a passage's evidence: those of at least the share PART of its largest log-odds, and up to two tokens between such."""
     top = np.repeat(np.maximum.reduceat(odds, starts), lengths)
     hit = odds >= np.where(top > 0, top * PART, top)
     at = np.flatnonzero(hit)
@@ -296,49 +306,52 @@ def _evidence(odds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 def train(texts: list[str], flags: list[float], rounds: int = 4) -> Field:
-    """A field from reviewed documents (share of reviews that flag them) and the examples."""
-    texts, flags = [*texts, *OFFENDING, *HARMLESS], np.array([*flags, *[1.0] * len(OFFENDING), *[0.0] * len(HARMLESS)])
+    """A field from reviewed documents (share of reviews that flag them)."""
+    flags = np.array(flags, float)
+    field = Field()
     word, _, starts, owner, _ = Reader().read(texts)
     in_docs = np.unique(np.stack([np.repeat(owner, np.diff(np.append(starts, len(word)))).astype(np.uint64), word], 1), axis=0)[:, 1]
     codes, n_docs = np.unique(in_docs, return_counts=True)
-    examples = np.unique(Reader().read([*OFFENDING, *HARMLESS])[0])
-    known = set(codes[n_docs >= 3].tolist()) | set(examples.tolist())
+    field.known = known = set(codes[n_docs >= 3].tolist())
+    pos, neg = (flags > 0.5).sum(), (flags <= 0.5).sum()
+    if not len(starts) or not pos:
+        return field
     word, skel, starts, owner, _ = Reader(known).read(texts)
     local, shared = features(word, skel, starts)
     lengths = np.diff(np.append(starts, len(word)))
-    flag = flags[owner]
+    inside = flags[owner] > 0.5
     # The first guess: how much more often a passage's rarest word or word pair stands in flagged documents than in others.
-    docs_of = np.unique(np.stack([np.repeat(owner, lengths).repeat(2), shared.ravel()], 1), axis=0)
-    pos, neg = (flags > 0.5).sum(), (flags <= 0.5).sum()
-    up = np.bincount(docs_of[:, 1], flags[docs_of[:, 0]] > 0.5, minlength=1 << BITS)
-    down = np.bincount(docs_of[:, 1], flags[docs_of[:, 0]] <= 0.5, minlength=1 << BITS)
+    docs_of = np.unique(np.repeat(owner, lengths).repeat(2) * (1 << BITS) + shared.ravel())
+    d, f = docs_of >> BITS, docs_of & ((1 << BITS) - 1)
+    up = np.bincount(f, flags[d] > 0.5, minlength=1 << BITS)
+    down = np.bincount(f, flags[d] <= 0.5, minlength=1 << BITS)
     odds = np.log((up + 0.3) / (pos + 0.6)) - np.log((down + 0.3) / (neg + 0.6))
     odds *= np.minimum(1.0, np.log1p(up))
     first = np.maximum.reduceat(odds[shared].max(1), starts)
     score = 1 / (1 + np.exp(-(first - 2.5)))
+    model = PassageModel(shared, lengths, owner)
     for k in range(rounds):
         best = np.zeros(len(flags))
         np.maximum.at(best, owner, score)
-        inside = flag > 0.5
         positive = inside & (score > 0.5) & (score >= best[owner] * 0.5)
         weight = np.where(inside & ~positive & (score > 0.1), 0.0, np.where(positive, 2.0, 1.0))
         weight = np.where(~inside & (score > 0.98) & (k > 0), 0.3, weight)
-        label = positive.astype(float)
-        score = _passage_model(shared, starts, lengths, owner, label, weight)
-    inside = flag > 0.5
-    label = (inside & (score > 0.5)).astype(float)
+        score = model.fit(positive.astype(float), weight, 40 if k == 0 else 15)
+    label = inside & (score > 0.5)
     weight = np.where(inside & (score > 0.1) & (score <= 0.5), 0.0, np.where(~inside & (score > 0.98), 0.3, 1.0))
-    # All positive passages and all that come near; of the plainly harmless ones every fourth, four times as heavy.
-    plain = (label == 0) & (score < 0.02)
-    weight = np.where(plain, np.where(np.arange(len(starts)) % 4 == 0, 4.0, 0.0), weight)
-    chosen = np.flatnonzero(weight > 0)
-    token = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in chosen])
-    begin = np.append(0, np.cumsum(lengths[chosen])[:-1])
-    field = Field()
-    field.known = known
-    inside = np.repeat(label[chosen], lengths[chosen]) > 0
-    marked = inside & _evidence(odds[shared[token]].max(1), begin, lengths[chosen]) if len(token) else inside
-    field.fit(local[token], shared[token], begin, marked.astype(float), np.minimum(weight[chosen], 2.0))
+    marked = np.repeat(label, lengths)
+    marked &= _evidence(odds[shared].max(1), starts, lengths)
+    # Equal harmless passages are one of their joint weight.
+    with np.errstate(over="ignore"):
+        place = np.arange(len(word), dtype=np.uint64) - np.repeat(starts, lengths).astype(np.uint64)
+        same = np.add.reduceat(_fold(20, (word, skel, place), 64), starts)
+    same = np.where(label, np.arange(len(starts), dtype=np.uint64), same)
+    _, chosen, at = np.unique(same, return_index=True, return_inverse=True)
+    weight = np.bincount(at, weight, minlength=len(chosen))
+    chosen, weight = chosen[weight > 0], weight[weight > 0]
+    ls = lengths[chosen]
+    token = np.repeat(starts[chosen] - np.append(0, np.cumsum(ls)[:-1]), ls) + np.arange(ls.sum())
+    field.fit(local[token], shared[token], np.append(0, np.cumsum(ls)[:-1]), marked[token].astype(float), weight)
     return field
 
 
@@ -350,8 +363,8 @@ def assess(field: Field, reader: Reader, texts: list[str], least: float = 0.2) -
         return scores, spans
     local, shared = features(word, skel, starts)
     lengths = np.diff(np.append(starts, len(word)))
-    p, _ = field.marginals(field.emissions(local, shared, starts, lengths), starts, lengths)
-    np.maximum.at(scores, np.repeat(owner, lengths), np.minimum(p, np.nextafter(least, 0)))
+    p, _, chance = field.marginals(field.emissions(local, shared, starts, lengths), starts, lengths, least)
+    np.maximum.at(scores, owner, np.minimum(chance, np.nextafter(least, 0)))
     over = p >= least
     for i in np.flatnonzero(np.logical_or.reduceat(over, starts)):
         text, (a, b) = texts[owner[i]], place[i]
@@ -373,17 +386,22 @@ def assess(field: Field, reader: Reader, texts: list[str], least: float = 0.2) -
     return scores, spans
 
 
-def reviewed(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000) -> DataFrame:
-    """text and flag (share of its reviews) of at most ``max_reviews`` reviewed documents, by hash of doc_id."""
+def reviewed(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000, max_chars: int = 20_000_000) -> DataFrame:
+    """doc_id, text and flag (share of its reviews) of at most ``max_reviews`` reviewed documents, by hash of doc_id, of ``max_chars`` characters together.
+
+    A document that would go beyond the characters is left out, and so are those after it.
+    """
     flags = reviews.where("flagged is not null").groupBy("doc_id").agg(F.avg(F.col("flagged").cast("double")).alias("flag"))
     flags = flags.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_reviews)
-    return documents.select("doc_id", "text").where("text is not null").join(flags, "doc_id").select("doc_id", "text", "flag")
+    texts = documents.select("doc_id", "text").where("text is not null").join(flags, "doc_id").withColumn("size", F.length("text"))
+    sizes = texts.select("doc_id", "size", F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("so_far"))  # at most max_reviews rows
+    return texts.join(sizes.where(F.col("so_far") <= max_chars).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "flag")
 
 
-def score(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000, least: float = 0.2) -> DataFrame:
+def score(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000, max_chars: int = 20_000_000, least: float = 0.2) -> DataFrame:
     """doc_id, source, score, offending (score >= ``least``), spans (first, end in characters, probability)."""
     spark = documents.sparkSession
-    sample = reviewed(documents, reviews, max_reviews).toPandas().sort_values(["doc_id"])
+    sample = reviewed(documents, reviews, max_reviews, max_chars).toPandas().sort_values(["doc_id"])
     field = train(sample["text"].tolist(), sample["flag"].tolist())
     used = np.flatnonzero(field.w)
     sent = spark.sparkContext.broadcast((used.astype(np.int32), field.w[used], field.bias, field.move, np.array(sorted(field.known), np.int64)))

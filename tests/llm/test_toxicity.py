@@ -26,7 +26,7 @@ def test_marginals_against_enumeration(monkeypatch, cells):
     lengths = np.array([3, 1, 5])
     starts = np.array([0, 3, 4])
     e = rng.normal(size=9)
-    p, _ = f.marginals(e, starts, lengths)
+    p, moves, chance = f.marginals(e, starts, lengths)
     for s, n in zip(starts, lengths):
         total, mass = 0.0, np.zeros(n)
         for code in range(1 << n):
@@ -35,6 +35,12 @@ def test_marginals_against_enumeration(monkeypatch, cells):
             total += v
             mass += v * np.array(y)
         np.testing.assert_allclose(p[s : s + n], mass / total, rtol=1e-9)
+        np.testing.assert_allclose(chance[starts == s], 1 - np.exp((n - 1) * f.move[0, 0]) / total, rtol=1e-9)
+    least = float(np.median(chance))
+    some, _, same = f.marginals(e, starts, lengths, least)
+    np.testing.assert_allclose(same, chance)
+    for s, n, c in zip(starts, lengths, chance):  # below the threshold nothing is lost: no token is above the passage's chance
+        assert (some[s : s + n] == (p[s : s + n] if c >= least else 0)).all() and (p[s : s + n] <= c + 1e-12).all()
 
 
 BAD = ["You are a {w} and everyone knows it.", "Shut up, {w}, nobody asked you.", "Only a {w} like you would write this.", "Get lost, you {w}."]
@@ -95,5 +101,8 @@ def test_tables(spark):
     assert all(got[i].score == 0 and got[i].spans == [] for i in (900, 901, 902))
     assert np.mean([got[i].offending == truth[i] for i in range(120)]) > 0.9
     none = tx.score(docs, reviews.limit(0)).collect()
-    assert len(none) == len(rows)
+    assert len(none) == len(rows) and not any(r.offending for r in none)
+    bounded = tx.reviewed(docs, reviews, max_chars=2000).toPandas()
+    whole = tx.reviewed(docs, reviews).toPandas()
+    assert 0 < bounded["text"].str.len().sum() <= 2000 < whole["text"].str.len().sum() and len(tx.reviewed(docs, reviews, max_reviews=9).toPandas()) <= 9
     assert tx.score(docs.limit(0), reviews.limit(0)).count() == 0
