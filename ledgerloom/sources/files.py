@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: What stands for null in CSV that is written here; a text that is this mark itself would come back as null.
+NULL = "\x01N\x01"
+#: Values keep their space, quotes are doubled, a field left empty is null and a quoted empty one is the empty text.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": NULL}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with header; columns are read as the schema says, never guessed. Gzip is told by the extension."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return spark.read.schema(schema).options(**CSV, multiLine=True, lineSep="\n").csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, tag: str | None = None) -> DataFrame:
@@ -25,19 +31,29 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def front_matter(text: Column) -> tuple[Column, Column]:
+    """(map of the front matter, body) of a Markdown text; of repeated keys the first counts, a text without has an empty map."""
+    head = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---\n", 1)
+    items = F.transform(F.filter(F.split(head, "\n"), lambda l: l.rlike(r"^[A-Za-z_]+:")), lambda l: F.struct(F.regexp_extract(l, r"^([A-Za-z_]+):", 1).alias("k"), F.trim(F.regexp_replace(l, r"^[A-Za-z_]+:", "")).alias("v")))
+    fresh = F.filter(items, lambda x, i: ~F.array_contains(F.transform(F.slice(items, F.lit(1), i), lambda y: y["k"]), x["k"]))
+    return F.map_from_entries(fresh), F.regexp_replace(text, r"(?s)^---\n.*?\n---\n", "")
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """path, front (map of the front matter), body: one row for each file, whatever its size."""
+    """path, length, modificationTime, front (map of the front matter), body: one row for each file, whatever its size."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
-    text = F.decode("content", "UTF-8")
-    head = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---\n", 1)
-    items = F.filter(F.split(head, "\n"), lambda l: l.rlike(r"^[A-Za-z_]+:"))
-    front = F.map_from_entries(F.transform(F.array_distinct(items), lambda l: F.struct(F.regexp_extract(l, r"^([A-Za-z_]+):", 1), F.trim(F.regexp_replace(l, r"^[A-Za-z_]+:", "")))))
-    return raw.select("path", "length", "modificationTime", front.alias("front"), F.regexp_replace(text, r"(?s)^---\n.*?\n---\n", "").alias("body"))
+    front, body = front_matter(F.decode("content", "UTF-8"))
+    return raw.select("path", "length", "modificationTime", front.alias("front"), body.alias("body"))
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modificationTime of every file below a folder; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
 def write_rows(df: DataFrame, path: str, form: str = "json", compression: str = "none") -> None:
     """Write to a new folder; the committer makes the files appear at once, and an existing folder is refused."""
-    df.write.mode("errorifexists").format(form).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("compression", compression).save(path)
+    df.write.mode("errorifexists").format(form).options(**(CSV if form == "csv" else {}), compression=compression).save(path)
 
 
 def checked_import(rows: DataFrame, required: list[str], unique: str) -> tuple[DataFrame, DataFrame]:

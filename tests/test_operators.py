@@ -215,6 +215,39 @@ def test_search_limits(spark, data):
         graph.search(n, a, "")
 
 
+def test_csv_round_trip(spark, tmp_path):
+    from ledgerloom.sources import files
+
+    rows = [(1, ""), (2, None), (3, " a "), (4, 'q"uo"te, and\nline'), (5, "\\"), (6, "null"), (7, '""'), (8, "\\N"), (9, "é\t"), (10, ","), (11, "a\r\nb"), (12, "#x")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    for compression in ("none", "gzip"):
+        files.write_rows(df, str(tmp_path / compression), "csv", compression)
+        assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / compression), "k int, t string").collect()) == rows
+    (tmp_path / "other.csv").write_text('k,t\n1,\n2,""\n3,x\n')
+    assert [r.t for r in files.read_csv(spark, str(tmp_path / "other.csv"), "k int, t string").orderBy("k").collect()] == [None, "", "x"]
+
+
+def test_shared_folder():
+    from ledgerloom.plans import materialise
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Context:
+        master, applicationId = "spark://x:7077", "a"
+
+    class Other:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        materialise.shared_folder(Other())
+    Other.conf["spark.checkpoint.dir"] = "/shared/x/"
+    assert materialise.shared_folder(Other()) == "/shared/x/a"
+    Other.conf.clear()
+    Context.master = "local[2]"
+    assert materialise.shared_folder(Other()).endswith("/a")
+
+
 def test_sources(spark, tmp_path):
     from ledgerloom.sources import files
 
