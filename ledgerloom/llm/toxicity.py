@@ -81,7 +81,7 @@ def shape(raw: str) -> str:
 
 
 class Reader(dict):
-    """Tokens of passages as arrays of codes; a dict of the spellings met so far and their places in the tables of codes.
+    """Tokens of passages as places in tables of codes; a dict of the spellings met so far and their places.
 
     Words outside ``known`` are read as their shape; their skeletons stay.
     """
@@ -92,18 +92,29 @@ class Reader(dict):
         self.words: list[int] = []
         self.skeletons: list[int] = []
 
+    def _word(self, raw: str, word: str) -> int:
+        code = zlib.crc32(word.encode("utf-8", "replace"))
+        return code if self.known is None or code in self.known else zlib.crc32(shape(raw).encode())
+
     def __missing__(self, raw: str) -> int:
         word = normal(raw)
         skel = skeleton(word)
-        if self.known is not None and zlib.crc32(word.encode("utf-8", "replace")) not in self.known:
-            word = shape(raw)
-        self.words.append(zlib.crc32(word.encode("utf-8", "replace")))
+        self.words.append(self._word(raw, word))
         self.skeletons.append(zlib.crc32(skel.encode()) if skel else 0)
         out = self[raw] = len(self.words) - 1
         return out
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word codes, skeleton codes, first token of each passage, document of each passage, start and end of each); windows of long passages stand for them."""
+    def restrict(self, known: set[int]) -> None:
+        """Read the spellings met so far anew with ``known``; their places stay."""
+        self.known = known
+        self.words = [self._word(raw, normal(raw)) for raw in self]
+
+    def codes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, skeleton) codes of tokens by their places."""
+        return np.array(self.words, np.uint64)[at], np.array(self.skeletons, np.uint64)[at]
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each token, first token of each passage, document of each passage, start and end of each); windows of long passages stand for them."""
         if len(self) > SPELLINGS:
             self.clear()
             self.words, self.skeletons = [], []
@@ -131,9 +142,7 @@ class Reader(dict):
                     owners.append(d)
                     spans.append((a, b))
                     add(map(code, tokens))
-        at = np.array(codes, np.int64)
-        words, skeletons = np.array(self.words, np.uint64), np.array(self.skeletons, np.uint64)
-        return words[at], skeletons[at], np.array(starts, np.int64), np.array(owners, np.int64), np.array(spans, np.int64).reshape(-1, 2)
+        return np.array(codes, np.int64), np.array(starts, np.int64), np.array(owners, np.int64), np.array(spans, np.int64).reshape(-1, 2)
 
 
 def features(word: np.ndarray, skel: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +265,12 @@ class Field:
                 self.bias -= rate * slope / bias_seen**0.5
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class PassageModel:
     """Probability of each passage from its words and word pairs, by logistic regressions fitted to the documents of the other folds.
 
@@ -265,7 +280,7 @@ class PassageModel:
     def __init__(self, shared: np.ndarray, lengths: np.ndarray, owner: np.ndarray, folds: int = 6):
         n = len(lengths)
         feats, cols = np.unique(shared.ravel(), return_inverse=True)
-        pair = np.unique(np.repeat(np.repeat(np.arange(n), lengths), shared.shape[1]) * len(feats) + cols)
+        pair = _distinct(np.repeat(np.repeat(np.arange(n), lengths), shared.shape[1]) * len(feats) + cols)
         rows, self.cols = pair // len(feats), pair % len(feats)
         self.begin = np.searchsorted(rows, np.arange(n))
         self.size = (np.sqrt(np.bincount(rows, minlength=n)) / 3).astype(np.float32)
@@ -309,19 +324,21 @@ def train(texts: list[str], flags: list[float], rounds: int = 4) -> Field:
     """A field from reviewed documents (share of reviews that flag them)."""
     flags = np.array(flags, float)
     field = Field()
-    word, _, starts, owner, _ = Reader().read(texts)
-    in_docs = np.unique(np.stack([np.repeat(owner, np.diff(np.append(starts, len(word)))).astype(np.uint64), word], 1), axis=0)[:, 1]
+    reader = Reader()
+    at, starts, owner, _ = reader.read(texts)
+    lengths = np.diff(np.append(starts, len(at)))
+    in_docs = _distinct(np.repeat(owner, lengths) << 32 | reader.codes(at)[0].astype(np.int64)) & ((1 << 32) - 1)
     codes, n_docs = np.unique(in_docs, return_counts=True)
-    field.known = known = set(codes[n_docs >= 3].tolist())
+    field.known = set(codes[n_docs >= 3].tolist())
     pos, neg = (flags > 0.5).sum(), (flags <= 0.5).sum()
     if not len(starts) or not pos:
         return field
-    word, skel, starts, owner, _ = Reader(known).read(texts)
+    reader.restrict(field.known)
+    word, skel = reader.codes(at)
     local, shared = features(word, skel, starts)
-    lengths = np.diff(np.append(starts, len(word)))
     inside = flags[owner] > 0.5
     # The first guess: how much more often a passage's rarest word or word pair stands in flagged documents than in others.
-    docs_of = np.unique(np.repeat(owner, lengths).repeat(2) * (1 << BITS) + shared.ravel())
+    docs_of = _distinct(np.repeat(owner, lengths).repeat(2) * (1 << BITS) + shared.ravel())
     d, f = docs_of >> BITS, docs_of & ((1 << BITS) - 1)
     up = np.bincount(f, flags[d] > 0.5, minlength=1 << BITS)
     down = np.bincount(f, flags[d] <= 0.5, minlength=1 << BITS)
@@ -336,7 +353,7 @@ def train(texts: list[str], flags: list[float], rounds: int = 4) -> Field:
         positive = inside & (score > 0.5) & (score >= best[owner] * 0.5)
         weight = np.where(inside & ~positive & (score > 0.1), 0.0, np.where(positive, 2.0, 1.0))
         weight = np.where(~inside & (score > 0.98) & (k > 0), 0.3, weight)
-        score = model.fit(positive.astype(float), weight, 40 if k == 0 else 15)
+        score = model.fit(positive.astype(float), weight, 20 if k == 0 else 6)
     label = inside & (score > 0.5)
     weight = np.where(inside & (score > 0.1) & (score <= 0.5), 0.0, np.where(~inside & (score > 0.98), 0.3, 1.0))
     marked = np.repeat(label, lengths)
@@ -358,11 +375,11 @@ def train(texts: list[str], flags: list[float], rounds: int = 4) -> Field:
 def assess(field: Field, reader: Reader, texts: list[str], least: float = 0.2) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """(score of each text, offending spans with their mean probability)."""
     scores, spans = np.zeros(len(texts)), [[] for _ in texts]
-    word, skel, starts, owner, place = reader.read(texts)
+    at, starts, owner, place = reader.read(texts)
     if not len(starts):
         return scores, spans
-    local, shared = features(word, skel, starts)
-    lengths = np.diff(np.append(starts, len(word)))
+    local, shared = features(*reader.codes(at), starts)
+    lengths = np.diff(np.append(starts, len(at)))
     p, _, chance = field.marginals(field.emissions(local, shared, starts, lengths), starts, lengths, least)
     np.maximum.at(scores, owner, np.minimum(chance, np.nextafter(least, 0)))
     over = p >= least
@@ -392,10 +409,10 @@ def reviewed(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000
     A document that would go beyond the characters is left out, and so are those after it.
     """
     flags = reviews.where("flagged is not null").groupBy("doc_id").agg(F.avg(F.col("flagged").cast("double")).alias("flag"))
-    flags = flags.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_reviews)
-    texts = documents.select("doc_id", "text").where("text is not null").join(flags, "doc_id").withColumn("size", F.length("text"))
+    flags = flags.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_reviews)  # so both sides that are broadcast have at most max_reviews short rows
+    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(flags), "doc_id").withColumn("size", F.length("text"))
     sizes = texts.select("doc_id", "size", F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("so_far"))  # at most max_reviews rows
-    return texts.join(sizes.where(F.col("so_far") <= max_chars).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "flag")
+    return texts.join(F.broadcast(sizes.where(F.col("so_far") <= max_chars).select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "flag")
 
 
 def score(documents: DataFrame, reviews: DataFrame, max_reviews: int = 20_000, max_chars: int = 20_000_000, least: float = 0.2) -> DataFrame:
