@@ -50,7 +50,7 @@ def agreement_matrices(spark, cuts: Cuts, votes: DataFrame, shares: DataFrame, s
     """label, i, j, x: the chance-centred agreement of two annotators on a label, both ways, shrunk by overlap / (overlap + shrink)."""
     kinds = F.explode(F.array(F.lit(""), F.concat(F.lit("="), F.col("label"))))  # the overlap, and the agreement on a label
     baskets = votes.select(kinds.alias("kind"), F.col("item").cast("string").alias("basket"), F.col("judge").alias("item"))
-    counts = cuts.cut(pair_counts(spark, baskets, least=1).select("kind", F.col("item_a").alias("i"), F.col("item_b").alias("j"), F.col("n_ab").alias("n")))
+    counts = cuts.cut(pair_counts(spark, baskets, least=1, repeats=False).select("kind", F.col("item_a").alias("i"), F.col("item_b").alias("j"), F.col("n_ab").alias("n")))
     over = counts.where("kind = ''").select("i", "j", "n")
     agree = counts.where("kind <> ''").select(F.expr("substr(kind, 2)").alias("label"), "i", "j", F.col("n").alias("same"))
     left = shares.select("label", F.col("judge").alias("i"), F.col("share").alias("p"))

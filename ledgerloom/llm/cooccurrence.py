@@ -153,13 +153,15 @@ def _gram(width: int):
     return block
 
 
-def pair_counts(spark, baskets: DataFrame, least: int = 10) -> DataFrame:
+def pair_counts(spark, baskets: DataFrame, least: int = 10, repeats: bool = True) -> DataFrame:
     """kind, item_a, item_b, n_ab, n_a, n_b, n_baskets for pairs of items that occur together at least ``least`` times.
 
-    ``baskets`` has kind, basket and item; item_a < item_b by code point, within a kind.
+    ``baskets`` has kind, basket and item; item_a < item_b by code point, within a kind. Without ``repeats`` the caller
+    vouches that no item stands in a basket twice.
     """
     cuts = Cuts(spark, "gram")
-    rows = cuts.cut(baskets.where("kind is not null and basket is not null and item is not null").select("kind", "basket", "item").distinct())
+    rows = baskets.where("kind is not null and basket is not null and item is not null").select("kind", "basket", "item")
+    rows = cuts.cut(rows.distinct() if repeats else rows)
     total = rows.groupBy("kind").agg(F.count_distinct("basket").alias("n_baskets"))
     # Items of all kinds share one numbering; the number of items that reach the least count is far below the rows.
     items = cuts.cut(rows.groupBy("kind", "item").agg(F.count("*").alias("n_item")).where(F.col("n_item") >= least).withColumn("id", F.monotonically_increasing_id()))
