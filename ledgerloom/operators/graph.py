@@ -17,25 +17,29 @@ def search(nodes: DataFrame, aliases: DataFrame, term: str, include_deprecated:
         raise ValueError("a term is needed")
     low = term.lower()
     admitted = nodes if include_deprecated else nodes.where("status <> 'deprecated'")
-    texts = admitted.select("path", F.col("title").alias("text")).unionByName(
-        admitted.join(aliases, admitted.path == aliases.node_path).select("path", F.col("alias").alias("text"))
-    ).unionByName(admitted.select("path", F.col("path").alias("text")))
-    text = F.lower("text")
-    tier = F.when(text == low, 0).when(F.startswith(text, F.lit(low)), 1).when(F.contains(text, F.lit(low)), 2)
-    best = texts.withColumn("tier", tier).where("tier is not null").groupBy("path").agg(F.min("tier").alias("tier"))
+
+    def tier(text: Column) -> Column:
+        text = F.lower(text)
+        return F.when(text == low, 0).when(F.startswith(text, F.lit(low)), 1).when(F.contains(text, F.lit(low)), 2)
+
+    own = admitted.select("path", F.least(tier(F.col("title")), tier(F.col("path"))).alias("tier"))
+    named = aliases.select("node_path", tier(F.col("alias")).alias("tier")).where("tier is not null")
+    named = admitted.join(named, admitted.path == named.node_path).select("path", "tier")
+    best = own.where("tier is not null").unionByName(named).groupBy("path").agg(F.min("tier").alias("tier"))
     return best.orderBy("tier", "path").limit(max(1, min(50, limit)))
 
 
 def relations(edges: DataFrame, seeds: DataFrame, predicate: str = "") -> DataFrame:
     """Edges at either end of the seeds (path), each with its direction; an empty predicate is no filter."""
     e = edges.where(F.col("p") == predicate) if predicate else edges
-    out = e.join(seeds, e.s == seeds.path).select(seeds.path.alias("node"), F.lit("out").alias("direction"), "p", F.col("o").alias("other"))
-    into = e.join(seeds, e.o == seeds.path).select(seeds.path.alias("node"), F.lit("in").alias("direction"), "p", F.col("s").alias("other"))
-    return out.unionByName(into)
+    end = lambda node, direction, other: F.struct(F.col(node).alias("node"), F.lit(direction).alias("direction"), F.col(other).alias("other"))
+    ends = e.select("p", F.inline(F.array(end("s", "out", "o"), end("o", "in", "s"))))
+    return ends.join(seeds.select(F.col("path").alias("node")), "node").select("node", "direction", "p", "other")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("s").alias("a"), F.col("o").alias("b")).unionByName(edges.select(F.col("o").alias("a"), F.col("s").alias("b")))
+    end = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    return edges.select(F.inline(F.array(end("s", "o"), end("o", "s"))))
 
 
 def neighbours(spark, edges: DataFrame, seeds: DataFrame, depth: int = 2, budget: int | None = None) -> DataFrame:
@@ -46,7 +50,7 @@ def neighbours(spark, edges: DataFrame, seeds: DataFrame, depth: int = 2, budget
     if not 0 <= depth <= 5:
         raise ValueError("depth is 0 to 5")
     cuts = Cuts(spark, "bfs")
-    both = undirected(edges)
+    both = cuts.cut(undirected(edges))
     seen = seeds.select("path", F.lit(0).alias("hop"), F.lit(False).alias("truncated")).distinct()
     frontier = seen.select("path")
     for hop in range(1, depth + 1):
@@ -64,44 +68,54 @@ def neighbours(spark, edges: DataFrame, seeds: DataFrame, depth: int = 2, budget
     return seen
 
 
-def components(spark, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """path, component (smallest path): alternating large-star and small-star joins until nothing changes.
+def _mixed(x: Column) -> Column:
+    """Another number for each number, one to one, in no order that the numbers had (shifts and exclusive or)."""
+    for shift in (lambda v: F.shiftleft(v, 13), lambda v: F.shiftrightunsigned(v, 7), lambda v: F.shiftleft(v, 17)):
+        x = x.bitwiseXOR(shift(x))
+    return x
+
+
+def components(spark, edges: DataFrame) -> DataFrame:
+    """path, component (smallest path): contraction until no edge is left.
 
-    Stars keep the work of a hub proportional to its links, and the rounds logarithmic in the longest path.
+    Nodes get numbers without order. In a round every node goes to the smallest number among itself and its neighbours, and
+    the edges are those between the numbers that are left; about half of the nodes of a path, and all but a few of a star
+    or a dense part, disappear. So the rounds are logarithmic, each edge is shuffled as two numbers, and finished
+    components cost nothing. The rounds' steps are joined in the end.
     """
     cuts = Cuts(spark, "components")
-    ends = undirected(edges).where("a <> b").distinct()
-    links, old = cuts.write(ends.where("a > b"))
-    nodes = cuts.cut(edges.select(F.col("s").alias("path")).union(edges.select("o")).distinct())
-    mark = None
-    for _ in range(rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cuts.cut(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        links, path = cuts.write(small)
+    edges, names = cuts.write(edges.select("s", "o").where("s is not null and o is not null"))
+    number = _mixed(F.monotonically_increasing_id() + 1)
+    nodes = cuts.cut(edges.select(F.explode(F.array("s", "o")).alias("path")).distinct().select("path", number.alias("id")))
+    of = lambda end: nodes.select(F.col("path").alias(end), F.col("id").alias(f"id_{end}"))
+    a, b = F.least("id_s", "id_o").alias("a"), F.greatest("id_s", "id_o").alias("b")
+    links = edges.where("s <> o").join(of("s"), "s").join(of("o"), "o").select(a, b).distinct()
+    (links, old), seen = cuts.counted(links)
+    cuts.drop(names)
+    ends = nodes.select("path", F.col("id").alias("at"))
+    while seen:
+        both = links.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("x")), F.struct(F.col("b").alias("id"), F.col("a").alias("x")))))
+        step = cuts.cut(both.groupBy("id").agg(F.min("x").alias("x")).select("id", F.least("id", "x").alias("to")).where("id <> to"))
+        to = lambda end: step.select(F.col("id").alias(end), F.col("to").alias(f"to_{end}"))
+        moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"))
+        (links, path), seen = cuts.counted(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         cuts.drop(old)
         old = path
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    root = links.groupBy("a").agg(F.min("b").alias("component"))
-    return nodes.join(root, nodes.path == root.a, "left").select("path", F.coalesce("component", "path").alias("component"))
+        ends = ends.join(step, ends["at"] == step["id"], "left").select("path", F.coalesce("to", "at").alias("at"))
+    ends = cuts.cut(ends)
+    root = ends.groupBy("at").agg(F.min("path").alias("component"))
+    return ends.join(root, "at").select("path", "component")
 
 
-def reachable(spark, edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
-    """Nodes that directed edges reach from any seed (path), seeds included."""
+def reachable(spark, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes that directed edges reach from any seed (path), seeds included, however far."""
     cuts = Cuts(spark, "reach")
+    edges = cuts.cut(edges.select("s", "o"))
     seen = frontier = cuts.cut(seeds.select("path").distinct())
-    for _ in range(most):
+    found = 1
+    while found:
         new = edges.join(frontier, edges.s == frontier.path, "left_semi").select(F.col("o").alias("path")).distinct()
-        new = cuts.cut(new.join(seen, "path", "left_anti"))
-        if new.isEmpty():
-            break
+        (new, _), found = cuts.counted(new.join(seen, "path", "left_anti"))
         seen, frontier = seen.unionByName(new), new
     return seen
 

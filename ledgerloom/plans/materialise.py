@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -56,6 +57,11 @@ class Cuts:
         out = self.cut(df.observe(seen, *[v.alias(k) for k, v in facts.items()]))
         return out, seen.get
 
+    def counted(self, df: DataFrame) -> tuple[tuple[DataFrame, str], int]:
+        """As ``write``, with the number of rows, counted by the write."""
+        seen = Observation()
+        return self.write(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
     def cut(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
