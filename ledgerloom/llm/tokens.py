@@ -134,7 +134,8 @@ def count(df: DataFrame, text: str, vocabulary: str = DEFAULT_VOCABULARY, name:
         for batch in batches:
             yield batch.map(bpe.count)
 
-    return df.withColumn(name, size(F.col(text)))
+    # Else a filter on the result would count every text a second time.
+    return df.withColumn(name, size.asNondeterministic()(F.col(text)))
 
 
 def decode(df: DataFrame, ids: str, vocabulary: str = DEFAULT_VOCABULARY, name: str = "text") -> DataFrame:
