@@ -57,17 +57,18 @@ def byte_windows(docs: DataFrame, key: str, text: str, most: int = 2400) -> Data
     """key, part, content: pieces of at most ``most`` UTF-8 bytes that together are the text; a newline is the preferred end."""
 
     def cut(value: str) -> list[str]:
-        out, rest = [], value
-        while rest:
-            if len(rest.encode("utf-8", "surrogatepass")) <= most:
-                out.append(rest)
-                break
-            head = rest.encode("utf-8", "surrogatepass")[:most].decode("utf-8", "ignore")
-            at = head.rfind("\n") + 1
-            head = head[:at] if at > len(head) // 2 else head
-            out.append(head)
-            rest = rest[len(head) :]
-        return out
+        data, out, at = value.encode("utf-8", "surrogatepass"), [], 0
+        while len(data) - at > most:
+            end = at + most
+            while data[end] & 0xC0 == 0x80:  # not within a character
+                end -= 1
+            line = data.rfind(b"\n", at, end) + 1
+            end = line if line - at > (end - at) // 2 else end
+            if end == at:
+                raise ValueError("a window is smaller than a character")
+            out.append(data[at:end].decode("utf-8", "surrogatepass"))
+            at = end
+        return [*out, data[at:].decode("utf-8", "surrogatepass")] if at < len(data) else out
 
     @F.pandas_udf("array<string>")
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -129,3 +130,106 @@ def whole_word(text: Column, word: str) -> Column:
     if any("一" <= c <= "鿿" for c in word):
         return F.contains(text, F.lit(word))
     return F.lower(text).rlike(r"(^|[^\p{L}\p{N}])" + word.lower() + r"([^\p{L}\p{N}]|$)")
+
+
+def abstract_span(docs: DataFrame, key: str, text: str, title: Column) -> DataFrame:
+    """key, text, start_line, stop_line, overlap: lines between which an abstract can stand (both outside).
+
+    It begins below the first-level heading that has most of the title's words (0.6 of them at least, the first of equals)
+    and ends above the introduction, or after 80 lines. Texts without such a heading have no row.
+    """
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
+    rows = docs.select(key, F.col(text).alias("text"), lines.alias("lines"), tokens(title).alias("want"))
+    head = lambda x: F.when(x.rlike(r"^#\s+.+$"), F.size(F.array_intersect(F.col("want"), tokens(F.regexp_extract(x, r"^#\s+(.+)$", 1)))) / F.greatest(F.size("want"), F.lit(1)).cast("double"))
+    heads = F.array_compact(F.transform("lines", lambda x, i: F.when(head(x) >= 0.6, F.struct(F.round(head(x), 9).alias("overlap"), (-i - 1).alias("at")))))
+    rows = rows.withColumn("best", F.array_max(heads)).where("best is not null").withColumn("start_line", -F.col("best.at"))
+    stop = F.array_min(F.array_compact(F.transform("lines", lambda x, i: F.when((i + 1 > F.col("start_line")) & (i + 1 < F.col("start_line") + 80) & x.rlike(r"(?i)^##\s+(?:\d+[.\s]+)?(?:introduction|引言)(?:$|[^\p{L}\p{N}_])"), i + 1))))
+    return rows.select(key, "text", F.col("start_line").cast("int").alias("start_line"), F.coalesce(stop, F.least(F.col("start_line") + 80, F.size("lines") + 1)).cast("int").alias("stop_line"), F.col("best.overlap").alias("overlap"))
+
+
+def abbreviations(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """short, full_name: what texts define as Full Name (FN).
+
+    As many words before the bracket as the short form has letters; hyphens part words, initials must agree regardless of
+    case. A short form with names that differ in more than hyphens and case is left out; of equal names the smallest counts.
+    """
+    found = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"([^()\n]{3,200}\([A-Z]{2,8}\))"), F.lit(1))).alias("m"))
+    short = F.regexp_extract("m", r"\(([A-Z]{2,8})\)$", 1)
+    before = F.trim(F.regexp_replace("m", r"\([A-Z]{2,8}\)$", ""))
+    # Marks of the parted words, so that the name can be cut from the text as it was written.
+    words = F.regexp_extract_all(before, F.lit(r"([^\s-]+[\s-]*)"), F.lit(1))
+    found = found.select(short.alias("short"), F.slice(words, -F.least(F.length(short), F.size(words)), F.greatest(F.length(short), F.lit(1))).alias("words"))
+    initials = F.upper(F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), ""))
+    found = found.where(initials == F.col("short")).select("short", F.trim(F.array_join("words", "")).alias("full_name"))
+    per = found.groupBy("short").agg(F.min("full_name").alias("full_name"), F.count_distinct(F.lower(F.replace("full_name", F.lit("-"), F.lit(" ")))).alias("n"))
+    return per.where("n = 1").select("short", "full_name")
+
+
+def slug(title: Column) -> Column:
+    """A heading as the name of its section: lower case, everything but letters and digits as one hyphen."""
+    return F.lower(F.regexp_replace(F.trim(title), r"[^\p{L}\p{N}]+", "-"))
+
+
+def read_section(docs: DataFrame, key: str, text: str, wanted: str) -> DataFrame:
+    """key, state (found, missing), body, citations, sections: the first section of a name, without its heading.
+
+    citations are the line locators in it; where the section is missing, sections lists those there are.
+    """
+    heads = outline(docs, key, text).withColumn("slug", slug(F.col("title")))
+    mine = heads.where(F.col("slug") == wanted).groupBy(key).agg(F.min(F.struct("line", "next_line")).alias("s"))
+    names = heads.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "slug"))), lambda x: x["slug"]), ",").alias("names"))
+    rows = docs.select(key, F.col(text).alias("text")).join(mine, key, "left").join(names, key, "left")
+    lines = F.split("text", "\n", -1)
+    end = F.coalesce(F.col("s.next_line"), F.size(lines) + 1)
+    body = F.when(F.col("s").isNotNull(), F.array_join(F.slice(lines, F.col("s.line") + 1, F.greatest(F.lit(0), end - F.col("s.line") - 1)), "\n"))
+    rows = rows.select(key, F.when(F.col("s").isNull(), "missing").otherwise("found").alias("state"), body.alias("body"), F.when(F.col("s").isNull(), F.coalesce("names", F.lit(""))).alias("sections"))
+    return rows.withColumn("citations", F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(raw/[a-z0-9-]+\.md#L[0-9]+-L[0-9]+)"), F.lit(1))))
+
+
+def read_raw(asked: DataFrame, sources: DataFrame, most: int = 12_000, offered: int = 8) -> DataFrame:
+    """``asked`` (source, first_line, last_line and more) with state, body and ranges, from ``sources`` (source, text).
+
+    state is read, no source, no lines, or too long (more than ``most`` characters); lines beyond the end are not there. In
+    the last case ranges has ``offered`` ranges of whole lines within the limit, and as last one what is left (rest true);
+    a line longer than the limit is a range of its own.
+    """
+    rows = asked.join(sources.select(F.col("source").alias("_s"), F.col("text").alias("_t")), F.col("source") == F.col("_s"), "left")
+    lines = F.split("_t", "\n", -1)
+    last = F.least(F.col("last_line"), F.size(lines))
+    rows = rows.withColumns({"_in": (F.col("first_line") >= 1) & (F.col("last_line") >= F.col("first_line")) & (F.col("first_line") <= F.size(lines)), "_last": last})
+    part = F.when(F.col("_in"), F.slice(lines, F.col("first_line"), F.greatest(F.lit(0), F.col("_last") - F.col("first_line") + 1)))
+    rows = rows.withColumn("_part", part).withColumn("_body", F.array_join("_part", "\n"))
+    state = F.when(F.col("_s").isNull(), "no source").when(~F.col("_in"), "no lines").when(F.length("_body") > most, "too long").otherwise("read")
+    kind = "struct<first:int,last:int,rest:boolean>"
+
+    @F.pandas_udf(f"array<{kind}>")
+    def cut(parts: pd.Series, firsts: pd.Series) -> pd.Series:
+        def one(part, first):
+            if part is None:
+                return None
+            out, begin, size = [], 0, 0
+            for i, n in enumerate(map(len, part)):
+                if i > begin and size + n + 1 > most:
+                    out.append((begin, i - 1))
+                    begin, size = i, 0
+                size += n + (1 if i > begin else 0)
+            out.append((begin, len(part) - 1))
+            shown = [{"first": int(first + a), "last": int(first + z), "rest": False} for a, z in out[:offered]]
+            return shown + ([{"first": int(first + out[offered][0]), "last": int(first + len(part) - 1), "rest": True}] if len(out) > offered else [])
+
+        return pd.Series([one(p, f) for p, f in zip(parts, firsts)])
+
+    rows = rows.withColumn("state", state)
+    ranges = cut(F.when(F.col("state") == "too long", F.col("_part")), F.col("first_line"))
+    return rows.withColumns({"body": F.when(F.col("state") == "read", F.col("_body")), "ranges": ranges}).drop("_s", "_t", "_in", "_last", "_part", "_body")
+
+
+def outline_window(heads: DataFrame, key: str, query: str = "", start_line: int = 1, limit: int = 40) -> DataFrame:
+    """key, line, level, title, more: the first ``limit`` headings from a line on that contain a text; more tells whether others follow."""
+    if not 1 <= limit <= 200 or start_line < 1:
+        raise ValueError("limit is 1 to 200, lines begin at 1")
+    rows = heads.where((F.col("line") >= start_line) & F.contains(F.lower("title"), F.lit(query.lower())))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("line"))
+    rows = rows.withColumns({"_place": place, "_n": F.count("*").over(Window.partitionBy(key))})
+    return rows.where(F.col("_place") <= limit).select(key, "line", "level", "title", (F.col("_n") > limit).alias("more"))

@@ -72,3 +72,38 @@ def apply(df: DataFrame, key: str, vector: str, cores: list[np.ndarray]) -> Data
         return pd.Series([next(y) if t else None for t in there], index=v.index, dtype=object)
 
     return df.select(key, product(F.col(vector)).alias("y"))
+
+
+def gradient_check(df: DataFrame, key: str, vector: str, cores: list[np.ndarray], step: float = 1e-6) -> DataFrame:
+    """key, worst, agree: for each row's vector x, gradients of half the squared length of the product against central differences.
+
+    All entries of the cores are compared; worst is the largest difference relative to the largest gradient. Null vectors
+    have null results.
+    """
+    check(cores)
+
+    def value(changed: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+        return (matvec(changed, x) ** 2).sum(1) / 2
+
+    @F.pandas_udf("worst double, agree boolean")
+    def compare(v: pd.Series) -> pd.DataFrame:
+        there = np.array([x is not None for x in v])
+        out = pd.DataFrame({"worst": [None] * len(v), "agree": [None] * len(v)}, dtype=object)
+        if not there.any():
+            return out
+        x = np.stack([np.asarray(a, float) for a, t in zip(v, there) if t])
+        y = matvec(cores, x)
+        slopes = []
+        for k, c in enumerate(cores):
+            for at in np.ndindex(c.shape):
+                up, down = [a.copy() for a in cores], [a.copy() for a in cores]
+                up[k][at] += step
+                down[k][at] -= step
+                slopes.append((value(up, x) - value(down, x)) / (2 * step))
+        exact = np.stack([np.concatenate([g.ravel() for g in gradients(cores, x[i : i + 1], y[i : i + 1])[0]]) for i in range(len(x))])
+        worst = np.abs(np.stack(slopes, 1) - exact).max(1) / np.maximum(1e-12, np.abs(exact).max(1))
+        out.loc[there, "worst"] = worst
+        out.loc[there, "agree"] = worst < 1e-5
+        return out
+
+    return df.select(key, compare(F.col(vector)).alias("c")).select(key, "c.*")
