@@ -166,3 +166,26 @@ def attach(delta: DataFrame, nodes: DataFrame) -> DataFrame:
     hits = delta.withColumn("key", F.lower("name")).join(n, ["key", "type"], "left").groupBy("delta_id").agg(F.count("path").alias("n_matches"), F.min("path").alias("first"))
     decision = F.when(F.col("n_matches") == 1, "reuse").when(F.col("n_matches") > 1, "abstain").otherwise("create")
     return hits.select("delta_id", "n_matches", decision.alias("decision"), F.when(F.col("n_matches") == 1, F.col("first")).alias("path"))
+
+
+def shown(edges: DataFrame, similar: bool = False) -> DataFrame:
+    """Edges as a view shows them: without those of mere similarity unless asked."""
+    return edges if similar else edges.where(F.col("p") != "similar")
+
+
+def ancestors(edges: DataFrame, generations: int = 3) -> DataFrame:
+    """node, ancestor, generation: what edges lead to in 1 to ``generations`` steps, by the shortest way; cycles end there."""
+    up = edges.select(F.col("s").alias("node"), F.col("o").alias("ancestor")).distinct()
+    step = up.select(F.col("node").alias("_via"), F.col("ancestor").alias("_next"))
+    every, last = up.withColumn("generation", F.lit(1)), up
+    for k in range(2, generations + 1):
+        last = last.join(step, F.col("ancestor") == F.col("_via")).select("node", F.col("_next").alias("ancestor")).distinct()
+        every = every.unionByName(last.withColumn("generation", F.lit(k)))
+    return every.groupBy("node", "ancestor").agg(F.min("generation").alias("generation"))
+
+
+def connected(spark, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, exists for ``pairs`` (a, b): whether any path joins them, whatever its direction; a node joins itself if it has edges."""
+    c = Cuts(spark, "connected").cut(components(spark, edges))
+    end = lambda n: c.select(F.col("path").alias(n), F.col("component").alias(f"_{n}"))
+    return pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("exists"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import stable_rank
+from ledgerloom.plans.materialise import Cuts
+from ledgerloom.plans.ordering import numbered
 
 #: Counts (of a group, by item and set size) that a draw holds at once, as a table or as sorted elements.
 CELLS = 200_000
@@ -19,16 +21,16 @@ def stratified_permutation(spark, members: DataFrame, incidence: DataFrame, draw
     """draw, value: macro mean over groups of the mean of ``x``, after permuting x within strata.
 
     ``members`` has member, stratum, x; ``incidence`` grp and member. Both sides of a stratum are ranked, one by id and one
-    by a hash of (seed, draw, id), and joined by rank; so a draw needs no randomness, and draws spread over the cluster.
-    Rows without stratum raise an error in the strict sense of the definition: they are refused before.
+    by a hash of (seed, draw, id), and joined by rank; so a draw needs no randomness, and draws spread over the cluster, a
+    stratum over as many tasks as its rows need. A member without stratum raises an error.
     """
     if members.where("stratum is null").limit(1).count():
         raise ValueError("a member lies in no stratum")
-    fixed = Window.partitionBy("stratum").orderBy("member")
-    base = members.select("member", "stratum", "x", F.row_number().over(fixed).alias("place"))
-    shuffled = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    mixed = Window.partitionBy("draw", "stratum").orderBy(stable_rank(F.lit(seed), F.col("draw"), F.col("member")))
-    values = shuffled.select("draw", "stratum", "x", F.row_number().over(mixed).alias("place"))
+    cuts = Cuts(spark, "strata")
+    base = cuts.cut(numbered(cuts, members.select("member", "stratum", "x"), ["stratum"], ["member"], "place"))
+    shuffled = base.drop("place").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    shuffled = shuffled.withColumn("_by", stable_rank(F.lit(seed), F.col("draw"), F.col("member")))
+    values = numbered(cuts, shuffled, ["draw", "stratum"], ["_by", "member"], "place").select("draw", "stratum", "x", "place")
     permuted = base.select("member", "stratum", "place").join(values, ["stratum", "place"]).select("draw", "member", "x")
     groups = incidence.where("grp is not null and member is not null").distinct().join(permuted, "member").groupBy("draw", "grp").agg(F.avg("x").alias("m"), F.count("*").alias("n")).where("n > 1")
     return groups.groupBy("draw").agg(F.avg("m").alias("value"))
@@ -158,18 +160,62 @@ def coherence_null(spark, profiles: DataFrame, incidence: DataFrame, fields: lis
     return parts.repartitionByRange(chunks, "chunk").groupBy("chunk").applyInPandas(run, "draw int, field string, value double")  # by range: the chunks spread evenly
 
 
-def matched_controls(spark, positives: DataFrame, pool: DataFrame, seed: int = 7) -> DataFrame:
-    """trial, control, same_domain: one control for each positive, each control used once within a stratum.
+def matched_controls(spark, positives: DataFrame, pool: DataFrame, seed: int = 7, reuse: bool = False) -> DataFrame:
+    """trial, control, same_domain (and with ``reuse`` reused): one control for each positive, each used once within a stratum.
 
     ``positives`` has trial, stratum, domain; ``pool`` control, stratum, domain. The sequential rule (best unused by hash,
     same domain first) becomes two rank joins: the k-th positive of a (stratum, domain) takes the k-th control by hash;
-    those left over take, in the same way, the controls that are left in the stratum. Without any left control is null.
+    those left over take, in the same way, the controls that are left in the stratum. What is then without control has
+    none, or with ``reuse`` takes the controls of its stratum a second time, round and round. Ranks come from a range
+    partition, so a stratum may hold any part of the rows.
     """
-    order = lambda c, *by: F.row_number().over(Window.partitionBy(*by).orderBy(stable_rank(F.lit(seed), F.col(c)), c))
-    p = positives.withColumn("k", order("trial", "stratum", "domain"))
-    c = pool.select("control", F.col("stratum").alias("_s"), F.col("domain").alias("_d")).withColumn("_k", order("control", "_s", "_d"))
-    first = p.join(c, (F.col("stratum") == F.col("_s")) & F.col("domain").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left").select("trial", "stratum", "control")
-    rest = first.where("control is null").select("trial", "stratum").withColumn("k", order("trial", "stratum"))
-    free = c.join(first.where("control is not null").select("control"), "control", "left_anti").select("control", "_s").withColumn("_k", order("control", "_s"))
-    second = rest.join(free, (F.col("stratum") == F.col("_s")) & (F.col("k") == F.col("_k")), "left").select("trial", "control")
-    return first.where("control is not null").select("trial", "control", F.lit(True).alias("same_domain")).unionByName(second.select("trial", "control", F.when(F.col("control").isNotNull(), False).alias("same_domain")))
+    cuts = Cuts(spark, "controls")
+    hashed = lambda df, c: df.withColumn("_by", stable_rank(F.lit(seed), F.col(c)))
+    p = numbered(cuts, hashed(positives.select("trial", "stratum", "domain"), "trial"), ["stratum", "domain"], ["_by", "trial"], "k").drop("_by")
+    c = cuts.cut(numbered(cuts, hashed(pool.select("control", F.col("stratum").alias("_s"), F.col("domain").alias("_d")), "control"), ["_s", "_d"], ["_by", "control"], "_k"))
+    first = cuts.cut(p.join(c.drop("_by"), (F.col("stratum") == F.col("_s")) & F.col("domain").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")), "left").select("trial", "stratum", "control"))
+    rest = numbered(cuts, hashed(first.where("control is null").select("trial", "stratum"), "trial"), ["stratum"], ["_by", "trial"], "k")
+    free = c.join(first.where("control is not null").select("control"), "control", "left_anti").select("control", "_s", "_by")
+    free = numbered(cuts, free, ["_s"], ["_by", "control"], "_k").drop("_by")
+    second = cuts.cut(rest.drop("_by").join(free, (F.col("stratum") == F.col("_s")) & (F.col("k") == F.col("_k")), "left").select("trial", "stratum", "control"))
+    row = lambda df, same, again: df.select("trial", "control", same.alias("same_domain"), again.alias("reused"))
+    no = F.lit(False)
+    out = row(first.where("control is not null"), F.lit(True), no)
+    if not reuse:
+        return out.unionByName(row(second, F.when(F.col("control").isNotNull(), False), no)).drop("reused")
+    left = numbered(cuts, hashed(second.where("control is null").select("trial", "stratum"), "trial"), ["stratum"], ["_by", "trial"], "k").drop("_by")
+    every = cuts.cut(numbered(cuts, c.select("control", "_s", "_by"), ["_s"], ["_by", "control"], "_k").drop("_by"))
+    sizes = every.groupBy(F.col("_s").alias("stratum")).agg(F.count("*").alias("_n"))
+    left = left.join(sizes, "stratum", "left").withColumn("k", (F.col("k") - 1) % F.col("_n") + 1)
+    third = left.join(every, (F.col("stratum") == F.col("_s")) & (F.col("k") == F.col("_k")), "left")
+    return out.unionByName(row(second.where("control is not null"), no, no)).unionByName(row(third, F.when(F.col("control").isNotNull(), False), F.col("control").isNotNull()))
+
+
+def trials(spark, incidence: DataFrame, most: int = 6, span: int = 5, seed: int = 20260721, rounds: int = 4) -> DataFrame:
+    """trial, hub, option_a, option_b, true_position, same_domain, reused: blinded pairs of a paper of a hub and a control.
+
+    ``incidence`` has hub, paper_id, year. Of each hub at most ``most`` papers are taken, by hash. The control is of the same
+    ``span`` of years (null years are one span) and not in the hub; a control that turns out to be in the hub is drawn anew,
+    ``rounds`` times, after which the trial has none (null). Which side holds the paper is the parity of a hash; in a
+    packet the last three columns are left out.
+    """
+    cuts = Cuts(spark, "trials")
+    i = cuts.cut(incidence.where("hub is not null and paper_id is not null").groupBy("hub", "paper_id").agg(F.min("year").alias("year")))
+    stratum = F.coalesce(F.floor(F.col("year") / span).cast("string"), F.lit("none"))
+    picked = numbered(cuts, i.withColumn("_by", stable_rank(F.lit(seed), F.lit("positive"), F.col("hub"), F.col("paper_id"))), ["hub"], ["_by", "paper_id"], "place").where(F.col("place") <= most)
+    picked = cuts.cut(picked.select(F.concat_ws("#", "hub", F.col("place").cast("string")).alias("trial"), "hub", "paper_id", stratum.alias("stratum"), F.split("hub", "/")[0].alias("domain")))
+    pool = cuts.cut(i.groupBy(F.col("paper_id").alias("control")).agg(F.min(stratum).alias("stratum"), F.min(F.split("hub", "/")[0]).alias("domain")))
+    has = i.select(F.col("hub").alias("_h"), F.col("paper_id").alias("_c"))
+    open_, done = picked, None
+    for k in range(rounds):
+        got = matched_controls(spark, open_, pool, seed + k, reuse=True).join(picked.select("trial", "hub"), "trial")
+        got = cuts.cut(got.join(has, (F.col("hub") == F.col("_h")) & (F.col("control") == F.col("_c")), "left").select("trial", "control", "same_domain", "reused", F.col("_c").isNotNull().alias("inside")))
+        kept = got.where("not inside").drop("inside")
+        done = kept if done is None else done.unionByName(kept)
+        open_ = open_.join(got.where("inside").select("trial"), "trial", "left_semi")
+        if got.where("inside").isEmpty():
+            break
+    out = picked.join(done, "trial", "left")
+    a_first = F.conv(F.right(stable_rank(F.lit(seed), F.lit("side"), F.col("hub"), F.col("paper_id")), F.lit(1)), 16, 10).cast("int") % 2 == 0
+    side = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
+    return out.select("trial", "hub", side("paper_id", "control").alias("option_a"), side("control", "paper_id").alias("option_b"), F.when(a_first, "A").otherwise("B").alias("true_position"), "same_domain", "reused")

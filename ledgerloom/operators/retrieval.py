@@ -87,12 +87,12 @@ def hybrid(pages: DataFrame, request: Request, candidates: int = 5) -> tuple[Dat
     return results, counts.select("channel", F.coalesce("n", F.lit(0)).alias("n_candidates"), (F.coalesce("n", F.lit(0)) >= most).alias("window_full"))
 
 
-def ratio_top(names: DataFrame, authority: DataFrame, least: float = 0.6) -> DataFrame:
-    """name, best, ratio: the most similar authority name within an edit ratio, exactly as an exhaustive search finds it.
+def ratio_pairs(names: DataFrame, authority: DataFrame, least: float = 0.6) -> DataFrame:
+    """name, best, ratio: all pairs of a name and an authority name within an edit ratio.
 
     A ratio of at least r needs lengths within a factor r, and among the pieces that a name of n characters is cut into
     (more pieces than edits allowed) one that the other has unchanged. Names meet by (piece, shift of its place), not all
-    by all. Equal ratios go to the smaller name; names without partner have a null best.
+    by all.
     """
     cut = lambda n: F.floor((1 - F.lit(least)) * n / F.lit(least)).cast("int") + 1  # noqa: E731  (edits that the longer partner allows, plus one)
     a = names.select(F.col("name")).where("name is not null and name <> ''").distinct().withColumn("n", F.length("name"))
@@ -105,6 +105,33 @@ def ratio_top(names: DataFrame, authority: DataFrame, least: float = 0.6) -> Dat
     grams = b.join(F.broadcast(sizes)).where("m >= size")  # a row for each piece length
     grams = grams.select("best", "m", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("size") + 1)).alias("p"), "size").select("best", "m", F.col("best").substr(F.col("p"), F.col("size")).alias("piece")).distinct()
     pairs = pieces.join(grams, "piece").where((F.least("n", "m") >= F.greatest("n", "m") * least)).select("name", "best").distinct()
-    scored = pairs.withColumn("ratio", fn.title_ratio(F.col("name"), F.col("best"))).where(F.col("ratio") >= least)
-    top = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "best")).alias("t"))
-    return a.select("name").join(top, "name", "left").select("name", "t.best", (-F.col("t.r")).alias("ratio"))
+    return pairs.withColumn("ratio", fn.title_ratio(F.col("name"), F.col("best"))).where(F.col("ratio") >= least)
+
+
+def ratio_top(names: DataFrame, authority: DataFrame, least: float = 0.6) -> DataFrame:
+    """name, best, ratio: the most similar authority name within an edit ratio, exactly as an exhaustive search finds it.
+
+    Equal ratios go to the smaller name; names without partner have a null best.
+    """
+    top = ratio_pairs(names, authority, least).groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "best")).alias("t"))
+    every = names.select("name").where("name is not null and name <> ''").distinct()
+    return every.join(top, "name", "left").select("name", "t.best", (-F.col("t.r")).alias("ratio"))
+
+
+def recall(entries: DataFrame) -> DataFrame:
+    """subject, at, value, n_superseded of ``entries`` (subject, at, value): the current entry of each subject.
+
+    An entry supersedes the one before it unless it says the same; of one instant the greatest value is the later.
+    """
+    w = Window.partitionBy("subject").orderBy("at", "value")
+    before, first = F.lag("value").over(w), F.row_number().over(w)
+    kept = entries.withColumns({"_before": before, "_r": first}).where((F.col("_r") == 1) | ~F.col("value").eqNullSafe(F.col("_before")))
+    last = F.max(F.struct("at", "value"))
+    return kept.groupBy("subject").agg(last.alias("l"), (F.count("*") - 1).alias("n_superseded")).select("subject", "l.at", "l.value", "n_superseded")
+
+
+def remember(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries with the new ones appended; what repeats the current entry of its subject is left out, nothing is changed or removed."""
+    now = recall(entries).select(F.col("subject").alias("_s"), F.col("value").alias("_v"))
+    fresh = new.join(now, (F.col("subject") == F.col("_s")) & F.col("value").eqNullSafe(F.col("_v")), "left_anti")
+    return entries.select("subject", "at", "value").unionByName(fresh.select("subject", "at", "value"))

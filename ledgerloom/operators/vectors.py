@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 10, floor: float = -1.0, rows_per_block: int = 4096) -> DataFrame:
+def top_k(base: DataFrame, queries: DataFrame, k: int = 10, floor: float = -1.0, rows_per_block: int = 32_768) -> DataFrame:
     """query_id, id, cosine, rank: the k most similar rows of ``base`` (id, v) for each of ``queries`` (id, v), itself left out.
 
     Both sides are cut into blocks by hash; each pair of blocks is one matrix product, which keeps the best k for each
-    query, and a window over these (k for each block of the base) gives the result. Rows without vector or with zero
-    length have no neighbours; ties go to the smaller id.
+    query, and a window over these (k for each block of the base) gives the result. A row of the base is sent once for
+    each block of queries, so the blocks are as large as a task can hold. Rows without vector or with zero length have no
+    neighbours; ties go to the smaller id.
     """
     n_base, n_queries = max(1, -(-base.count() // rows_per_block)), max(1, -(-queries.count() // rows_per_block))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -26,18 +27,27 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, floor: float = -1.0,
         return np.divide(m, size, out=np.full_like(m, np.nan), where=size > 0)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        left = left.sort_values("id")
-        x, y, ids = unit(right["v"]), unit(left["v"]), left["id"].to_numpy()
-        out = []
-        for at in range(0, len(x), 512):
-            s = x[at : at + 512] @ y.T
-            for i, qid in enumerate(right["id"].iloc[at : at + 512]):
-                row = np.where((ids == qid) | np.isnan(s[i]), -np.inf, s[i])
-                order = np.argsort(-row, kind="stable")[:k]
-                out += [(qid, ids[j], row[j]) for j in order if row[j] > -np.inf]
-        return pd.DataFrame(out, columns=["query_id", "id", "cosine"])
+        none = np.zeros(0, np.int64)
+        out = [(none, none, np.zeros(0))]
+        if len(left) and len(right):
+            left = left.sort_values("id")
+            x, y, ids, asked = unit(right["v"]), unit(left["v"]), left["id"].to_numpy(), right["id"].to_numpy()
+            for at in range(0, len(x), 256):
+                s = x[at : at + 256] @ y.T
+                own = asked[at : at + 256]
+                s[np.isnan(s) | (own[:, None] == ids)] = -np.inf
+                if k < len(ids):
+                    # All that reach the k-th value, so that ties at the edge are decided by id.
+                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                    i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+                else:
+                    i, j = np.nonzero(s > -np.inf)
+                order = np.lexsort((j, -s[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < k], j[place < k]
+                out.append((own[i], ids[j], s[i, j]))
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "id", "cosine"), zip(*out))})
 
     found = b.groupBy("bb", "qb").cogroup(q.groupBy("bb", "qb")).applyInPandas(best, "query_id bigint, id bigint, cosine double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))

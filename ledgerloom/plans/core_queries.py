@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import timestamps
-from ledgerloom.plans import aggregate_queries, document_queries, graph_queries, registry, relational_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401
+from ledgerloom.plans import aggregate_queries, document_queries, graph_queries, registry, relational_queries, retrieval_queries, stream_queries, study_queries, text_queries  # noqa: F401
 from ledgerloom.sources.tables import load
 
 

@@ -47,3 +47,9 @@ def rank_in_group(df: DataFrame, group: str, name: str) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("pid", group).orderBy("seq"))
     df = df.withColumn("_local", local)
     return df.join(base, (df[group] == base["_g"]) & (df["pid"] == base["_pid"])).withColumn(name, F.col("_local") + F.col("_base")).drop("_g", "_pid", "_base", "_local")
+
+
+def numbered(cuts: Cuts, df: DataFrame, groups: list[str], by: list[str], name: str) -> DataFrame:
+    """Add the row's number, from 1, within ``groups`` in the order of ``by``, which must tell all rows of a group apart."""
+    keyed = df.withColumn("_g", F.to_json(F.struct(*groups)))
+    return rank_in_group(ranged(cuts, keyed, "_g", *by), "_g", name).drop("_g", "pid", "seq")

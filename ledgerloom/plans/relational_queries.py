@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as fn
 from ledgerloom.operators import aggregates, chains
+from ledgerloom.plans.materialise import Cuts
+from ledgerloom.plans.ordering import numbered
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load
 
@@ -198,15 +200,15 @@ def win_hash_topk(spark, d):
  SELECT trial_id, papers[((('0x' || substr(sha256('11|' || trial_id), 1, 8))::BIGINT) % len(papers)) + 1] AS control, CASE WHEN ('0x' || right(sha256('11|' || trial_id), 1))::INT % 2 = 0 THEN 'A' ELSE 'B' END AS side FROM k JOIN h USING (hub_id)"""
 )
 def win_matched_control(spark, d):
-    """A control paper of the trial's hub and a blinded side, both by hash."""
+    """A control paper of the trial's hub and a blinded side, both by hash (F5); stat_trials has the whole rule."""
     h = load(spark, d, "hub_paper_incidence", "hub_id", "paper_id").where("paper_id is not null and hub_id is not null").distinct()
-    place = F.row_number().over(Window.partitionBy("hub_id").orderBy("paper_id")) - 1
+    h = numbered(Cuts(spark, "control"), h, ["hub_id"], ["paper_id"], "place").withColumn("place", F.col("place") - 1)  # a hub may hold a tenth of all rows
     sizes = h.groupBy("hub_id").agg(F.count("*").alias("size"))
     digest = F.sha2(F.concat(F.lit("11|"), "trial_id"), 256)
     k = load(spark, d, "trial_key", "trial_id", "hub_id").join(sizes, "hub_id")
     k = k.withColumn("place", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("size")).cast("int"))
     side = F.when(F.conv(F.right(digest, F.lit(1)), 16, 10).cast("int") % 2 == 0, "A").otherwise("B")
-    return k.join(h.withColumn("place", place), ["hub_id", "place"]).select("trial_id", F.col("paper_id").alias("control"), side.alias("side"))
+    return k.join(h, ["hub_id", "place"]).select("trial_id", F.col("paper_id").alias("control"), side.alias("side"))
 
 
 @query(

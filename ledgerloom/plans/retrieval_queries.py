@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import registered
 from ledgerloom.operators import aggregates, resampling, retrieval
-from ledgerloom.plans import registry
+from ledgerloom.plans import registry, tools
 from ledgerloom.plans.materialise import Cuts
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load
@@ -108,5 +109,42 @@ def led_log_projection(spark, d):
 
 @query()
 def api_catalog(spark, d):
-    """The registered queries (V1, V3, V5)."""
+    """The registered queries."""
     return registry.catalog(spark)
+
+
+@query()
+def api_tools(spark, d):
+    """The tools with the schemas of their arguments, their callers and states (V1, V3, V5)."""
+    return tools.Toolbox(tools.STANDARD).catalogue(spark)
+
+
+@query()
+def api_call(spark, d):
+    """A tool called through hooks that count and shorten, within a deadline."""
+    box = tools.Toolbox(tools.STANDARD)
+    box.hooks.pre.append(lambda tool, a: {**a, "topk": min(5, a["topk"])} if "topk" in a else None)
+    box.hooks.post.append(lambda tool, result: result.withColumn("tool", F.lit(tool.name)))
+    return box.call(spark, d, "graph_search", {"term": "Brand#1"}, deadline=300)
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
+ f AS (SELECT *, sum(regexp_matches(c, '^(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY line) AS fence FROM l)
+ SELECT doc_id, line::INT AS line, length(regexp_extract(c, '^(#{1,6}) ', 1))::INT AS level, trim(regexp_replace(c, '^#{1,6} ', '')) AS title FROM f WHERE fence % 2 = 0 AND regexp_matches(c, '^#{1,6} ')"""
+)
+def api_table_function(spark, d):
+    """Headings by a table function from SQL (V7)."""
+    registered.register(spark)
+    return spark.sql("SELECT d.doc_id, o.line, o.level, o.title FROM {docs} d, LATERAL loom_outline(d.text) o", docs=load(spark, d, "documents", "doc_id", "text").where("text is not null"))
+
+
+@query(
+    """WITH p AS (SELECT l_shipmode_ AS g, x, y FROM (SELECT l_returnflag AS l_shipmode_, l_linestatus AS x, CASE WHEN l_quantity > 25 THEN 'F' ELSE 'O' END AS y FROM lineitem) q WHERE x IS NOT NULL),
+ t AS (SELECT g, avg((x = y)::INT) AS seen, avg((x = 'F')::INT) * avg((y = 'F')::INT) + avg((x = 'O')::INT) * avg((y = 'O')::INT) AS chance FROM p GROUP BY g) SELECT g, round(CASE WHEN chance = 1 THEN 1.0 ELSE (seen - chance) / (1 - chance) END, 9) AS kappa FROM t"""
+)
+def api_aggregate(spark, d):
+    """Agreement by an aggregate of one's own from SQL (V7)."""
+    registered.register(spark)
+    rows = load(spark, d, "lineitem", F.col("l_returnflag").alias("g"), F.col("l_linestatus").alias("x"), F.when(F.col("l_quantity") > 25, "F").otherwise("O").alias("y"))
+    return spark.sql("SELECT g, round(loom_kappa(x, y), 9) AS kappa FROM {rows} GROUP BY g", rows=rows)

@@ -21,14 +21,14 @@ def _plain(df):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
     """Tumbling windows with watermark."""
-    out = _plain(st.run(st.tumbling(st.read(spark, d, "events")), "complete"))
+    out = _plain(st.run(st.tumbling(st.read(spark, d, "events")), "update", ("start", "event_type")))
     return out.withColumn("total", F.round("total", 6))
 
 
 @query("SELECT start, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start, event_type FROM events) w GROUP BY ALL")
 def stream_sliding(spark, d):
     """Sliding windows."""
-    return _plain(st.run(st.sliding(st.read(spark, d, "events")), "complete"))
+    return _plain(st.run(st.sliding(st.read(spark, d, "events")), "update", ("start", "event_type")))
 
 
 @query(
@@ -49,7 +49,7 @@ def stream_once(spark, d):
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY user_id")
 def stream_observed(spark, d):
     """First and last observation, kept up to date."""
-    return _plain(st.run(st.observed(st.read(spark, d, "events")), "complete"))
+    return _plain(st.run(st.observed(st.read(spark, d, "events")), "update", ("user_id",)))
 
 
 @query(
@@ -62,6 +62,21 @@ def stream_repeats(spark, d):
     return st.run(st.repeats(st.read(spark, d, "events")), "append")
 
 
+@query("SELECT event_type AS domain, max(ts) AS cursor, count(*) AS n FROM events GROUP BY 1")
+def stream_cursors(spark, d):
+    """A pointer for each kind of event, which advances only when a batch is done for it."""
+    return _plain(st.cursors(st.read(spark, d, "events"), "event_type", "ts", lambda df, k: None))
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id, sum(coalesce(value, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent, coalesce(value, 0) AS value FROM events)
+ SELECT user_id, event_id, round(spent, 3) AS spent FROM r WHERE spent - value < 200"""
+)
+def stream_budget(spark, d):
+    """Events of a user until a budget is spent, with a hard stop (T5)."""
+    return st.run(st.budget(st.read(spark, d, "events"), 200.0), "append").select("user_id", "event_id", F.round("spent", 3).alias("spent"))
+
+
 def _fresh(spark) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex[:12]}"
 
@@ -98,3 +113,34 @@ def src_import(spark, d):
     """Rows that an import rejects, by reason."""
     _, bad = files.checked_import(load(spark, d, "manifest", "sequence_index", "title", "doi"), ["title", "doi"], "sequence_index")
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT r_regionkey, r_name, n_nationkey, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
+def src_json_document(spark, d):
+    """One JSON document over several lines, read back as rows."""
+    path = _fresh(spark)
+    n = load(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))  # 25 rows
+    r = load(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", "r_name", "nations")
+    whole = r.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("regions")), {"pretty": "true"}).alias("value"))
+    whole.write.text(path)
+    doc = files.read_json(spark, path, "regions array<struct<r_regionkey:bigint,r_name:string,nations:array<struct<n_nationkey:bigint,n_name:string>>>>")
+    return doc.select(F.explode("regions").alias("r")).select("r.r_regionkey", "r.r_name", F.inline("r.nations"))
+
+
+@query()
+def src_folder(spark, d):
+    """Files of a folder with their sizes, without reading them, and what a list of them lacks."""
+    path = _fresh(spark)
+    load(spark, d, "documents", "source", "text").where("source is not null").write.partitionBy("source").text(path)
+    found = files.list_files(spark, path)
+    return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+
+
+@query("SELECT n_nationkey, n_name, false AS first_reused, true AS then_reused FROM nation")
+def src_stage(spark, d):
+    """A stage that is computed once and, while its files are as they were, read the next time."""
+    path = _fresh(spark)
+    build = lambda: load(spark, d, "nation", "n_nationkey", "n_name")
+    _, first = files.stage(spark, path, "nations", build)
+    out, then = files.stage(spark, path, "nations", build)
+    return out.select("*", F.lit(first).alias("first_reused"), F.lit(then).alias("then_reused"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -72,3 +74,28 @@ def verify_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
     f = found.select(F.col("path").alias("_p"), F.col("sha256").alias("_h"))
     state = F.when(F.col("_p").isNull(), "missing").when(F.col("path").isNull(), "extra").when(F.col("sha256") != F.col("_h"), "changed")
     return listed.join(f, F.col("path") == F.col("_p"), "full").select(F.coalesce("path", "_p").alias("path"), state.alias("state")).where("state is not null")
+
+
+def _hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path (below the folder), sha256 of the files of a folder."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return rows.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """(table, whether it was there): the output of a stage, built unless its files are all there with the hashes noted.
+
+    The list of hashes is written after the files, so a stage that broke off is built again; so is one whose files were
+    changed, removed or added to.
+    """
+    out, noted = f"{folder}/{name}", f"{folder}/{name}.hashes"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(noted).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda p: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))
+    if there(out) and there(f"{noted}/_SUCCESS"):
+        listed = spark.read.schema("path string, sha256 string").parquet(noted)
+        if verify_manifest(listed, _hashes(spark, out)).isEmpty():
+            return spark.read.parquet(out), True
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(noted), True)
+    build().write.mode("overwrite").parquet(out)
+    _hashes(spark, out).write.mode("overwrite").parquet(noted)
+    return spark.read.parquet(out), False

@@ -7,11 +7,12 @@ result as a table. State lives in the stream's checkpoint, so a restart goes on
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerloom.plans.materialise import shared_folder
 
@@ -24,17 +25,69 @@ def read(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100
     return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Process all that is available and return the result table: rows in append mode, the last state in complete mode."""
+def run(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Process all that is available and return the result table.
+
+    append: the rows. update: of each of ``keys`` the row of the last batch that changed it; batches write only what they
+    changed, and windows behind the watermark leave the state. complete: the last state, written whole by every batch
+    (session windows have no other mode that shows open sessions).
+    """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{base}/rows")
+    elif mode == "update":  # a batch that is repeated after a failure writes its own folder again
+        writer = writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{base}/rows/batch={k:09d}"))
     else:
         writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/rows"))
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/rows")
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *[c for c in stream.columns if c not in keys])).alias("r")).select(*[c if c in keys else F.col(f"r.{c}").alias(c) for c in stream.columns])
+
+
+def cursors(stream: DataFrame, domain: str, at: str, handle: Callable[[DataFrame, int], DataFrame | None]) -> DataFrame:
+    """domain, cursor, n: how far each domain has come, after ``handle`` has seen all batches.
+
+    ``handle`` gets the rows of a batch and its number, and returns the domains it could not finish (a column named as
+    ``domain``) or None. The pointer of a domain advances to its latest ``at`` of a batch only when the batch is done for
+    it; a batch that raises moves none, and is repeated with the same number when the stream is started again.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/cursor-{uuid.uuid4().hex[:12]}"
+
+    def step(df: DataFrame, k: int) -> None:
+        failed = handle(df, k)
+        done = df if failed is None else df.join(failed.select(domain).distinct(), domain, "left_anti")
+        done.groupBy(F.col(domain).alias("domain")).agg(F.max(at).alias("cursor"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/rows/batch={k:09d}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows").groupBy("domain").agg(F.max("cursor").alias("cursor"), F.sum("n").alias("n"))
+
+
+def budget(events: DataFrame, most: float) -> DataFrame:
+    """user_id, event_id, spent: the rows of each user until their values reach ``most``; then the user is stopped for good.
+
+    The state of a user is what was spent. Events of a batch are taken in order of ts, event_id.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        spent = state.get[0] if state.exists else 0.0
+        out = []
+        if spent < most:
+            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+            for event, value in zip(rows["event_id"], rows["value"]):
+                if spent >= most:
+                    break
+                spent += 0.0 if pd.isna(value) else float(value)
+                out.append((key[0], event, spent))
+            state.update((spent,))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "spent"])
+
+    return events.select("user_id", "event_id", "ts", "value").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, spent double", "spent double", "append", "NoTimeout")
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -81,7 +134,8 @@ def repeats(events: DataFrame) -> DataFrame:
             if n in REMINDERS:
                 out.append((key[0], event, kind, n))
         state.update((last, n))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "n"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "event_type", "n"])
 
     return events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(
         step, "user_id bigint, event_id bigint, event_type string, n bigint", "last string, n bigint", "append", "NoTimeout"
