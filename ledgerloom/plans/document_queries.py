@@ -368,9 +368,10 @@ def id_overload(spark, d):
 def id_similar_sweep(spark, d):
     """Pairs of one label in a band of similarity, five for each end (G14); id_similar_pairs has those of all vectors."""
     e = load(spark, d, "embeddings")
-    a, b = e.alias("a"), e.alias("b")
-    s = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), fn.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
-    return graph.cap_degree(s.where("score >= 0.25 and score < 0.9"), 5).select("a", "b", F.round("score", 6).alias("score"))
+    near = vectors.pairs_between(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.25, 0.9)
+    label = lambda end: e.select(F.col("vec_id").alias(end), F.col("label").alias(f"label_{end}"))
+    s = near.join(label("a"), "a").join(label("b"), "b").where("label_a = label_b").select("a", "b", "score")
+    return graph.cap_degree(s, 5).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(
