@@ -30,6 +30,8 @@ ABSENT = " "
 #: Characters that are in NFC and start no composition: Latin, basic Greek and Cyrillic, general punctuation, kana, CJK, Hangul, full width.
 STABLE = r"\x00-\x{2ff}\x{391}-\x{3ce}\x{400}-\x{482}\x{2002}-\x{206f}\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30a1}-\x{30fe}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{ff00}-\x{ffef}"
 RESOLVER = r"^[^\p{L}\p{N}]*(?:(?:https?[^\p{L}\p{N}]*)?(?:(?:www|dx)\.)*doi\.org|doi(?=[^\p{L}\p{N}]))[^\p{L}\p{N}]*"
+#: The same for engines whose patterns don't look ahead: the mark takes the character after it along, which is dropped anyway.
+RESOLVER_SQL = r"^[^\p{L}\p{N}]*(?:(?:https?[^\p{L}\p{N}]*)?(?:(?:www|dx)\.)*doi\.org[^\p{L}\p{N}]*|doi[^\p{L}\p{N}]+)"
 
 
 @F.pandas_udf(StringType())

@@ -160,4 +160,42 @@ QUERIES = {
         p6_found, p6_links, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates,
     )
 }
-SQL: dict[str, str] = {}
+
+# --- SQL of those that it can express over whole tables
+
+
+def _canonical(c: str, resolver: bool = False) -> str:
+    bare = f"nfc_normalize({c})"
+    if resolver:
+        bare = f"regexp_replace(regexp_replace(lower({bare}), '{duplicates.RESOLVER_SQL}', ''), '{duplicates.RESOLVER_SQL}', '')"
+    kept = rf"lower(upper(regexp_replace({bare}, '[^\p{{L}}\p{{N}}\p{{Mn}}\p{{Mc}}]+|[\x{{FE00}}-\x{{FE0F}}]', '', 'g')))"
+    return rf"CASE WHEN {c} IS NULL OR regexp_matches({c}, '^[\s\p{{Z}}]*$') THEN ' ' ELSE {kept} END"
+
+
+def _pick(field: str) -> str:
+    return f"json_extract_string(j, '$.\"' || list_filter(json_keys(j), lambda k: lower(k) = '{field}')[1] || '\"') AS {field}"
+
+
+WORKS_SQL = f"""WITH p AS (SELECT sequence_index, payload::JSON AS j FROM (SELECT * FROM manifest_raw WHERE payload IS NOT NULL AND json_valid(payload)) q WHERE starts_with(trim(payload, ' \t\n\r'), '{{')),
+ r AS (SELECT sequence_index, title, doi, canonical_pdf_sha256 FROM manifest UNION ALL SELECT sequence_index, {", ".join(_pick(f) for f in P1_FIELDS)} FROM p),
+ c AS (SELECT sequence_index AS id, {", ".join(f"{_canonical(f, resolver)} AS c{i}" for i, (f, resolver) in enumerate(P1_FIELDS.items()))} FROM r)"""
+SPACE = " \t\n\r\u00a0\u3000"
+_clean_sql = lambda x: f"lower(regexp_replace(trim({x}, '{SPACE}'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+PAIRS_SQL = f"""WITH i AS (SELECT DISTINCT kind, basket, item FROM (SELECT 'concept' AS kind, paper_id AS basket, {_clean_sql("x")} AS item FROM (SELECT paper_id, unnest(concepts) AS x FROM physh_gold_matched) u
+  UNION ALL SELECT 'hub', work_id, trim(hub_id, '{SPACE}') FROM hub_paper_incidence) v WHERE basket IS NOT NULL AND item IS NOT NULL AND NOT (kind = 'concept' AND item = '')),
+ n AS (SELECT kind, item, count(*) AS n FROM i GROUP BY ALL), t AS (SELECT kind, count(DISTINCT basket) AS n_baskets FROM i GROUP BY kind),
+ c AS (SELECT a.kind, a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM i a JOIN i b ON a.kind = b.kind AND a.basket = b.basket AND a.item < b.item GROUP BY ALL HAVING count(*) >= 10),
+ f AS (SELECT c.kind, item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, n_baskets FROM c JOIN n x ON x.kind = c.kind AND x.item = item_a JOIN n y ON y.kind = c.kind AND y.item = item_b JOIN t ON t.kind = c.kind)"""
+SIMILAR_SQL = f"""WITH o AS (SELECT paper_id AS id, 'c' AS f, {_clean_sql("x")} AS item FROM (SELECT paper_id, unnest(concepts) AS x FROM physh_gold_matched) u UNION SELECT paper_id, 'd', {_clean_sql("x")} FROM (SELECT paper_id, unnest(disciplines) AS x FROM physh_gold_matched) u),
+ i AS (SELECT * FROM o WHERE id IS NOT NULL AND item <> ''), n AS (SELECT id, f, count(*) AS n FROM i GROUP BY ALL), w AS (SELECT id FROM n GROUP BY id HAVING count(*) = 2),
+ c AS (SELECT a.id AS a, b.id AS b, a.f, count(*) AS both_ FROM i a JOIN i b ON a.f = b.f AND a.item = b.item AND a.id < b.id GROUP BY ALL),
+ g AS (SELECT c.a, c.b FROM c JOIN n x ON x.id = c.a AND x.f = c.f JOIN n y ON y.id = c.b AND y.f = c.f WHERE 2.0 * both_ / (x.n + y.n) >= CASE c.f WHEN 'c' THEN 0.75 ELSE 0.5 END - 1e-9 GROUP BY ALL HAVING count(*) = 2)"""
+SQL: dict[str, str] = {
+    "p1_found": WORKS_SQL + " SELECT keeper::BIGINT AS sequence_index_a, id::BIGINT AS sequence_index_b FROM (SELECT id, min(id) OVER (PARTITION BY c0, c1, c2) AS keeper FROM c) k WHERE id <> keeper",
+    "p1_works": WORKS_SQL + " SELECT min(id)::BIGINT AS sequence_index, count(*) AS n_copies FROM c GROUP BY c0, c1, c2",
+    "p5_found": PAIRS_SQL + " SELECT kind, item_a, item_b FROM f WHERE n_ab::HUGEINT * n_baskets >= 3 * n_a::HUGEINT * n_b",
+    "p5_pairs": PAIRS_SQL + " SELECT kind, item_a, item_b, n_ab, n_a, n_b, n_baskets, n_ab * n_baskets::DOUBLE / (n_a::DOUBLE * n_b) AS lift FROM f",
+    "p6_found": SIMILAR_SQL + " SELECT a AS paper_id_a, b AS paper_id_b FROM g",
+    "p6_links": SIMILAR_SQL + """, s AS (SELECT id, string_agg(f || item, chr(1) ORDER BY f, item) AS sets FROM i JOIN w USING (id) GROUP BY id), d AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM g UNION ALL SELECT b FROM g) e GROUP BY id)
+ SELECT s.id AS paper_id, min(s.id) OVER (PARTITION BY sets) AS class_id, coalesce(n, 0) AS n_links FROM s LEFT JOIN d ON s.id = d.id""",
+}
