@@ -17,6 +17,8 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.materialise import Cuts
+
 SPACE = " \t\n\r\x0b\x0c    ​　﻿"
 MONTHS = (
     "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
@@ -112,9 +114,14 @@ def parse_stamps(df: DataFrame, stamp: str, prefix: str = "_p_") -> DataFrame:
     return df.drop(*[prefix + n for n in ("u", "f", "y", "mo", "d", "h", "mi", "s", "us")])
 
 
+def known_zones(spark) -> list[str]:
+    """IANA names that both sides of the engine know, about 600."""
+    return sorted(available_timezones() & set(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()))
+
+
 def zone_names(zones: DataFrame, column: str = "zone_name") -> list[str]:
     """The valid IANA names in a zone table: at most as many as IANA has (about 600), however long the table is."""
-    known = F.split(F.lit(",".join(sorted(available_timezones()))), ",")
+    known = F.split(F.lit(",".join(known_zones(zones.sparkSession))), ",")
     rows = zones.select(F.col(column).alias("z")).where(F.array_contains(known, F.col("z"))).distinct().collect()
     return sorted(r.z for r in rows)
 
@@ -145,36 +152,49 @@ def to_utc_us(local_us: Column, zone: Column) -> Column:
 
 
 def estimate_zones(
-    stamps: DataFrame, candidates: list[str], longest_s: int = 6 * 3600, prefix: str = "_p_"
+    stamps: DataFrame, preferred: list[str], candidates: list[str] | None = None, longest_s: int = 6 * 3600, prefix: str = "_p_"
 ) -> DataFrame:
-    """The zone of each origin whose history of offsets fits the ingestion times best.
+    """The zone of each origin whose history of offsets fits the ingestion times best, among all IANA zones or ``candidates``.
 
     ``stamps`` has origin, received_us and the columns of ``parse_stamps``. A stamp read in a zone should lie before its
     ingestion, and not long before: a negative delay is a violation and costs 1, a delay costs its share of
     ``longest_s`` (1 from there on). Stamps are first counted by origin, wall-clock hour and quarter hour of
-    (local - received), which is exact as all offsets since 1970 in use are quarter hours; the candidates then meet bins,
-    not rows. Result: origin, zone_name, cost, stamps, violations; ties go to the first name. Origins without
-    zone-less stamps or ingestion times have no row.
+    (local - received), which is exact as all offsets since 1970 in use are quarter hours. Days on which no zone changes
+    its clocks are then counted whole, others by the hour, and costs are taken for every offset in use at such a time; so
+    zones meet times, and offsets bins, but never rows. Ties go to ``preferred`` zones, then to the first name (zones that were alike throughout
+    can't be told apart, nor need they be). Result: origin, zone_name, cost, stamps, violations. Origins without zone-less
+    stamps or ingestion times have no row.
     """
-    quarter = 900_000_000
+    quarter, hour_us = 900_000_000, 3_600_000_000
     c = lambda n: F.col(prefix + n)
     bins = (
         stamps.where((c("zone") == "") & c("local_us").isNotNull() & F.col("received_us").isNotNull() & F.col("origin").isNotNull())
-        .groupBy("origin", F.floor(c("local_us") / F.lit(3_600_000_000)).alias("hour"), F.floor((c("local_us") - F.col("received_us")) / F.lit(quarter)).alias("bin"))
+        .groupBy("origin", F.floor(c("local_us") / F.lit(hour_us)).alias("hour"), F.floor((c("local_us") - F.col("received_us")) / F.lit(quarter)).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    tried = bins.withColumn("zone_name", F.explode(F.array(*[F.lit(z) for z in candidates])))
-    local = F.col("hour").cast("bigint") * F.lit(3_600_000_000)
-    offset_s = (local - to_utc_us(local, F.col("zone_name"))) / 1_000_000
-    early = F.col("bin") * 900 >= offset_s
-    delay = offset_s - F.col("bin") * 900 - 450
-    cost = F.when(early, 1.0).otherwise(F.least(delay / longest_s, F.lit(1.0)))
-    best = (
-        tried.groupBy("origin", "zone_name")
-        .agg(F.sum(cost * F.col("n")).alias("cost"), F.sum("n").alias("stamps"), F.sum(F.when(early, F.col("n")).otherwise(0)).alias("violations"))
-        .groupBy("origin")
-        .agg(F.min(F.struct("cost", "zone_name", "stamps", "violations")).alias("b"))
-    )
+    cuts = Cuts(stamps.sparkSession, "zones")
+    bins = cuts.cut(bins)
+    names = sorted(set(candidates if candidates is not None else known_zones(stamps.sparkSession)) | set(preferred))
+    second = F.array_contains(F.split(F.lit(",".join(preferred)), ","), F.col("zone_name"))
+    order = ("cost", F.when(second, 0).otherwise(1).alias("other"), "zone_name")
+
+    def offsets(times: DataFrame, hour: Column, name: str) -> DataFrame:
+        local = hour.cast("bigint") * F.lit(hour_us)
+        return times.withColumn(name, ((local - to_utc_us(local, F.col("zone_name"))) / 1_000_000).cast("int"))
+
+    day = F.floor(F.col("hour") / 24)
+    zoned = lambda times: times.distinct().withColumn("zone_name", F.explode(F.split(F.lit(",".join(names)), ",")))
+    ends = offsets(offsets(zoned(bins.select(day.alias("day"))), F.col("day") * 24, "first"), F.col("day") * 24 + 23, "last")
+    changes = ends.groupBy("day").agg(F.max(F.col("first") != F.col("last")).alias("changes"))
+    cells = bins.withColumn("day", day).join(changes, "day").withColumn("at", F.when(F.col("changes"), F.col("hour")).otherwise(F.col("day") * 24 + 12))
+    cells = cuts.cut(cells.groupBy("origin", "at", "bin").agg(F.sum("n").alias("n")))
+    times = cuts.cut(offsets(zoned(cells.select("at")), F.col("at"), "offset_s"))
+    early = F.col("bin") * 900 >= F.col("offset_s")
+    cost = F.when(early, 1.0).otherwise(F.least((F.col("offset_s") - F.col("bin") * 900 - 450) / longest_s, F.lit(1.0)))
+    tried = cells.join(times.select("at", "offset_s").distinct(), "at").groupBy("origin", "at", "offset_s")
+    tried = tried.agg(F.sum(cost * F.col("n")).alias("cost"), F.sum("n").alias("stamps"), F.sum(F.when(early, F.col("n")).otherwise(0)).alias("violations"))
+    fit = times.join(tried, ["at", "offset_s"]).groupBy("origin", "zone_name").agg(F.round(F.sum("cost"), 6).alias("cost"), F.sum("stamps").alias("stamps"), F.sum("violations").alias("violations"))
+    best = fit.groupBy("origin").agg(F.min(F.struct(*order, "stamps", "violations")).alias("b"))
     return best.select("origin", "b.zone_name", "b.cost", "b.stamps", "b.violations")
 
 
@@ -186,7 +206,7 @@ def normalise(
     ``zones`` has origin and zone_name; ``fixed`` names a column with a zone that overrides it where not null (only UTC
     or zones of the table). zone_source is one of absolute, offset, abbreviation, declared, estimated, none. With
     ``estimate``, origins missing from ``zones`` get the zone of ``estimate_zones``, for which ``received`` (a
-    timestamp) is needed; the candidates are the zones of the table.
+    timestamp) is needed; all IANA zones are candidates, those of the table come first where several fit alike.
     """
     names = zone_names(zones)
     valid = F.array_contains(F.split(F.lit(",".join(names)), ","), F.col("zone_name"))
@@ -208,12 +228,12 @@ def normalise(
     numeric = F.when(m.rlike(r"^[+-]") & (hours <= 18) & (minutes < 60), (hours * 3600 + minutes * 60) * F.when(m.startswith("-"), -1).otherwise(1))
     known = F.coalesce(F.col("_p_declared"), F.col("_p_estimated"))
     by_name = F.try_element_at(_literal_map(abbreviations(names)), F.concat_ws("|", known, m)).cast("int")
-    fixed = F.when(m.isin(*UTC_NAMES), 0).when(m.rlike("^[+-]"), numeric).when(m != "", by_name)
-    df = df.withColumns({"_p_fixed": fixed, "_p_known": known})
+    marked = F.when(m.isin(*UTC_NAMES), 0).when(m.rlike("^[+-]"), numeric).when(m != "", by_name)
+    df = df.withColumns({"_p_marked": marked, "_p_known": known})
     local = F.col("_p_local_us")
     utc = F.coalesce(
         F.col("_p_unix_us"),
-        F.when(m != "", local - F.col("_p_fixed").cast("bigint") * 1_000_000).when(F.col("_p_known") == "UTC", local).otherwise(to_utc_us(local, F.col("_p_known"))),
+        F.when(m != "", local - F.col("_p_marked").cast("bigint") * 1_000_000).when(F.col("_p_known") == "UTC", local).otherwise(to_utc_us(local, F.col("_p_known"))),
     )
     source = (
         F.when(F.col("_p_unix_us").isNotNull(), "absolute")

@@ -81,3 +81,17 @@ def test_estimate(spark, zones):
 
     found = ts.estimate_zones(p.select(F.col("host").alias("origin"), F.unix_micros("received").alias("received_us"), "_p_zone", "_p_local_us"), names).collect()
     assert [(r.origin, r.zone_name, r.violations) for r in found] == [("stray", "America/New_York", 0)]
+
+
+@pytest.mark.parametrize("zone", ["Australia/Lord_Howe", "Asia/Kathmandu", "America/St_Johns", "Pacific/Chatham"])
+def test_estimate_of_a_zone_that_the_table_lacks(spark, zones, zone):
+    """Half and quarter hours, and a change of the clocks in the south; the offsets found are those of the zone throughout."""
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for i in range(300):
+        utc = dt.datetime(2024, 8, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=29 * i)
+        rows.append((i, utc.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), "stray", utc + dt.timedelta(seconds=40 + i % 90)))
+    df = spark.createDataFrame(rows, "k int, stamp string, host string, received timestamp")
+    out = {r.k: r.u for r in ts.normalise(df, "stamp", zones, "host", "received", estimate=True).select("k", ts.utc_text("utc_us").alias("u")).collect()}
+    assert out == {i: (dt.datetime(2024, 8, 1) + dt.timedelta(hours=29 * i)).strftime("%Y-%m-%dT%H:%M:%S.000000Z") for i in range(300)}
