@@ -126,12 +126,11 @@ def reliability(spark, cuts: Cuts, votes: DataFrame, shares: DataFrame) -> DataF
     return cuts.cut(shares.join(vector, ["label", "judge"], "left").select("judge", "label", "n_votes", "share", F.greatest(F.lit(-0.95), F.least(F.lit(0.95), d)).alias("d")))
 
 
-def consensus(spark, raw: DataFrame, items: DataFrame | None = None, labels: tuple[str, ...] = LABELS) -> tuple[DataFrame, DataFrame]:
-    """(per item: item, label, certainty, agreement, n_votes; per judge: judge, skill, accuracy, n_votes).
+def decide(spark, raw: DataFrame, items: DataFrame | None = None, labels: tuple[str, ...] = LABELS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item, choice, certainty, n_votes; the valid votes; judge, skill, n_votes).
 
-    ``items`` (item) limits the votes to known items. agreement is the share of votes for the consensus label, skill the
-    mean of t - f over the labels, accuracy the mean certainty of the judge's votes that are the consensus label. The share
-    of each label among the items is taken from the annotators' shares, weighted by their skills.
+    ``items`` (item) limits the votes to known items. skill is the mean of t - f over the labels. The share of each label
+    among the items is taken from the annotators' shares, weighted by their skills.
     """
     cuts, k = Cuts(spark, "consensus"), range(len(labels))
     votes = clean_votes(raw, labels)
@@ -152,9 +151,19 @@ def consensus(spark, raw: DataFrame, items: DataFrame | None = None, labels: tup
     sums = votes.join(odds, "judge").groupBy("item").agg(*[s.alias(f"s{z}") for z, s in enumerate(score)], F.count("*").alias("n_votes"))
     top = F.greatest(*[F.col(f"s{z}") for z in k])
     best = F.array_max(F.array(*[F.struct(F.col(f"s{z}").alias("s"), F.lit(-z).alias("z"), F.lit(labels[z]).alias("label")) for z in k]))
-    decided = cuts.cut(sums.select("item", best["label"].alias("choice"), (1 / sum((F.exp(F.col(f"s{z}") - top) for z in k), F.lit(0.0))).alias("certainty"), "n_votes"))
+    return sums.select("item", best["label"].alias("choice"), (1 / sum((F.exp(F.col(f"s{z}") - top) for z in k), F.lit(0.0))).alias("certainty"), "n_votes"), votes, skill
+
+
+def consensus(spark, raw: DataFrame, items: DataFrame | None = None, labels: tuple[str, ...] = LABELS) -> tuple[DataFrame, DataFrame]:
+    """(per item: item, label, certainty, agreement, n_votes; per judge: judge, skill, accuracy, n_votes).
+
+    As ``decide``; agreement is the share of an item's votes for the consensus label, accuracy the mean certainty of the
+    judge's votes that are the consensus label.
+    """
+    decided, votes, skill = decide(spark, raw, items, labels)
+    decided = Cuts(spark, "decided").cut(decided)
     right = (F.col("label") == F.col("choice")).cast("int")
-    joined = votes.join(decided, "item")
+    joined = votes.join(decided.select("item", "choice", "certainty"), "item")
     shared = joined.groupBy("item").agg(F.avg(right).alias("agreement"))
     judges = joined.groupBy("judge").agg(F.avg(right * F.col("certainty")).alias("accuracy")).join(skill, "judge")
     per_item = decided.join(shared, "item").select("item", F.col("choice").alias("label"), "certainty", "agreement", "n_votes")

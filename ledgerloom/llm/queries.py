@@ -44,7 +44,8 @@ def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The consensus choice of each trial."""
-    return _consensus(spark, d)[0].select(F.col("item").alias("trial_id"), F.col("label").alias("choice"))
+    decided = consensus.decide(spark, _votes(spark, d), load(spark, d, "trial_key", F.col("trial_id").alias("item")))[0]
+    return decided.select(F.col("item").alias("trial_id"), "choice")
 
 
 def p2_trials(spark: SparkSession, d: str) -> DataFrame:
