@@ -189,3 +189,16 @@ def connected(spark, edges: DataFrame, pairs: DataFrame) -> DataFrame:
     c = Cuts(spark, "connected").cut(components(spark, edges))
     end = lambda n: c.select(F.col("path").alias(n), F.col("component").alias(f"_{n}"))
     return pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("exists"))
+
+
+def context(edges: DataFrame, found: DataFrame, described: str, current: str, nodes: int = 50, relations_: int = 64) -> DataFrame:
+    """node, tier, direction, p, other: relations of the found nodes (path, tier), the first by tier, node and relation.
+
+    ``described`` is the hash of what the graph was made from, ``current`` that of what is there now; if they differ the
+    graph would describe something else, and nothing is returned but an error.
+    """
+    if described != current:
+        raise ValueError("the graph is stale: what it describes has changed")
+    top = found.orderBy("tier", "path").limit(nodes)
+    rows = relations(edges, top.select("path")).join(top.withColumnRenamed("path", "node"), "node")
+    return rows.orderBy("tier", "node", "direction", "p", "other").limit(relations_)

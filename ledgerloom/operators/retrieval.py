@@ -50,13 +50,15 @@ def admitted(pages: DataFrame, request: Request) -> DataFrame:
     return out.where(F.col("domain") == request.domain) if request.domain else out
 
 
-def hybrid(pages: DataFrame, request: Request, candidates: int = 5) -> tuple[DataFrame, DataFrame]:
+def hybrid(pages: DataFrame, request: Request, candidates: int = 5, more: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, channels) for ``pages`` (id, title, text, source, domain, status).
 
-    All words of the query count. Two channels (words of the text, words of the title) rank at most candidates * topk pages each. Order: distinct-term
-    coverage, phrase, then weighted reciprocal-rank fusion of the best rank in each channel, then id. At most two results
-    of a source. results: id, source, kind, coverage, phrase, score, rank, evidence_read (always false: a candidate is no
-    evidence). Navigation by alias and graph, knowledge units and vectors have no channel, and the intent is only checked. channels: channel, n_candidates, window_full; a channel without candidates is listed with 0.
+    All words of the query count. Two channels (words of the text, words of the title) rank at most candidates * topk pages
+    each; ``more`` has further ones as tables of (id, place), of which as many places count, within the same scope. Order:
+    distinct-term coverage, phrase, then weighted reciprocal-rank fusion of the best rank in each channel (weight 1 where
+    the request gives none), then id. At most two results of a source. results: id, source, kind, read_action and
+    read_input (how to read it), coverage, phrase, score, rank, evidence_read (always false: a candidate is no evidence).
+    channels: channel, n_candidates, window_full; a channel without candidates is listed with 0. The intent is only checked.
     """
     terms = list(dict.fromkeys(w for w in request.query.lower().split() if w))
     for s in request.subjects:
@@ -75,14 +77,16 @@ def hybrid(pages: DataFrame, request: Request, candidates: int = 5) -> tuple[Dat
         return top.select("id", "source", "coverage", "title_coverage", "phrase", F.lit(name).alias("channel"), place.alias("place"))
 
     lanes = channel("lexical", "coverage").unionByName(channel("title", "title_coverage"))
-    weight = F.create_map(*[F.lit(x) for kv in request.weights.items() for x in kv])
+    for name, places in (more or {}).items():
+        lanes = lanes.unionByName(scored.join(places.where(F.col("place") <= most).select("id", "place"), "id").select("id", "source", "coverage", "title_coverage", "phrase", F.lit(name).alias("channel"), "place"))
+    weight = F.create_map(*[F.lit(x) for kv in ({n: 1.0 for n in more or ()} | request.weights).items() for x in kv])
     best = lanes.groupBy("id", "source", "channel").agg(F.min("place").alias("place"), F.max("coverage").alias("coverage"), F.max("phrase").alias("phrase"))
     fused = best.groupBy("id", "source").agg(F.max("coverage").alias("coverage"), F.max("phrase").alias("phrase"), F.sum(F.coalesce(F.try_element_at(weight, F.col("channel")), F.lit(0.0)) * fn.rrf(F.col("place"))).alias("score"))
     order = [F.desc("coverage"), F.desc("phrase"), F.desc("score"), F.col("id")]
     slot = F.row_number().over(Window.partitionBy("source").orderBy(*order))
     kept = fused.withColumn("slot", slot).where("slot <= 2").orderBy(*order).limit(request.topk)
-    results = kept.select("id", "source", F.lit("source_material").alias("kind"), "coverage", "phrase", "score", F.row_number().over(Window.orderBy(*order)).alias("rank"), F.lit(False).alias("evidence_read"))
-    names = lanes.sparkSession.createDataFrame([("lexical",), ("title",)], "channel string")
+    results = kept.select("id", "source", F.lit("source_material").alias("kind"), F.lit("read_section").alias("read_action"), F.col("id").cast("string").alias("read_input"), "coverage", "phrase", "score", F.row_number().over(Window.orderBy(*order)).alias("rank"), F.lit(False).alias("evidence_read"))
+    names = lanes.sparkSession.createDataFrame([(n,) for n in ("lexical", "title", *(more or ()))], "channel string")
     counts = names.join(lanes.groupBy("channel").agg(F.count("*").alias("n")), "channel", "left")
     return results, counts.select("channel", F.coalesce("n", F.lit(0)).alias("n_candidates"), (F.coalesce("n", F.lit(0)) >= most).alias("window_full"))
 
@@ -135,3 +139,30 @@ def remember(entries: DataFrame, new: DataFrame) -> DataFrame:
     now = recall(entries).select(F.col("subject").alias("_s"), F.col("value").alias("_v"))
     fresh = new.join(now, (F.col("subject") == F.col("_s")) & F.col("value").eqNullSafe(F.col("_v")), "left_anti")
     return entries.select("subject", "at", "value").unionByName(fresh.select("subject", "at", "value"))
+
+
+def navigation(pages: DataFrame, aliases: DataFrame, edges: DataFrame, request: Request, most: int = 50) -> DataFrame:
+    """id, place, how: pages by the literal tiers of title and alias (exact, prefix, inside), by the graph where these find none.
+
+    ``aliases`` has alias and id, ``edges`` a and b (page ids). The fallback takes pages linked to those whose title has a
+    word of the query, by the number of links. Scope and lifecycle count before any limit.
+    """
+    low = request.query.lower()
+    scope = admitted(pages, request)
+
+    def tier(text):
+        text = F.lower(text)
+        return F.when(text == low, 0).when(F.startswith(text, F.lit(low)), 1).when(F.contains(text, F.lit(low)), 2)
+
+    names = scope.select("id", F.col("title").alias("text")).unionByName(scope.join(aliases, "id").select("id", F.col("alias").alias("text")))
+    found = names.withColumn("tier", tier(F.col("text"))).where("tier is not null").groupBy("id").agg(F.min("tier").alias("tier"))
+    found = found.orderBy("tier", "id").limit(most)
+    words = [w for w in dict.fromkeys(low.split()) if w]
+    any_word = sum((F.coalesce(whole_word(F.col("title"), w), F.lit(False)).cast("int") for w in words), F.lit(0)) > 0
+    both = edges.select(F.col("a").alias("from"), F.col("b").alias("id")).unionByName(edges.select(F.col("b").alias("from"), F.col("a").alias("id")))
+    near = both.join(scope.where(any_word).select(F.col("id").alias("from")), "from").groupBy("id").agg(F.count("*").alias("links")).join(scope.select("id"), "id", "left_semi")
+    near = near.orderBy(F.desc("links"), "id").limit(most)
+    none = found.agg((F.count("*") == 0).alias("none"))
+    near = near.join(F.broadcast(none)).where("none")  # one row
+    ranks = found.select("id", F.row_number().over(Window.orderBy("tier", "id")).alias("place"), F.lit("name").alias("how"))  # at most ``most`` rows
+    return ranks.unionByName(near.select("id", F.row_number().over(Window.orderBy(F.desc("links"), "id")).alias("place"), F.lit("graph").alias("how")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph
-from ledgerloom.plans.registry import query
+from ledgerloom.operators import graph, raster
+from ledgerloom.plans.materialise import shared_folder
+from ledgerloom.plans.registry import SQL, query
+from ledgerloom.sources import files
 from ledgerloom.sources import graph_tables as g
 from ledgerloom.sources.tables import load
 
@@ -246,3 +250,41 @@ def graph_snapshot(spark, d):
     """Nodes and edges as one tagged table, for export."""
     n = g.nodes(spark, d).select(F.lit("node").alias("kind"), F.col("path").alias("id"), F.col("title").alias("label"))
     return n.union(g.edges(spark, d).select(F.lit("edge"), F.concat_ws(" ", "s", "p", "o"), "confidence"))
+
+
+SEARCH_SQL = SQL["graph_search"].removeprefix("WITH ")
+
+
+@query(
+    f"WITH {g.EDGES_SQL}, found AS (WITH {SEARCH_SQL}) SELECT path AS node, tier, direction, p, other FROM (SELECT path, tier, 'out' AS direction, p, o AS other FROM edges JOIN found ON s = path UNION ALL SELECT path, tier, 'in', p, s FROM edges JOIN found ON o = path) r ORDER BY tier, node, direction, p, other LIMIT 64"
+)
+def graph_context(spark, d):
+    """Nodes found by name with their relations, fifty and sixty-four at most; refused where what they describe has changed."""
+    found = graph.search(g.nodes(spark, d), g.aliases(spark, d), "Brand#1")
+    return graph.context(g.edges(spark, d), found, described="v1", current="v1").select("node", "tier", "direction", "p", "other")
+
+
+@query(WITH + " SELECT p, count(*) AS n, count(DISTINCT s) AS n_from FROM edges GROUP BY p")
+def graph_stored(spark, d):
+    """A graph kept as tables in a folder, read back without being changed."""
+    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex[:12]}"
+    g.write_graph(folder, g.nodes(spark, d), g.edges(spark, d), g.aliases(spark, d))
+    return g.read_graph(spark, folder)["edges"].groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_from"))
+
+
+@query(SQL["graph_overview"])
+def graph_inventory(spark, d):
+    """The nodes and edges of a view as a list in JSON, in a folder of its own that is never written over."""
+    folder = f"{shared_folder(spark)}/view-{uuid.uuid4().hex[:12]}"
+    e = graph_overview(spark, d)
+    files.write_rows(e.select(F.lit("edge").alias("_table"), "*"), folder)
+    return files.read_jsonl(spark, folder, "s string, p string, o string", tag="edge")
+
+
+@query()
+def graph_regions(spark, d):
+    """Regions of touching pixels and bands of columns in pictures of eight by eight made from vectors."""
+    pixels = load(spark, d, "embeddings", F.col("vec_id").cast("string").alias("image"), F.posexplode("embedding").alias("at", "v"))
+    pixels = pixels.select("image", (F.col("at") % 8).alias("x"), F.floor(F.col("at") / 8).cast("int").alias("y"), "v").where(raster.colour_distance([F.col("v").cast("double")], [0.3]) < 0.25)
+    bands = raster.column_bands(pixels).groupBy("image").agg(F.count("*").alias("n_bands"))
+    return raster.regions(spark, pixels).groupBy("image").agg(F.count("*").alias("n_regions"), F.max("n").alias("largest")).join(bands, "image")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import registered
-from ledgerloom.operators import aggregates, resampling, retrieval
+from ledgerloom.operators import aggregates, resampling, retrieval, vectors
 from ledgerloom.plans import registry, tools
 from ledgerloom.plans.materialise import Cuts
 from ledgerloom.plans.registry import query
@@ -22,16 +22,55 @@ def _pages(spark, d):
     return docs.where("text is not null").select(F.col("doc_id").alias("id"), title.alias("title"), "text", "source", F.split("path", "/")[0].alias("domain"), status.alias("status"))
 
 
+def _links(spark, d):
+    """Pages linked by the sources they cite: a cited name stands for the page of that stem with the smallest id."""
+    docs = load(spark, d, "documents", "doc_id", "text", "path")
+    stem = docs.where("path is not null").groupBy(F.regexp_extract("path", r"([a-z]+)-[a-z0-9]+\.md$", 1).alias("stem")).agg(F.min("doc_id").alias("b"))
+    cited = docs.where("text is not null").select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"raw/([a-z]+)-[a-z0-9]+\.md"), F.lit(1)))).alias("stem"))
+    return cited.join(stem, "stem").select("a", "b")
+
+
+def _names(spark, d):
+    return load(spark, d, "documents", F.col("doc_id").alias("id"), F.regexp_extract("path", r"([a-z]+)-[a-z0-9]+\.md$", 1).alias("alias")).where("alias <> ''")
+
+
+def _lanes(spark, d):
+    """Navigation, and vectors: a page's vector is that of its number, the request's that of the first page it names."""
+    nav = retrieval.navigation(_pages(spark, d), _names(spark, d), _links(spark, d), REQUEST)
+    v = load(spark, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    near = vectors.top_k(v, v.where("id = 1"), 50).select("id", F.col("rank").alias("place"))
+    cuts = Cuts(spark, "lanes")
+    return {"navigation": cuts.cut(nav), "vector": cuts.cut(near)}
+
+
 @query()
 def ret_hybrid(spark, d):
-    """Fused recall over text and title channels only, typed candidates (W8, W10, P9; of R5 and R6 the lexical part)."""
-    return retrieval.hybrid(_pages(spark, d), REQUEST)[0]
+    """Fused recall over text, title, navigation and vector channels, typed candidates with how to read them."""
+    return retrieval.hybrid(_pages(spark, d), REQUEST, more=_lanes(spark, d))[0]
 
 
 @query()
 def ret_channels(spark, d):
     """How many candidates each channel gave, and whether its window was full."""
-    return retrieval.hybrid(_pages(spark, d), REQUEST)[1]
+    return retrieval.hybrid(_pages(spark, d), REQUEST, more=_lanes(spark, d))[1]
+
+
+@query()
+def ret_navigation(spark, d):
+    """Pages by title and alias tiers, over the graph of citations where no name fits."""
+    fallback = retrieval.Request("entropy lattice", topk=10)
+    one = retrieval.navigation(_pages(spark, d), _names(spark, d), _links(spark, d), retrieval.Request("the", topk=10))
+    two = retrieval.navigation(_pages(spark, d), _names(spark, d), _links(spark, d), fallback)
+    return one.withColumn("request", F.lit("by name")).unionByName(two.withColumn("request", F.lit("no name")))
+
+
+@query()
+def led_speech_names(spark, d):
+    """Names as written against an authority: exact, fuzzy by edit ratio with its best match, or unknown."""
+    hubs = load(spark, d, "hub_paper_incidence", F.trim("hub_label").alias("name")).where("name <> ''").distinct()
+    known = load(spark, d, "physh_gold_matched", F.explode("concepts").alias("name")).select(F.trim("name").alias("name")).where("name <> ''").distinct()
+    near = retrieval.ratio_top(hubs, known, 0.75)
+    return near.select("name", "best", F.when(F.col("name") == F.col("best"), "exact").when(F.col("best").isNotNull(), "fuzzy").otherwise("unknown").alias("state"))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.materialise import shared_folder
 from ledgerloom.plans.registry import query
-from ledgerloom.sources import files
+from ledgerloom.sources import files, paged
 from ledgerloom.sources.tables import load
 from ledgerloom.streaming import events as st
 
@@ -144,3 +144,16 @@ def src_stage(spark, d):
     _, first = files.stage(spark, path, "nations", build)
     out, then = files.stage(spark, path, "nations", build)
     return out.select("*", F.lit(first).alias("first_reused"), F.lit(then).alias("then_reused"))
+
+
+@query("SELECT 'nation/' || n_nationkey AS request, count(*) AS n, bool_or(r = 29) AS partial FROM (SELECT n_nationkey, unnest(range(least(30, 5 + n_nationkey * 3))) AS r FROM nation) q GROUP BY n_nationkey")
+def src_paged(spark, d):
+    """Records of a paged source within a budget of pages; a request that was cut short says so."""
+
+    def fetch(request: str, cursor, size: int):
+        total, at = 5 + 3 * int(request.split("/")[1]), int(cursor or 0)
+        return [f"{request}#{i}" for i in range(at, min(total, at + size))], str(at + size) if at + size < total else None
+
+    requests = [f"nation/{r.n_nationkey}" for r in load(spark, d, "nation", "n_nationkey").collect()]  # 25 rows
+    rows = paged.read_paged(spark, "ledgerloom_pages", fetch, requests, page=10, pages=3)
+    return rows.groupBy("request").agg(F.count("*").alias("n"), F.bool_or("partial").alias("partial"))

@@ -49,6 +49,16 @@ def id_three_bands(spark, d):
     return identity.bands(whole(asked), whole(base))
 
 
+@query(
+    """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE NOT (a.vec_id % 7 = b.vec_id % 7 AND b.vec_id - a.vec_id = 7)) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.35"""
+)
+def id_unlinked_pairs(spark, d):
+    """Similar pairs of all vectors that no link joins yet; here each vector is linked to the seventh after it."""
+    e = load(spark, d, "embeddings", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    linked = e.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
+    return vectors.pairs_between(e, 0.35).join(linked, ["a", "b"], "left_anti").select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query()
 def id_split_plan(spark, d):
     """Groups of six or more cut in two, whether the split counts, and the five members nearest to each centre."""

@@ -63,6 +63,19 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return o.select(_path("customer", "o_custkey").alias("subject"), _path("order", "o_orderkey").alias("object"), F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(w).alias("valid_until"))
 
 
+def write_graph(folder: str, nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> None:
+    """A graph as tables in a new folder; edges lie by predicate, so a filter on it reads only its own."""
+    nodes.write.mode("errorifexists").parquet(f"{folder}/nodes")
+    aliases.write.mode("errorifexists").parquet(f"{folder}/aliases")
+    edges.write.mode("errorifexists").partitionBy("p").parquet(f"{folder}/edges")
+
+
+def read_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """nodes, edges and aliases of a stored graph, to be read only."""
+    tables = {n: spark.read.parquet(f"{folder}/{n}") for n in ("nodes", "edges", "aliases")}
+    return tables | {"edges": tables["edges"].select("s", "p", "o", "confidence")}
+
+
 #: The same in SQL, to be put before a statement.
 NODES_SQL = """nodes AS (
   SELECT 'part/' || p_partkey AS path, p_name AS title, 'entity' AS type, 'current' AS status FROM part

@@ -228,3 +228,62 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT o.* FROM loom_texts, LATERAL loom_lines(t, 0, 2) o ORDER BY line").collect()] == [(1, "# A"), (2, "```")]
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), (None, "a")], "x string, y string")
     assert abs(df.groupBy().agg(registered.loom_kappa("x", "y").alias("k")).first().k - 0.5) < 1e-12
+
+
+def test_paged():
+    from ledgerloom.sources import paged
+
+    def fetch(request, cursor, size):
+        at = int(cursor or 0)
+        return [str(i) for i in range(at, min(int(request), at + size))], str(at + size) if at + size < int(request) else None
+
+    get = lambda n, **limits: [(r[2], r[4]) for r in paged.fetch_all(fetch, str(n), **limits)]
+    assert get(0) == [] and get(3) == [(0, False), (1, False), (2, False)]
+    assert get(20, page=10, pages=2)[-1] == (19, False) and get(21, page=10, pages=2)[-1] == (19, True)
+    assert get(25, page=10, rows=12)[-1] == (11, True) and len(get(25, page=10, rows=12)) == 12 and get(12, page=10, rows=12)[-1] == (11, False)
+    with pytest.raises(ValueError):
+        list(paged.fetch_all(lambda r, c, s: (["x"], "again"), "r"))
+    with pytest.raises(ValueError):
+        paged.read_paged(None, "x", fetch, [], page=201)
+
+
+def test_raster(spark):
+    from ledgerloom.operators import raster
+
+    picture = ["##..#", "...#.", "#....", "....#", "#...#"]
+    px = spark.createDataFrame([("a", x, y) for y, row in enumerate(picture) for x, c in enumerate(row) if c == "#"] + [("b", 0, 0), ("b", 0, 0), ("b", -1, -1)], "image string, x int, y int")
+    got = {(r.image, r.n, r.first_x, r.last_x, r.first_y, r.last_y) for r in raster.regions(spark, px.where("image = 'a'")).collect()}
+    assert got == {("a", 2, 0, 1, 0, 0), ("a", 2, 3, 4, 0, 1), ("a", 1, 0, 0, 2, 2), ("a", 1, 0, 0, 4, 4), ("a", 2, 4, 4, 3, 4)}
+    bands = {(r.image, r.band, r["first"], r["last"], r.n) for r in raster.column_bands(px.where("image = 'a'")).collect()}
+    assert bands == {("a", 0, 0, 1, 4), ("a", 1, 3, 4, 4)}
+    c = spark.createDataFrame([(3.0, 4.0)], "r double, g double").select(raster.colour_distance([F.col("r"), F.col("g")], [0, 0]).alias("d"))
+    assert c.first().d == 5.0
+
+
+def test_navigation_and_more_channels(spark):
+    pages = spark.createDataFrame([(1, "Tensor train", "x", "s1", "d", "current"), (2, "Train tensor", "x", "s2", "d", "current"), (3, "Other", "y", "s3", "d", "current"), (4, "Tensor train old", "x", "s4", "d", "deprecated")], "id bigint, title string, text string, source string, domain string, status string")
+    aliases = spark.createDataFrame([("tensor train decomposition", 3)], "alias string, id bigint")
+    edges = spark.createDataFrame([(2, 3), (3, 1), (3, 4)], "a bigint, b bigint")
+    nav = lambda q: [(r.id, r.place, r.how) for r in retrieval.navigation(pages, aliases, edges, retrieval.Request(q)).orderBy("place").collect()]
+    assert nav("tensor train") == [(1, 1, "name"), (3, 2, "name")]
+    assert nav("train of something") == [(3, 1, "graph")]  # linked to the two pages with a word of it; the old page is out of scope
+    lane = spark.createDataFrame([(3, 1), (4, 2)], "id bigint, place int")
+    results, channels = retrieval.hybrid(pages, retrieval.Request("tensor train"), more={"vector": lane, "none": lane.limit(0)})
+    assert {r.id for r in results.collect()} == {1, 2, 3} and {r.channel: r.n_candidates for r in channels.collect()} == {"lexical": 0, "title": 2, "vector": 1, "none": 0}
+
+
+def test_stored_graph_and_context(spark, tmp_path):
+    from ledgerloom.sources import graph_tables
+
+    n = spark.createDataFrame([("a", "A", "page", "current")], "path string, title string, type string, status string")
+    e = spark.createDataFrame([("a", "cites", "b", "traceable"), ("c", "in", "a", "traceable")], "s string, p string, o string, confidence string")
+    al = spark.createDataFrame([("x", "a")], "alias string, node_path string")
+    graph_tables.write_graph(str(tmp_path / "g"), n, e, al)
+    back = graph_tables.read_graph(spark, str(tmp_path / "g"))
+    assert sorted(map(tuple, back["edges"].collect())) == sorted(map(tuple, e.collect())) and back["nodes"].count() == 1
+    with pytest.raises(Exception):
+        graph_tables.write_graph(str(tmp_path / "g"), n, e, al)
+    found = graph.search(n, al, "x")
+    assert {(r.direction, r.other) for r in graph.context(e, found, "h", "h").collect()} == {("out", "b"), ("in", "c")}
+    with pytest.raises(ValueError):
+        graph.context(e, found, "h", "i")
