@@ -209,7 +209,7 @@ def agg_birth_final(spark, d):
  x AS (SELECT user_id, 0.35 * a + 0.45 * b + 0.10 * c + 0.10 * e AS score, a, e FROM s) SELECT round(avg(score), 6) AS mean, round(max(score), 6) AS best, bool_and(e >= 0.5) AS all_steady, count(*) FILTER (score >= 0.3) AS n_passed FROM x"""
 )
 def agg_weighted_exam(spark, d):
-    """Weighted score of each user, rolled up with gates."""
+    """Weighted score of each user, rolled up with gates."""
     rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     t = F.col("event_type")
     s = load(spark, d, "events", "user_id", "event_type").groupBy("user_id").agg((0.35 * rate(t == "purchase") + 0.45 * rate(t == "view") + 0.10 * rate(t == "click") + 0.10 * rate(t != "error")).alias("score"), rate(t != "error").alias("e"))
@@ -221,7 +221,7 @@ def agg_weighted_exam(spark, d):
  SELECT c AS case_id, round(now_ / base, 6) AS ratio, now_ / base <= 0.7 AS within_budget FROM w WHERE nf = 1 AND no = 1"""
 )
 def agg_baseline_ratio(spark, d):
-    """Ratio to baseline for each case that has exactly one of both."""
+    """Ratio to baseline for each case that has exactly one of both."""
     p = load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("case_id"), "o_orderstatus").agg(F.avg("o_totalprice").alias("v"))
     pick = lambda k: F.max(F.when(F.col("o_orderstatus") == k, F.col("v")))
     n = lambda k: F.count_if(F.col("o_orderstatus") == k)
@@ -272,7 +272,7 @@ NULL_SQL = """SELECT b, avg(v) AS value FROM (SELECT b, v, row_number() OVER (PA
  round(quantile_cont(value, 0.975), 6) AS q975, round((any_value(obs) - avg(value)) / stddev_pop(value), 6) AS z, round((1.0 + count(*) FILTER (value >= obs)) / (count(*) + 1), 6) AS p FROM n, o"""
 )
 def agg_null_summary(spark, d):
-    """Mean, quantiles, z and one-sided p against hash-ordered draws of twenty hubs."""
+    """Mean, quantiles, z and one-sided p against hash-ordered draws of twenty hubs (X2; stat_permutation has the whole null)."""
     inc = load(spark, d, "hub_paper_incidence", "hub_id", "supporting_member_node_count")
     hubs = inc.where("hub_id is not null").groupBy(F.trim("hub_id").alias("hub")).agg(F.avg("supporting_member_node_count").alias("v"))
     draws = hubs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(199))))

@@ -92,7 +92,7 @@ def fn_evidence(spark, d):
  SELECT sequence_index, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a)::DOUBLE END, 6) AS overlap, CASE WHEN len(a) > 0 AND len(list_intersect(a, b)) / len(a)::DOUBLE >= 0.6 THEN true ELSE false END AS same_heading FROM t"""
 )
 def fn_title_overlap(spark, d):
-    """Token overlap of two titles and the 0.6 gate."""
+    """Token overlap of two titles and the 0.6 gate."""
     t = load(spark, d, "physh_gold_matched", "sequence_index", "manifest_title", "physh_title").where("manifest_title is not null and physh_title is not null")
     a, b = F.array_distinct(fn.words(F.col("manifest_title"))), F.array_distinct(fn.words(F.col("physh_title")))
     share = F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)), F.lit(0.0))
@@ -179,13 +179,13 @@ def fn_tensor_train(spark, d):
  SELECT h.doc_id, h.line::INT AS line, h.level::INT AS level, h.title, min(x.line)::INT AS next_line FROM h LEFT JOIN h x ON x.doc_id = h.doc_id AND x.line > h.line AND x.level <= h.level GROUP BY ALL"""
 )
 def doc_outline(spark, d):
-    """Headings outside fences and where their sections end."""
+    """Headings outside fences and where their sections end."""
     return docs_.outline(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query(r"WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '(raw/[a-z0-9-]+\.md#L[0-9]+-L[0-9]+)')) AS l FROM documents) SELECT doc_id, regexp_extract(l, '^(.*)#', 1) AS source, regexp_extract(l, '#L([0-9]+)', 1)::INT AS first_line, regexp_extract(l, '-L([0-9]+)$', 1)::INT AS last_line FROM l")
 def doc_locators(spark, d):
-    """Line locators cited in texts."""
+    """Line locators cited in texts; doc_read_raw reads them."""
     return docs_.locators(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
@@ -255,7 +255,7 @@ def ret_benchmark(spark, d):
  SELECT work_id, round((max(level) * 0.5 + max(gold) * 0.3 + count(*) * 0.2)::DOUBLE, 6) AS score, CASE WHEN max(gold) = 1 AND count(*) >= 2 THEN 'admitted' ELSE 'other' END AS evidence FROM m GROUP BY work_id"""
 )
 def ret_weighted_rank(spark, d):
-    """Weighted maxima for each work, and admission as evidence."""
+    """Weighted maxima for each work (R19), and whether it is gold in two hubs."""
     m = load(spark, d, "hub_paper_incidence").where("hub_id is not null and work_id is not null").groupBy(F.trim("hub_id").alias("hub"), "work_id").agg(F.max("supporting_member_node_count").alias("level"), F.max("official_gold").alias("gold"))
     score = F.max("level") * 0.5 + F.max("gold") * 0.3 + F.count("*") * 0.2
     return m.groupBy("work_id").agg(F.round(score, 6).alias("score"), F.when((F.max("gold") == 1) & (F.count("*") >= 2), "admitted").otherwise("other").alias("evidence"))
@@ -279,7 +279,7 @@ def ret_slots(spark, d):
  SELECT workspace_id, session_id, n, slot FROM r WHERE slot <= 3"""
 )
 def ret_context(spark, d):
-    """Three latest items for each workspace."""
+    """Three latest items for each workspace."""
     a = load(spark, d, "session_event", "workspace_id", "session_id", "received_at").where("session_id is not null").groupBy("workspace_id", "session_id").agg(F.max("received_at").alias("last"), F.count("*").alias("n"))
     slot = F.row_number().over(Window.partitionBy("workspace_id").orderBy(F.desc("last"), "session_id"))
     return a.withColumn("slot", slot.cast("bigint")).where("slot <= 3").select("workspace_id", "session_id", "n", "slot")
@@ -312,7 +312,7 @@ def _affinity(spark, d):
 
 @query(SCORES + " SELECT vec_id, grp AS best, round(c, 6) AS score, CASE WHEN c >= 0.3 AND c - second >= 0.04 THEN 'resolved' WHEN c >= 0.15 THEN 'ambiguous' ELSE 'unmatched' END AS decision FROM r WHERE r = 1")
 def id_route(spark, d):
-    """Best prototype with floor and margin: resolved, ambiguous, unmatched."""
+    """Best prototype with floor and margin: resolved, ambiguous, unmatched."""
     w = Window.partitionBy("vec_id").orderBy(F.desc("c"), "grp")
     r = _affinity(spark, d).select("vec_id", "grp", "c", F.row_number().over(w).alias("r"), F.lead("c").over(w).alias("second")).where("r = 1")
     decision = F.when((F.col("c") >= 0.3) & (F.col("c") - F.col("second") >= 0.04), "resolved").when(F.col("c") >= 0.15, "ambiguous").otherwise("unmatched")
@@ -346,7 +346,7 @@ def id_prototypes(spark, d):
 
 @query(f"WITH {PROTO} SELECT a.grp AS a, b.grp AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, list_cosine_similarity(a.v, b.v) >= 0.1 AS candidate FROM p a JOIN p b ON a.grp < b.grp")
 def id_merge_candidates(spark, d):
-    """Prototypes alike enough to merge."""
+    """Prototypes alike enough to merge."""
     p = vectors.prototypes(load(spark, d, "embeddings").select(F.col("label").alias("grp"), F.col("embedding").alias("v")))
     x, y = p.alias("x"), p.alias("y")
     c = fn.cosine(F.col("x.v"), F.col("y.v"))
@@ -424,7 +424,7 @@ def led_editions(spark, d):
  SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'purge' WHEN o.size IS DISTINCT FROM n.size OR o.t IS DISTINCT FROM n.t THEN 'rehash' ELSE 'skip' END AS action FROM old o FULL JOIN new n ON o.path = n.path"""
 )
 def led_reconcile(spark, d):
-    """Incremental reconcile by path, size and time."""
+    """Incremental reconcile by path, size and time."""
     docs = load(spark, d, "documents", "path", "n_chars", "updated_at").where("path is not null")
     state = lambda x, p: x.groupBy("path").agg(F.max("n_chars").alias(p + "size"), F.max("updated_at").alias(p + "t")).withColumn(p + "in", F.lit(True))
     old, new = state(docs.where(F.col("updated_at") < F.lit("2026-01-01").cast("timestamp")), "o_"), state(docs, "n_")
@@ -475,7 +475,7 @@ def led_packing(spark, d):
  SELECT 'repeated entry' AS rule, entry_id AS item FROM m WHERE n > 1 UNION ALL SELECT 'no year', entry_id FROM m WHERE y IS NULL UNION ALL SELECT 'older than ten years', entry_id FROM m WHERE y < 2016 UNION ALL SELECT 'not formal', entry_id FROM m WHERE NOT coalesce(formal, false)"""
 )
 def led_lint(spark, d):
-    """Structural checks as a union of violation queries, one pass."""
+    """Structural checks as a union of violation queries, one pass."""
     m = load(spark, d, "manifest", "entry_id", "publication_year", "formal_publication_signal").groupBy("entry_id").agg(F.max("publication_year").alias("y"), F.bool_or("formal_publication_signal").alias("formal"), F.count("*").alias("n"))
     rule = lambda c, name: F.when(c, F.lit(name))
     broken = F.array(rule(F.col("n") > 1, "repeated entry"), rule(F.col("y").isNull(), "no year"), rule(F.col("y") < 2016, "older than ten years"), rule(~F.coalesce("formal", F.lit(False)), "not formal"))

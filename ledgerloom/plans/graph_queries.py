@@ -88,14 +88,14 @@ def graph_hub_of(spark, d):
  SELECT path FROM (SELECT 'order/' || o_orderkey AS path FROM orders WHERE o_orderstatus = 'P' UNION SELECT path FROM r1 UNION SELECT path FROM r2 UNION SELECT path FROM r3 UNION SELECT path FROM r4) u"""
 )
 def graph_reachable(spark, d):
-    """Everything that directed edges reach from the open orders."""
+    """Everything that directed edges reach from the open orders."""
     seeds = load(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
     return graph.reachable(spark, g.edges(spark, d), seeds)
 
 
 @query(f"WITH {g.FACTS_SQL} SELECT subject, object FROM facts WHERE valid_from <= TIMESTAMP '1998-01-01' AND (valid_until IS NULL OR TIMESTAMP '1998-01-01' < valid_until)")
 def graph_as_of(spark, d):
-    """Facts valid at a time."""
+    """Facts valid at a time."""
     return graph.as_of(g.facts(spark, d), F.lit("1998-01-01").cast("timestamp")).select("subject", "object")
 
 
@@ -152,7 +152,7 @@ def graph_degree_cap(spark, d):
     WITH + """ SELECT c.s AS node, c.o AS parent, n.o AS grandparent FROM edges c LEFT JOIN edges n ON c.o = n.s AND n.p = 'in' WHERE c.p = 'in'"""
 )
 def graph_ancestors(spark, d):
-    """Ancestors over three generations."""
+    """Parents and grandparents; graph_blood has three generations."""
     up = g.edges(spark, d).where("p = 'in'").select("s", "o")
     return up.alias("c").join(up.alias("n"), F.col("c.o") == F.col("n.s"), "left").select(F.col("c.s").alias("node"), F.col("c.o").alias("parent"), F.col("n.o").alias("grandparent"))
 
@@ -200,7 +200,7 @@ def graph_attach(spark, d):
  SELECT s, p, o FROM edges WHERE s IN (SELECT path FROM top) AND o IN (SELECT path FROM top)"""
 )
 def graph_overview(spark, d):
-    """The subgraph of the nodes of highest degree, for display."""
+    """The subgraph of the nodes of highest degree, for display."""
     e = g.edges(spark, d)
     degree = e.select(F.explode(F.array("s", "o")).alias("path")).groupBy("path").agg(F.count("*").alias("degree"))
     top = degree.orderBy(F.desc("degree"), "path").limit(300).select("path")
@@ -247,7 +247,7 @@ def graph_junction(spark, d):
 
 @query(WITH + " SELECT 'node' AS kind, path AS id, title AS label FROM nodes UNION ALL SELECT 'edge', s || ' ' || p || ' ' || o, confidence FROM edges")
 def graph_snapshot(spark, d):
-    """Nodes and edges as one tagged table, for export."""
+    """Nodes and edges as one tagged table, for export."""
     n = g.nodes(spark, d).select(F.lit("node").alias("kind"), F.col("path").alias("id"), F.col("title").alias("label"))
     return n.union(g.edges(spark, d).select(F.lit("edge"), F.concat_ws(" ", "s", "p", "o"), "confidence"))
 

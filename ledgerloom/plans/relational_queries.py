@@ -177,7 +177,7 @@ def join_snapshot(spark, d):
  SELECT l.l_orderkey, l.l_linenumber, CASE WHEN r.k IS NOT NULL AND l.l_linenumber BETWEEN r.lo AND r.hi THEN 'verified' ELSE 'unverified' END AS state FROM lineitem l LEFT JOIN r ON l.l_orderkey = r.k"""
 )
 def join_containment(spark, d):
-    """A citation is verified inside one read range of the same unit."""
+    """A citation is verified inside one read range of the same unit."""
     li = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
     r = li.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
     state = F.when(F.col("l_linenumber").between(F.col("lo"), F.col("hi")), "verified").otherwise("unverified")
@@ -303,7 +303,7 @@ def win_first_last(spark, d):
  SELECT user_id, event_id, CASE WHEN used > 2000 THEN 'stop' WHEN used > 1400 THEN 'warn' ELSE 'go' END AS state FROM r"""
 )
 def win_running_budget(spark, d):
-    """Running budget with warning and stop."""
+    """Running budget with warning and stop."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum("value").over(w)
     return load(spark, d, "events").where("value is not null").select("user_id", "event_id", F.when(used > 2000, "stop").when(used > 1400, "warn").otherwise("go").alias("state"))
@@ -311,7 +311,7 @@ def win_running_budget(spark, d):
 
 @query("SELECT o_custkey, o_orderkey AS current FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) q WHERE r = 1")
 def win_current_revision(spark, d):
-    """Latest revision of each key."""
+    """Latest revision of each key."""
     return load(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("current"))
 
 

@@ -75,7 +75,7 @@ def led_speech_names(spark, d):
 
 @query()
 def ret_name_candidates(spark, d):
-    """The most similar concept name of each hub name, from a ratio of 0.75 (F27, F28, D4, D16); against brute force in the tests."""
+    """The most similar concept name of each hub name, from a ratio of 0.75 (F27); against brute force in the tests."""
     hubs = load(spark, d, "hub_paper_incidence", "hub_label").select(F.lower(F.trim("hub_label")).alias("name")).distinct()
     concepts = load(spark, d, "physh_gold_matched", "concepts").select(F.explode("concepts").alias("name")).select(F.lower(F.trim("name")).alias("name")).distinct()
     return retrieval.ratio_top(hubs, concepts, 0.75)
@@ -113,7 +113,7 @@ def stat_controls(spark, d):
  SELECT entry_id, first, last, n, CASE WHEN last - first + 1 = n THEN 'contiguous' ELSE 'gaps' END AS shape FROM f"""
 )
 def led_trace(spark, d):
-    """Traces of entries: first and last step, and whether steps are missing between."""
+    """Traces of entries: first and last step, and whether steps are missing between."""
     f = load(spark, d, "trajectory", "step", "entry_id").groupBy("entry_id").agg(F.min("step").alias("first"), F.max("step").alias("last"), F.count("*").alias("n"))
     return f.withColumn("shape", F.when(F.col("last") - F.col("first") + 1 == F.col("n"), "contiguous").otherwise("gaps"))
 

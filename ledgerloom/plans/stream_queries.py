@@ -42,7 +42,7 @@ def stream_sessions(spark, d):
 
 @query("SELECT DISTINCT event_id FROM events")
 def stream_once(spark, d):
-    """Rows processed once, whatever is replayed."""
+    """Rows processed once, whatever is replayed."""
     return st.run(st.once(st.read(spark, d, "events"), "event_id").select("event_id"), "append")
 
 
@@ -58,7 +58,7 @@ def stream_observed(spark, d):
  SELECT user_id, event_id, event_type, n FROM k WHERE n IN (3, 5, 8)"""
 )
 def stream_repeats(spark, d):
-    """Runs of equal events noticed as they grow, with state per user (T4, T5)."""
+    """Runs of equal events noticed as they grow, with state per user (T4)."""
     return st.run(st.repeats(st.read(spark, d, "events")), "append")
 
 
@@ -101,7 +101,7 @@ def src_tagged_jsonl(spark, d):
 
 @query("SELECT doc_id::VARCHAR AS path, CASE WHEN updated_at >= TIMESTAMP '2026-01-01' THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE text IS NOT NULL AND (updated_at >= TIMESTAMP '2026-01-01' OR lang IS NULL)")
 def src_checksums(spark, d):
-    """A checksum list against what is there: missing and changed."""
+    """A checksum list against what is there: missing and changed."""
     t = load(spark, d, "documents", F.col("doc_id").cast("string").alias("path"), "text", "updated_at", "lang").where("text is not null")
     listed = t.select("path", F.sha2("text", 256).alias("sha256"))
     there = t.where(F.col("updated_at") < F.lit("2026-01-01").cast("timestamp")).select("path", F.sha2(F.when(F.col("lang").isNull(), F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256"))

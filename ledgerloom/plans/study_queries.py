@@ -258,14 +258,24 @@ def stat_trials(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT hub_id, count(*) AS n, avg((true_position = 'A')::INT) AS a_share, count(true_position) AS n_open FROM trial_key WHERE hub_id IS NOT NULL GROUP BY hub_id)
- SELECT bool_and(n >= 2) AS complete, bool_and(coalesce(abs(a_share - 0.5) <= 0.5, true)) AS sides_even, count(*) AS n_hubs, count(*) FILTER (n_open > 0) AS n_open, bool_and(n >= 2) AND count(*) > 0 AS passed FROM t"""
+    """WITH v AS (SELECT DISTINCT lower(trim(judge_id)) AS judge, r.trial_id AS trial, lower(trim(r.choice)) AS choice FROM (SELECT judge_id, unnest(response.membership) AS r FROM judge_output) u),
+ k AS (SELECT trial_id AS trial, hub_id AS hub, lower(true_position) AS y FROM trial_key WHERE true_position IS NOT NULL AND hub_id IS NOT NULL),
+ j AS (SELECT judge, hub, choice, (choice = y)::INT AS hit FROM v JOIN k USING (trial) WHERE judge IS NOT NULL AND choice IN ('a', 'b', 'tie')),
+ h AS (SELECT hub, avg(hit) - 0.5 AS d FROM j GROUP BY hub), z AS (SELECT avg(d) / (stddev_samp(d) / sqrt(count(*))) AS z FROM h),
+ p AS (SELECT judge, avg(hit) AS agree, avg((choice = 'a')::INT) AS a_share, count(DISTINCT hub) AS n_hubs FROM j GROUP BY judge), n AS (SELECT count(DISTINCT hub) AS n FROM k),
+ g AS (SELECT any_value(z) > 1.645 AS primary_, bool_and(agree > 0.5) AS direction, bool_and(abs(a_share - 0.5) <= 0.1) AS position, bool_and(n_hubs = n) AS coverage FROM p, z, n) SELECT primary_, direction, position, coverage, primary_ AND direction AND position AND coverage AS passed FROM g"""
 )
 def stat_gate(spark, d):
-    """A confirmatory gate: all of its conditions hold over every hub."""
-    t = load(spark, d, "trial_key", "hub_id", "true_position").where("hub_id is not null").groupBy("hub_id").agg(F.count("*").alias("n"), F.avg((F.col("true_position") == "A").cast("int")).alias("a_share"), F.count("true_position").alias("n_open"))
-    complete = F.bool_and(F.col("n") >= 2)
-    return t.agg(complete.alias("complete"), F.bool_and(F.coalesce(F.abs(F.col("a_share") - 0.5) <= 0.5, F.lit(True))).alias("sides_even"), F.count("*").alias("n_hubs"), F.count_if(F.col("n_open") > 0).alias("n_open"), (complete & (F.count("*") > 0)).alias("passed"))
+    """A confirmatory gate of four conditions: judges beat chance over hubs (one-sided 5 %), every judge does, none leans to a side, every judge saw every hub."""
+    votes = load(spark, d, "judge_output", F.lower(F.trim("judge_id")).alias("judge"), F.explode("response.membership").alias("r"))
+    votes = votes.select("judge", F.col("r.trial_id").alias("trial"), F.lower(F.trim("r.choice")).alias("choice")).distinct()
+    key = load(spark, d, "trial_key", F.col("trial_id").alias("trial"), F.col("hub_id").alias("hub"), F.lower("true_position").alias("y")).where("y is not null and hub is not null")
+    j = votes.join(key, "trial").where(F.col("judge").isNotNull() & F.col("choice").isin("a", "b", "tie")).withColumn("hit", (F.col("choice") == F.col("y")).cast("int"))
+    h = j.groupBy("hub").agg((F.avg("hit") - 0.5).alias("d")).agg((F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("z"))
+    p = j.groupBy("judge").agg(F.avg("hit").alias("agree"), F.avg((F.col("choice") == "a").cast("int")).alias("a_share"), F.count_distinct("hub").alias("n_hubs"))
+    rows = p.join(F.broadcast(h)).join(F.broadcast(key.agg(F.count_distinct("hub").alias("n"))))  # one row each
+    gate = rows.agg(F.any_value(F.col("z") > 1.645).alias("primary_"), F.bool_and(F.col("agree") > 0.5).alias("direction"), F.bool_and(F.abs(F.col("a_share") - 0.5) <= 0.1).alias("position"), F.bool_and(F.col("n_hubs") == F.col("n")).alias("coverage"))
+    return gate.withColumn("passed", F.col("primary_") & F.col("direction") & F.col("position") & F.col("coverage"))
 
 
 # --- graph
