@@ -77,14 +77,19 @@ def from_json_payload(df: DataFrame, payload: str, fields: list[str]) -> DataFra
     return df.withColumns({f: pick(f) for f in fields}).drop("_items")
 
 
-def _survivors(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataFrame:
+def _named(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataFrame:
+    """id, f0.. of the records, whatever their columns are called."""
+    return records.select(F.col(id_column).alias("id"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+
+
+def _survivors(records: DataFrame, resolver: list[bool]) -> DataFrame:
     """Distinct raw forms, written: c0.. (canonical texts), least (smallest id), n (rows), raw and form (digests of the raw and canonical texts)."""
-    names = list(fields)
-    forms = records.groupBy(*names).agg(F.min(id_column).alias("least"), F.count("*").alias("n"))
-    forms = forms.withColumns({f"_t{i}": composed(F.col(f)) for i, f in enumerate(names)})
-    forms = forms.select(*[canonical(F.col(f"_t{i}"), fields[f]).alias(f"c{i}") for i, f in enumerate(names)], "least", "n", digest(*[F.col(f) for f in names]).alias("raw"))
+    n = range(len(resolver))
+    forms = records.groupBy(*[f"f{i}" for i in n]).agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    forms = forms.withColumns({f"t{i}": composed(F.col(f"f{i}")) for i in n})
+    forms = forms.select(*[canonical(F.col(f"t{i}"), resolver[i]).alias(f"c{i}") for i in n], "least", "n", digest(*[F.col(f"f{i}") for i in n]).alias("raw"))
     forms = Cuts(records.sparkSession, "duplicates").cut(forms)
-    return forms.withColumn("form", digest(*[F.col(f"c{i}") for i in range(len(names))]))
+    return forms.withColumn("form", digest(*[F.col(f"c{i}") for i in n]))
 
 
 def _groups(survivors: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def collapse(records: DataFrame, id_column: str, fields: dict[str, bool]) -> Dat
 
     ``fields`` maps each compared column to whether a resolver address is no part of it.
     """
-    return _groups(_survivors(records.select(id_column, *fields), id_column, fields))
+    return _groups(_survivors(_named(records, id_column, fields), list(fields.values())))
 
 
 def copies(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataFrame:
@@ -105,13 +110,13 @@ def copies(records: DataFrame, id_column: str, fields: dict[str, bool]) -> DataF
 
     The smallest row of a raw form is known from the first grouping; only forms of several rows meet the rows again.
     """
-    records = records.select(id_column, *fields)
-    forms = _survivors(records, id_column, fields)
+    records = _named(records, id_column, fields)
+    forms = _survivors(records, list(fields.values()))
     keys = [F.col(f"c{i}") for i in range(len(fields))]
     groups = _groups(forms).where("n_copies > 1").select(digest(*keys).alias("form"), "keeper")
     placed = forms.select("form", "raw", "least", "n").join(groups, "form").where("least <> keeper or n > 1").select("raw", "least", "n", "keeper")
     placed = Cuts(records.sparkSession, "duplicates").cut(placed)
     first = placed.where("least <> keeper").select("keeper", F.col("least").alias("id"))
     several = placed.where("n > 1").select("raw", "least", "keeper")
-    rows = records.select(F.col(id_column).alias("id"), digest(*[F.col(f) for f in fields]).alias("raw")).join(several, "raw")
+    rows = records.select("id", digest(*[F.col(f"f{i}") for i in range(len(fields))]).alias("raw")).join(several, "raw")
     return first.unionByName(rows.where("id <> least").select("keeper", "id"))

@@ -27,6 +27,12 @@ def test_counts_are_whole(spark):
     assert groups.count() == len(ROWS) - 13
 
 
+def test_fields_of_any_name(spark):
+    df = table(spark).selectExpr("id as n", "title as least", "doi as raw", "keeper as form")
+    got = {(r.keeper, r.id) for r in du.copies(df, "n", {"least": False, "raw": True}).collect()}
+    assert got == {(r.keeper, r.id) for r in du.copies(table(spark), "id", FIELDS).collect()}
+
+
 def test_repeated_raw_rows(spark):
     """A raw form of many rows beside other forms of its group, some of them smaller, some larger."""
     rows = [(i, "Same" if i % 2 else "same.", "d") for i in range(5, 40)] + [(2, "SAME", "d"), (90, "s a m e", "d"), (1, "other", "d"), (50, "other", "d")]
