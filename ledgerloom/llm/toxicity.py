@@ -31,6 +31,8 @@ TOKEN = re.compile(r"(?<!\w)\w(?: \w){2,}(?!\w)|[一-鿿]|[^\W_一-鿿][\w@$!*+|
 LEET = str.maketrans("014357@$!|+", "oiaestasilt")
 #: A speaker's name before a message says nothing about the message.
 SPEAKER = re.compile(r"\s*(?:>\s*)?(?:\*\*[^*\n]{1,60}\*\*(?: \([^)\n]{1,20}\))?|[\w.-]{1,30}):\s+")
+#: Tags of HTML.
+TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]*)?/?>")
 #: Cyrillic letters that look like Latin ones.
 ALIKE = str.maketrans("аеорсухіѕјһкмтн", "aeopcyxisjhkmth")
 JOINERS = re.compile("[­​‌‍ ]")
@@ -124,6 +126,8 @@ class Reader(dict):
         for d, text in enumerate(texts):
             if not text:
                 continue
+            if "<" in text:  # tags say nothing; blanks keep the places of what stands around them
+                text = TAG.sub(lambda m: " " * len(m.group()), text)
             for a, b in passages(text):
                 said = speaker(text, a, b)
                 if said:

@@ -91,6 +91,16 @@ def test_spans_are_tokens():
         assert not x or s == max(p for *_, p in x)
 
 
+def test_tags_say_nothing():
+    texts, truth = corpus(500, 1)
+    field = tx.train(texts, [float(t) for t in truth])
+    plain = "Shut up, idiot, nobody asked you."
+    page = f'<html><body class="a"><p>{plain}</p></body></html>'
+    (a, b), (x, y) = tx.assess(field, tx.Reader(field.known), [plain, page])
+    assert a == b >= 0.2 and [(s + page.index(plain), e + page.index(plain), p) for s, e, p in x] == y
+    assert [t for t in tx.TAG.findall("a < b > c <- d <3 <p> <br/> </i>")] == ["<p>", "<br/>", "</i>"]
+
+
 def test_tables(spark):
     texts, truth = corpus(120, 5)
     rows = [(i, t, "s" if i % 3 else None, "x") for i, t in enumerate(texts)] + [(900, None, "s", "x"), (901, "", "s", "x"), (902, " \n", "s", "x"), (903, "word " * 40000, "s", "x"), (904, "!" * 5000, "s", "x"), (905, "x " * 600000, "s", "x")]
