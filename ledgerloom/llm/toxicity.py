@@ -70,6 +70,11 @@ def skeleton(word: str) -> str:
     return s if len(s) >= 3 and word.isascii() else ""
 
 
+def untagged(text: str) -> str:
+    """The text with blanks for tags, which say nothing; all else keeps its place."""
+    return TAG.sub(lambda m: " " * len(m.group()), text) if "<" in text else text
+
+
 def passages(text: str) -> Iterator[tuple[int, int]]:
     for m in PASSAGE.finditer(text):
         if m.end() > m.start() and not m.group().isspace():
@@ -126,8 +131,7 @@ class Reader(dict):
         for d, text in enumerate(texts):
             if not text:
                 continue
-            if "<" in text:  # tags say nothing; blanks keep the places of what stands around them
-                text = TAG.sub(lambda m: " " * len(m.group()), text)
+            text = untagged(text)
             for a, b in passages(text):
                 said = speaker(text, a, b)
                 if said:
@@ -388,7 +392,7 @@ def assess(field: Field, reader: Reader, texts: list[str], least: float = 0.2) -
     np.maximum.at(scores, owner, np.minimum(chance, np.nextafter(least, 0)))
     over = p >= least
     for i in np.flatnonzero(np.logical_or.reduceat(over, starts)):
-        text, (a, b) = texts[owner[i]], place[i]
+        text, (a, b) = untagged(texts[owner[i]]), place[i]
         where = [m.span() for m in TOKEN.finditer(text, a, b)]
         own = slice(starts[i], starts[i] + lengths[i])
         edge = np.flatnonzero(np.diff(np.concatenate([[0], over[own], [0]]).astype(int)))
