@@ -189,7 +189,12 @@ def doc_locators(spark, d):
     return docs_.locators(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: length(x) + 1)) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
+ r AS (SELECT doc_id, line, n, 1 AS n_lines, n AS chars, 0 AS segment FROM l WHERE line = 1
+  UNION ALL SELECT l.doc_id, l.line, l.n, CASE WHEN n_lines >= 32 OR chars + l.n > 6000 THEN 1 ELSE n_lines + 1 END, CASE WHEN n_lines >= 32 OR chars + l.n > 6000 THEN l.n ELSE chars + l.n END, segment + (n_lines >= 32 OR chars + l.n > 6000)::INT FROM r JOIN l ON l.doc_id = r.doc_id AND l.line = r.line + 1)
+ SELECT doc_id, segment, min(line)::INT AS first_line, max(line)::INT AS last_line, sum(n)::INT AS n_chars FROM r GROUP BY doc_id, segment"""
+)
 def doc_segments(spark, d):
     """Greedy segments of whole lines."""
     return docs_.segments(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")

@@ -67,7 +67,16 @@ def graph_neighbours(spark, d):
     return graph.neighbours(spark, g.edges(spark, d), seeds, 2).select("path", "hop")
 
 
-@query()
+def _hop(k: int) -> str:
+    seen = " UNION ALL ".join(f"SELECT path FROM h{i}" for i in range(k))
+    return f"""f{k} AS (SELECT b AS path, count(*) AS links FROM both_ JOIN h{k - 1} ON a = h{k - 1}.path WHERE b NOT IN ({seen}) GROUP BY b),
+ h{k} AS (SELECT path, (SELECT count(*) FROM f{k}) > 100 AS truncated FROM f{k} ORDER BY links DESC, path LIMIT 100)"""
+
+
+@query(
+    WITH + f""", h0 AS (SELECT DISTINCT 'supplier/' || s_suppkey AS path, false AS truncated FROM supplier WHERE s_acctbal < 0), both_ AS (SELECT s AS a, o AS b FROM edges UNION ALL SELECT o, s FROM edges),
+ {_hop(1)}, {_hop(2)}, {_hop(3)} SELECT path, 0 AS hop, truncated FROM h0 UNION ALL SELECT path, 1, truncated FROM h1 UNION ALL SELECT path, 2, truncated FROM h2 UNION ALL SELECT path, 3, truncated FROM h3"""
+)
 def graph_neighbours_budget(spark, d):
     """The same with a node budget for each hop, and whether it cut something off."""
     seeds = load(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("path"))
@@ -99,7 +108,13 @@ def graph_as_of(spark, d):
     return graph.as_of(g.facts(spark, d), F.lit("1998-01-01").cast("timestamp")).select("subject", "object")
 
 
-@query()
+def components_sql(where: str) -> str:
+    """path and component of the nodes of some edges: the smallest label of a neighbour is taken over until none is smaller."""
+    return f"""WITH RECURSIVE {g.EDGES_SQL}, e AS (SELECT s, o FROM edges WHERE {where}), b AS MATERIALIZED (SELECT s AS a, o AS b FROM e UNION SELECT o, s FROM e UNION SELECT s, s FROM e UNION SELECT o, o FROM e),
+ cc(path, component) USING KEY (path) AS (SELECT a, min(b) FROM b GROUP BY a UNION SELECT b.b, min(cc.component) FROM cc JOIN b ON b.a = cc.path JOIN recurring.cc AS r ON r.path = b.b WHERE cc.component < r.component GROUP BY b.b)"""
+
+
+@query(components_sql("true") + " SELECT path, component FROM cc")
 def graph_components(spark, d):
     """Connected components of the undirected graph (G9); checked against union-find in the tests."""
     return graph.components(spark, g.edges(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as fn
 from ledgerloom.operators import graph, identity, resampling, retrieval, vectors
+from ledgerloom.plans.graph_queries import components_sql
 from ledgerloom.plans.materialise import Cuts
 from ledgerloom.plans.ordering import numbered
 from ledgerloom.plans.registry import query
@@ -303,7 +304,9 @@ def graph_blood(spark, d):
     return graph.ancestors(g.edges(spark, d).where(F.col("p").isin("placed_by", "in")), 3)
 
 
-@query()
+@query(
+    components_sql("p IN ('placed_by', 'cites')") + " SELECT a, b, coalesce(x.component = y.component, false) AS exists FROM (SELECT 'customer/' || c_custkey AS a, 'part/' || c_custkey AS b FROM customer) p LEFT JOIN cc x ON x.path = a LEFT JOIN cc y ON y.path = b"
+)
 def graph_path_exists(spark, d):
     """Whether two nodes are connected at all: customers and the parts of their number, over lines and suppliers."""
     e = g.edges(spark, d).where(F.col("p").isin("placed_by", "cites"))
