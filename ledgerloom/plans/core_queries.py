@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import timestamps
-from ledgerloom.plans import aggregate_queries, document_queries, graph_queries, registry, relational_queries, retrieval_queries, stream_queries, study_queries, text_queries  # noqa: F401
+from ledgerloom.plans import aggregate_queries, document_queries, graph_queries, registry, relational_queries, retrieval_queries, stamp_sql, stream_queries, study_queries, text_queries  # noqa: F401
 from ledgerloom.sources.tables import load
 
 
@@ -26,6 +26,6 @@ def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     return found.join(declared, "origin", "left").select("origin", "zone_name", "declared_zone", "stamps", "violations")
 
 
-registry.query()(p4_found)
+registry.query(stamp_sql.SQL)(p4_found)
 registry.query()(p4_zones)
 QUERIES, SQL = registry.QUERIES, registry.SQL
