@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import consensus, conversations, cooccurrence, duplicates, mixing, similar_sets, tokens, toxicity
+from ledgerloom.plans import stamp_sql
 from ledgerloom.sources.tables import load
 
 P1_FIELDS = {"title": False, "doi": True, "canonical_pdf_sha256": False}
@@ -191,7 +192,19 @@ SIMILAR_SQL = f"""WITH o AS (SELECT paper_id AS id, 'c' AS f, {_clean_sql("x")}
  i AS (SELECT * FROM o WHERE id IS NOT NULL AND item <> ''), n AS (SELECT id, f, count(*) AS n FROM i GROUP BY ALL), w AS (SELECT id FROM n GROUP BY id HAVING count(*) = 2),
  c AS (SELECT a.id AS a, b.id AS b, a.f, count(*) AS both_ FROM i a JOIN i b ON a.f = b.f AND a.item = b.item AND a.id < b.id GROUP BY ALL),
  g AS (SELECT c.a, c.b FROM c JOIN n x ON x.id = c.a AND x.f = c.f JOIN n y ON y.id = c.b AND y.f = c.f WHERE 2.0 * both_ / (x.n + y.n) >= CASE c.f WHEN 'c' THEN 0.75 ELSE 0.5 END - 1e-9 GROUP BY ALL HAVING count(*) = 2)"""
+TALK_SQL = f"""WITH {stamp_sql.STAMPS},
+ e AS (SELECT session_id, utc_us, lower(trim(type, {stamp_sql.BLANK})) AS kind, data, min(event_id) AS event_id FROM session_event JOIN u ON tab = 'session_event' AND record_key = event_id::VARCHAR WHERE session_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT session_id, NULL, lower(trim(type, {stamp_sql.BLANK})), data, min(event_id) FROM session_event WHERE session_id IS NOT NULL AND ts IS NULL GROUP BY ALL),
+ k AS (SELECT *, CASE kind WHEN 'user/message' THEN 'user' WHEN 'plugin/message' THEN 'user' WHEN 'assistant/message' THEN 'assistant' WHEN 'tool/result' THEN 'tool' END AS speaker, coalesce(json_valid(data) AND starts_with(trim(data, ' ' || chr(9) || chr(10) || chr(13)), '{{'), false) AS whole FROM e),
+ j AS (SELECT *, CASE WHEN whole THEN json_extract_string(data, '$.content') END AS content, CASE WHEN whole THEN json_extract_string(data, '$.call_id') END AS call_id FROM k),
+ m AS (SELECT session_id, event_id, utc_us, kind, speaker, content, row_number() OVER (PARTITION BY session_id ORDER BY utc_us, event_id) AS position FROM j WHERE speaker IS NOT NULL AND utc_us IS NOT NULL AND content IS NOT NULL AND NOT regexp_matches(content, '^[\\s\\p{{Z}}]*$')),
+ asked AS (SELECT session_id FROM (SELECT session_id, kind, lead(kind) OVER (PARTITION BY session_id ORDER BY position) AS next FROM m WHERE kind IN ('user/message', 'assistant/message')) q WHERE kind = 'user/message' AND next IS DISTINCT FROM 'assistant/message'),
+ called AS (SELECT session_id, call_id, min(utc_us) AS at FROM j WHERE kind = 'tool/call' AND call_id IS NOT NULL AND utc_us IS NOT NULL GROUP BY ALL),
+ dropped AS (SELECT DISTINCT session_id FROM j WHERE session_id NOT IN (SELECT session_id FROM m) UNION SELECT session_id FROM j WHERE speaker IS NOT NULL AND (utc_us IS NULL OR NOT whole) UNION SELECT session_id FROM m WHERE position = 1 AND kind <> 'user/message'
+  UNION SELECT j.session_id FROM j LEFT JOIN called c ON c.session_id = j.session_id AND c.call_id = j.call_id WHERE kind = 'tool/result' AND (c.at IS NULL OR c.at >= j.utc_us) UNION SELECT session_id FROM asked)"""
 SQL: dict[str, str] = {
+    "p3_found": TALK_SQL + " SELECT session_id FROM dropped",
+    "p3_conversations": TALK_SQL + " SELECT session_id, position, speaker, utc_us, content FROM m WHERE session_id NOT IN (SELECT session_id FROM dropped)",
     "p1_found": WORKS_SQL + " SELECT keeper::BIGINT AS sequence_index_a, id::BIGINT AS sequence_index_b FROM (SELECT id, min(id) OVER (PARTITION BY c0, c1, c2) AS keeper FROM c) k WHERE id <> keeper",
     "p1_works": WORKS_SQL + " SELECT min(id)::BIGINT AS sequence_index, count(*) AS n_copies FROM c GROUP BY c0, c1, c2",
     "p5_found": PAIRS_SQL + " SELECT kind, item_a, item_b FROM f WHERE n_ab::HUGEINT * n_baskets >= 3 * n_a::HUGEINT * n_b",
