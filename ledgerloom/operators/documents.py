@@ -25,9 +25,10 @@ def outline(docs: DataFrame, key: str, text: str) -> DataFrame:
     heads = rows.withColumn("fence", fence).where((F.col("fence") % 2 == 0) & F.col("content").rlike(r"^#{1,6} "))
     level = F.length(F.regexp_extract("content", r"^(#{1,6}) ", 1))
     heads = heads.select(key, "line", level.alias("level"), F.trim(F.regexp_replace("content", r"^#{1,6} ", "")).alias("title"))
-    after = heads.select(F.col(key).alias("_k"), F.col("line").alias("_line"), F.col("level").alias("_level"))
-    ends = heads.join(after, (F.col(key) == F.col("_k")) & (F.col("_line") > F.col("line")) & (F.col("_level") <= F.col("level")), "left")
-    return ends.groupBy(key, "line", "level", "title").agg(F.min("_line").alias("next_line"))
+    # From the end of the text on, the last heading of a level or higher that was met is the next one.
+    back = Window.partitionBy(key).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.array(*[F.last(F.when(F.col("level") <= k, F.col("line")), ignorenulls=True).over(back) for k in range(1, 7)])
+    return heads.withColumn("_next", nearest).select(key, "line", "level", "title", F.element_at("_next", F.col("level")).alias("next_line"))
 
 
 def segments(docs: DataFrame, key: str, text: str, most_lines: int = 32, most_chars: int = 6000) -> DataFrame:

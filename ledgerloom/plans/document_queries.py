@@ -10,6 +10,7 @@ from ledgerloom.functions import columns as fn
 from ledgerloom.operators import documents as docs_
 from ledgerloom.operators import graph, tensor, vectors
 from ledgerloom.plans.materialise import Cuts
+from ledgerloom.plans.ordering import running_sum
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.tables import load
 
@@ -311,7 +312,8 @@ SCORES = f"WITH {PROTO}, s AS (SELECT vec_id, label, grp, list_cosine_similarity
 def _affinity(spark, d):
     e = load(spark, d, "embeddings")
     p = vectors.prototypes(e.select(F.col("label").alias("grp"), F.col("embedding").alias("v")))
-    pairs = e.join(F.broadcast(p.select("grp", "v")))  # the labels are a fixed list of ten prototypes
+    p = p.select("grp", "v")
+    pairs = e.join(F.broadcast(p) if p.count() <= 4096 else p)  # every row meets every prototype; only a short list of them is broadcast
     return pairs.select("vec_id", "label", "grp", fn.cosine(F.col("embedding"), F.col("v")).alias("c"))
 
 
@@ -470,9 +472,8 @@ def led_idempotent(spark, d):
 def led_packing(spark, d):
     """Items packed whole, in order, under a budget."""
     t = load(spark, d, "documents", "source", "doc_id", "n_chars").where("source is not null and n_chars > 0")
-    w = Window.partitionBy("source").orderBy("n_chars", "doc_id")
-    used = F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.select("source", "doc_id", F.row_number().over(w).cast("bigint").alias("place"), used.alias("used")).where("used <= 2000").drop("used")
+    t = running_sum(Cuts(spark, "packing"), t, ["source"], ["n_chars", "doc_id"], "n_chars", "used", "place")  # a source may hold a tenth of all rows
+    return t.where("used <= 2000").select("source", "doc_id", "place")
 
 
 @query(

@@ -53,3 +53,19 @@ def numbered(cuts: Cuts, df: DataFrame, groups: list[str], by: list[str], name:
     """Add the row's number, from 1, within ``groups`` in the order of ``by``, which must tell all rows of a group apart."""
     keyed = df.withColumn("_g", F.to_json(F.struct(*groups)))
     return rank_in_group(ranged(cuts, keyed, "_g", *by), "_g", name).drop("_g", "pid", "seq")
+
+
+def running_sum(cuts: Cuts, df: DataFrame, groups: list[str], by: list[str], value: str, name: str, place: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of ``groups`` up to each row in the order of ``by``, and its number from 1.
+
+    As ``numbered``: what stands before a partition's part of a group comes from a table of one row for each part.
+    """
+    df = ranged(cuts, df.withColumn("_g", F.to_json(F.struct(*groups))), "_g", *by)
+    parts = df.groupBy("_g", "pid").agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    parts = parts.select(F.col("_g").alias("_pg"), F.col("pid").alias("_pp"), zero("_s").alias("_base"), zero("_n").alias("_from"))
+    here = Window.partitionBy("pid", "_g").orderBy("seq")
+    df = df.withColumns({"_sum": F.sum(value).over(here.rowsBetween(Window.unboundedPreceding, 0)), "_row": F.row_number().over(here)})
+    df = df.join(parts, (F.col("_g") == F.col("_pg")) & (F.col("pid") == F.col("_pp")))
+    return df.withColumns({name: F.col("_sum") + F.col("_base"), place: F.col("_row") + F.col("_from")}).drop("_g", "pid", "seq", "_pg", "_pp", "_base", "_from", "_sum", "_row")

@@ -66,6 +66,21 @@ def test_order_over_partitions(spark):
     assert {r.k: (r.prev, r.place) for r in got} == want
 
 
+def test_running_sum_over_partitions(spark):
+    from ledgerloom.plans.ordering import running_sum
+
+    rng = random.Random(6)
+    rows = [("hot" if i % 2 else None, rng.randrange(9), i, rng.randrange(1, 50)) for i in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.k: (r.used, r.place) for r in running_sum(Cuts(spark, "t"), spark.createDataFrame(rows, "g string, t int, k int, n int"), ["g"], ["t", "k"], "n", "used", "place").collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for g in ("hot", None):
+        used = 0
+        for place, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:3]), 1):
+            used += r[3]
+            assert got[r[2]] == (used, place)
+
+
 def test_coherence_against_pairs(spark):
     rng = random.Random(9)
     sets = {f"m{i}": rng.sample("abcdefgh", rng.randrange(0, 5)) for i in range(40)}
