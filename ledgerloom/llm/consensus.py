@@ -60,23 +60,21 @@ def agreement_matrices(spark, cuts: Cuts, votes: DataFrame, shares: DataFrame, s
     return cuts.cut(half.unionByName(half.select("label", F.col("j").alias("i"), F.col("i").alias("j"), "x")))
 
 
-def leading_vectors(cuts: Cuts, matrix: DataFrame, judges: DataFrame, steps: int = 4, rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, set[str]]:
-    """(label, judge, v: for each label the unit eigenvector of the largest eigenvalue; labels whose vector did not settle).
+def leading_vectors(cuts: Cuts, matrix: DataFrame, judges: DataFrame, steps: int = 4, rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, dict, set[str]]:
+    """(label, judge, v: for each label the unit eigenvector of the largest eigenvalue; label -> facts of ``_along``; labels whose vector did not settle).
 
     ``judges`` has label and judge, ``matrix`` label, i, j, x. Power iteration with ``steps`` joins between two cuts. Where
     it ends at a negative eigenvalue, or doesn't settle, it is done again with the norm of the matrix on the diagonal: no
     eigenvalue is below minus the norm, so the largest positive one leads then.
     """
-    names = {r["label"]: math.sqrt(r["s"] or 0.0) for r in matrix.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("s")).collect()}
-    vector, path = cuts.write(judges.select("label", "judge", F.lit(1.0).alias("v")))
     shift: dict[str, float] = {}
     for _ in range(2):
         m = matrix
+        vector, path = cuts.write(judges.select("label", "judge", F.lit(1.0).alias("v")))
         if shift:
             diagonal = judges.select("label", F.col("judge").alias("i"), F.col("judge").alias("j"), _by_label(shift, F.col("label")).alias("x")).where("x is not null")
             m = cuts.cut(matrix.unionByName(diagonal))
-        left: set[str] = set(names)
-        size = dict.fromkeys(names, None)
+        left: set[str] = set()
         for _ in range(rounds):
             new = vector
             for _ in range(steps):
@@ -90,11 +88,15 @@ def leading_vectors(cuts: Cuts, matrix: DataFrame, judges: DataFrame, steps: int
             vector, path = new.withColumn("v", F.col("v") / _by_label(size, F.col("label"))), fresh
             if not left:
                 break
-        sides = _along(m, vector).collect()
-        shift = {r["label"]: names[r["label"]] for r in sides if r["xab"] <= 0 and names[r["label"]] > 0} | {z: names[z] for z in left}
+        sides = {r["label"]: r for r in _along(matrix, vector).collect()}
+        again = left | {z for z, r in sides.items() if (r["xab"] or 0.0) <= 0}
+        if shift or not again:
+            break
+        norms = matrix.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("s")).collect()
+        shift = {r["label"]: math.sqrt(r["s"]) for r in norms if r["label"] in again and r["s"]}
         if not shift:
             break
-    return vector, left
+    return vector, sides, left
 
 
 def _by_label(values: dict[str, float], label: Column) -> Column:
@@ -112,13 +114,13 @@ def _along(matrix: DataFrame, vector: DataFrame) -> DataFrame:
 def reliability(spark, cuts: Cuts, votes: DataFrame, shares: DataFrame) -> DataFrame:
     """judge, label, n_votes, share, d: the rate of the label where it is true less that where it isn't, within +-0.95."""
     matrix = agreement_matrices(spark, cuts, votes, shares)
-    vector, left = leading_vectors(cuts, matrix, shares)
+    vector, sides, left = leading_vectors(cuts, matrix, shares)
     if left:
         warnings.warn(f"power iteration did not settle for {sorted(left)}", stacklevel=2)
     n = F.col("n_votes").cast("double")
     pool = {r["label"]: (r["p"] or 0.0, r["side"] or 0.0) for r in shares.join(vector, ["label", "judge"], "left").groupBy("label").agg((F.sum(F.col("share") * n) / F.sum(n)).alias("p"), F.sum(F.coalesce("v", F.lit(0.0)) * n).alias("side")).collect()}
     size = {}
-    for r in _along(matrix, vector).collect():
+    for r in sides.values():
         p, side = pool[r["label"]]
         # Along the vector the matrix is (t - f)(t - f) p (1 - p); most votes count as skilled.
         size[r["label"]] = math.sqrt(max(0.0, (r["xab"] or 0.0) / (r["abab"] or 1.0)) / max(p * (1 - p), 1e-9)) * (1 if side >= 0 else -1)
@@ -138,7 +140,7 @@ def decide(spark, raw: DataFrame, items: DataFrame | None = None, labels: tuple[
         votes = votes.join(items.select("item").where("item is not null").distinct(), "item", "left_semi")
     votes = cuts.cut(votes.select("judge", "item", "label"))
     rates = reliability(spark, cuts, votes, cuts.cut(label_shares(votes, labels)))
-    skill = cuts.cut(rates.groupBy("judge").agg(F.avg("d").alias("skill"), F.max("n_votes").alias("n_votes")))
+    skill = rates.groupBy("judge").agg(F.avg("d").alias("skill"), F.max("n_votes").alias("n_votes"))
     weight = F.greatest(F.lit(0.0), F.col("skill")) * F.col("n_votes")
     seen = {r["label"]: r["p"] for r in rates.join(skill.select("judge", "skill"), "judge").groupBy("label").agg(((F.sum(weight * F.col("share")) + 1 / len(labels)) / (F.sum(weight) + 1)).alias("p")).collect()}
     prior = {z: min(max(seen.get(z, 1 / len(labels)), 1e-6), 1 - 1e-6) for z in labels}

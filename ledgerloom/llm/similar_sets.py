@@ -109,7 +109,7 @@ def classes(cuts: Cuts, rows: DataFrame, sets: list[str]) -> tuple[DataFrame, Da
 
 def class_pairs(cuts: Cuts, kinds: DataFrame, main: str, f1: dict[str, float]) -> DataFrame:
     """class_a < class_b of the different classes that are similar in every set; ``main`` makes the candidates."""
-    items = cuts.cut(kinds.select(F.explode(main).alias("item")).groupBy("item").agg(F.count("*").alias("n")))
+    items = kinds.select(F.explode(main).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     # Rarest first. The rank is (count, hash), a number made of both keeps the order without a global sort.
     flat = kinds.select("class_id", F.explode(main).alias("item")).join(items, "item").select("class_id", "n", F.xxhash64("item").alias("h"))
     ranked = flat.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("r"))
@@ -120,7 +120,7 @@ def class_pairs(cuts: Cuts, kinds: DataFrame, main: str, f1: dict[str, float]) -
     total = F.col("n_a") + F.col("n_b")
     radius = total - 2 * F.ceil(F.lit(f1[main]) * total / 2 - 1e-9)
     near = (F.col("class_a") < F.col("class_b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius)
-    near = cuts.cut(a.join(b, "sig").where(near).select("class_a", "class_b").distinct())
+    near = a.join(b, "sig").where(near).select("class_a", "class_b").distinct()
     for side in ("a", "b"):
         near = near.join(kinds.select(F.col("class_id").alias(f"class_{side}"), *[F.col(s).alias(f"{side}_{s}") for s in f1]), f"class_{side}")
     good = F.lit(True)
@@ -134,7 +134,7 @@ def similar_pairs(spark, rows: DataFrame, main: str, f1: dict[str, float]) -> Da
     """id_a < id_b: all pairs of different ids whose sets reach the thresholds ``f1`` (column -> least set-F1)."""
     cuts = Cuts(spark, "sets")
     kinds, members = classes(cuts, rows, list(f1))
-    links = cuts.cut(class_pairs(cuts, kinds, main, f1))
+    links = class_pairs(cuts, kinds, main, f1)
     left, right = members.select(F.col("class_id").alias("class_a"), F.col("id").alias("x")), members.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
     between = links.join(left, "class_a").join(right, "class_b").select("x", "y")
     repeated = kinds.where("n_ids > 1").select(F.col("class_id").alias("class_a"))

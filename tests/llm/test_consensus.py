@@ -59,7 +59,7 @@ def test_leading_vectors(spark):
     ms = {"A": (plain + plain.T) / 2, "B": negative, "tie": np.zeros((9, 9))}
     rows = [(z, f"j{i}", f"j{j}", float(m[i, j])) for z, m in ms.items() for i in range(9) for j in range(9)]
     judges = spark.createDataFrame([(z, f"j{i}") for z in ms for i in range(9)], "label string, judge string")
-    out, left = co.leading_vectors(Cuts(spark, "t"), spark.createDataFrame(rows, "label string, i string, j string, x double"), judges)
+    out, _, left = co.leading_vectors(Cuts(spark, "t"), spark.createDataFrame(rows, "label string, i string, j string, x double"), judges)
     got = {(r.label, r.judge): r.v for r in out.collect()}
     assert not left
     for z in ("A", "B"):
