@@ -123,7 +123,7 @@ def src_json_document(spark, d):
     r = load(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", "r_name", "nations")
     whole = r.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("regions")), {"pretty": "true"}).alias("value"))
     whole.write.text(path)
-    doc = files.read_json(spark, path, "regions array<struct<r_regionkey:bigint,r_name:string,nations:array<struct<n_nationkey:bigint,n_name:string>>>>")
+    doc = files.read_json(spark, path, "regions array<struct<r_regionkey:int,r_name:string,nations:array<struct<n_nationkey:int,n_name:string>>>>")
     return doc.select(F.explode("regions").alias("r")).select("r.r_regionkey", "r.r_name", F.inline("r.nations"))
 
 
