@@ -112,11 +112,13 @@ def reachable(spark, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     cuts = Cuts(spark, "reach")
     edges = cuts.cut(edges.select("s", "o"))
     seen = frontier = cuts.cut(seeds.select("path").distinct())
-    found = 1
+    found, hops = 1, 0
     while found:
         new = edges.join(frontier, edges.s == frontier.path, "left_semi").select(F.col("o").alias("path")).distinct()
         (new, _), found = cuts.counted(new.join(seen, "path", "left_anti"))
-        seen, frontier = seen.unionByName(new), new
+        seen, frontier, hops = seen.unionByName(new), new, hops + 1
+        if hops % 16 == 0:  # one table in place of many small ones
+            seen = cuts.cut(seen.coalesce(max(1, spark.sparkContext.defaultParallelism)))
     return seen
 
 

@@ -96,9 +96,9 @@ def test_graph_rules(spark):
     assert graph.shown(e).count() == 6 and graph.shown(e, True).count() == 7
     pairs = spark.createDataFrame([("e", "a"), ("a", "x"), ("x", "y"), ("z", "z"), ("q", "q")], "a string, b string")
     assert {(r.a, r.b): r.exists for r in graph.connected(spark, e, pairs).collect()} == {("e", "a"): True, ("a", "x"): False, ("x", "y"): True, ("z", "z"): True, ("q", "q"): False}
-    chain = spark.createDataFrame([(f"n{i:04d}", "p", f"n{i + 1:04d}") for i in range(300)], e.schema)
+    chain = spark.createDataFrame([(f"n{i:04d}", "p", f"n{i + 1:04d}") for i in range(120)], e.schema)
     assert {r.component for r in graph.components(spark, chain).collect()} == {"n0000"}
-    assert graph.reachable(spark, chain, spark.createDataFrame([("n0200",)], "path string")).count() == 101  # however far
+    assert graph.reachable(spark, chain, spark.createDataFrame([("n0060",)], "path string")).count() == 61  # however far
 
 
 def test_numbered(spark):
