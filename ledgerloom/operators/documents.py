@@ -142,7 +142,7 @@ def abstract_span(docs: DataFrame, key: str, text: str, title: Column) -> DataFr
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
     rows = docs.select(key, F.col(text).alias("text"), lines.alias("lines"), tokens(title).alias("want"))
-    head = lambda x: F.when(x.rlike(r"^#\s+.+$"), F.size(F.array_intersect(F.col("want"), tokens(F.regexp_extract(x, r"^#\s+(.+)$", 1)))) / F.greatest(F.size("want"), F.lit(1)).cast("double"))
+    head = lambda x: F.when(x.rlike(r"(?d)^#\s+.+$"), F.size(F.array_intersect(F.col("want"), tokens(F.regexp_extract(x, r"(?d)^#\s+(.+)$", 1)))) / F.greatest(F.size("want"), F.lit(1)).cast("double"))
     heads = F.array_compact(F.transform("lines", lambda x, i: F.when(head(x) >= 0.6, F.struct(F.round(head(x), 9).alias("overlap"), (-i - 1).alias("at")))))
     rows = rows.withColumn("best", F.array_max(heads)).where("best is not null").withColumn("start_line", -F.col("best.at"))
     stop = F.array_min(F.array_compact(F.transform("lines", lambda x, i: F.when((i + 1 > F.col("start_line")) & (i + 1 < F.col("start_line") + 80) & x.rlike(r"(?i)^##\s+(?:\d+[.\s]+)?(?:introduction|引言)(?:$|[^\p{L}\p{N}_])"), i + 1))))

@@ -54,7 +54,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, floor: float = -1.0,
     return found.where(F.col("cosine") >= floor).withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def pairs_between(rows: DataFrame, least: float, below: float = float("inf"), rows_per_block: int = 2048) -> DataFrame:
+def pairs_between(rows: DataFrame, least: float, below: float = float("inf"), rows_per_block: int = 8192) -> DataFrame:
     """a, b, score: all pairs of ``rows`` (id, v) with a < b and a cosine in [least, below).
 
     Rows are cut into blocks by hash; each pair of blocks is one matrix product, and all of its pairs in the band are

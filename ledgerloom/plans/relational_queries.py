@@ -340,11 +340,14 @@ def top_page(spark, d):
     return page.join(F.broadcast(total)).select("o_orderkey", "o_totalprice", "total", (F.col("total") > 100).alias("truncated"))  # one row
 
 
-@query()
+@query(
+    """WITH t AS (SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50), u AS (SELECT *, (('0x' || substr(sha256('5|' || p_partkey), 1, 10))::BIGINT + 0.5::DOUBLE) / 1099511627776 AS u FROM t)
+ SELECT p_partkey, p_retailprice FROM u ORDER BY p_retailprice / 100.0 - ln(-ln(u)) DESC, p_partkey LIMIT 5"""
+)
 def top_softmax_sample(spark, d):
     """Five of the fifty best by softmax sampling without replacement: Gumbel noise from a seeded hash."""
     top = load(spark, d, "part", "p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(50)
-    u = (F.pmod(F.xxhash64(F.col("p_partkey"), F.lit(5)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (F.conv(F.substring(fn.stable_rank(F.lit(5), F.col("p_partkey")), 1, 10), 16, 10).cast("bigint") + F.lit(0.5)) / float(1 << 40)
     return top.withColumn("key", F.col("p_retailprice") / 100.0 - F.log(-F.log(u))).orderBy(F.desc("key"), "p_partkey").limit(5).select("p_partkey", "p_retailprice")
 
 

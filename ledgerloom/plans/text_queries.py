@@ -10,8 +10,8 @@ from ledgerloom.functions import columns as fn
 from ledgerloom.functions.calculator import evaluate
 from ledgerloom.operators import documents as docs_
 from ledgerloom.operators import tensor
-from ledgerloom.plans.document_queries import SCIENCE, SPACE, _clean, _cores, _count, fn_blocks
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.document_queries import ACTION, FRONT, SCIENCE, SCORED, _clean, _cores, _count, _strip, fn_blocks
+from ledgerloom.plans.registry import SQL, query
 from ledgerloom.sources import files
 from ledgerloom.sources.tables import load
 
@@ -36,7 +36,7 @@ def doc_front_matter(spark, d):
 
 
 @query(
-    rf"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls, list_distinct(regexp_extract_all(lower(regexp_extract({FRONT_SQL}, '(?m)^title: (.*)$', 1)), '[a-z0-9]+')) AS want FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))),
+    rf"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls, list_distinct(regexp_extract_all(lower(regexp_extract({FRONT_SQL}, '(?m)^title: (.*)$', 1)), '[a-z0-9]+')) AS want FROM documents WHERE text IS NOT NULL),
  l AS (SELECT doc_id, ls, want, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t),
  h AS (SELECT doc_id, i, ls, round(len(list_intersect(want, list_distinct(regexp_extract_all(lower(regexp_extract(trim(line), '^#\s+(.+)$', 1)), '[a-z0-9]+')))) / greatest(len(want), 1)::DOUBLE, 9) AS overlap FROM l WHERE regexp_matches(trim(line), '^#\s+.+$')),
  s AS (SELECT doc_id, any_value(ls) AS ls, max_by(i, (overlap, -i)) AS start_line, max(overlap) AS overlap FROM h WHERE overlap >= 0.6 GROUP BY doc_id),
@@ -46,11 +46,25 @@ def doc_front_matter(spark, d):
 def doc_abstract_span(spark, d):
     """Where an abstract can stand: from the first-level heading most like the title (0.6 of its words) to the introduction, 80 lines at most."""
     front, _ = files.front_matter(F.col("text"))
-    t = _texts(spark, d).where(~F.contains("text", F.lit("\r"))).select("doc_id", "text", F.try_element_at(front, F.lit("title")).alias("title"))
+    t = _texts(spark, d).select("doc_id", "text", F.try_element_at(front, F.lit("title")).alias("title"))
     return docs_.abstract_span(t, "doc_id", "text", F.coalesce("title", F.lit(""))).drop("text")
 
 
-@query()
+def _cut(c: str, limit: int) -> str:
+    """The first characters of a text, up to the last end of a sentence if that keeps more than 65 % of them."""
+    head = f"substr({c}, 1, {limit})"
+    upto = f"length(regexp_extract({head}, '^((?s:.*)(?:\\. |。))', 1))"
+    kept = f"({upto} - CASE WHEN {upto} > 0 AND substr({head}, {upto}, 1) = ' ' THEN 1 ELSE 0 END)"
+    return _strip(f"CASE WHEN length({c}) <= {limit} THEN {c} WHEN {kept} > {int(limit * 0.65)} THEN substr({c}, 1, {kept}) ELSE {head} END")
+
+
+@query(
+    f"""WITH sp AS ({SQL["doc_abstract_span"]}), y AS (SELECT d.doc_id, array_to_string(string_split(text, chr(10))[start_line + 1 : stop_line - 1], chr(10)) AS body FROM sp JOIN documents d ON d.doc_id = sp.doc_id),
+ x AS (SELECT doc_id, unnest(string_split_regex(body, '\\n\\s*\\n')) AS raw, generate_subscripts(string_split_regex(body, '\\n\\s*\\n'), 1) - 1 AS pos FROM y),
+ c AS (SELECT doc_id, pos, {_clean("raw")} AS b FROM x), s AS (SELECT doc_id, pos, b, {SCORED} AS score FROM c WHERE length(b) >= 120), k AS (SELECT doc_id, max_by(b, (score, -pos)) AS best FROM s GROUP BY doc_id),
+ f AS (SELECT y.doc_id, coalesce(best, {_clean("body")}) AS t FROM y LEFT JOIN k ON y.doc_id = k.doc_id), a AS (SELECT doc_id, {_cut("t", 1200)} AS b FROM f)
+ SELECT doc_id, b AS abstract, {_count("b", *SCIENCE)} >= 2 AND (NOT regexp_matches(b, '{FRONT}') OR {_count("b", *ACTION)} >= 2) AS evidence FROM a"""
+)
 def doc_abstract(spark, d):
     """The abstract below the title: best block, cut at a sentence, and whether it can stand as evidence."""
     front, _ = files.front_matter(F.col("text"))
@@ -210,7 +224,12 @@ def doc_read_raw(spark, d):
     return s.select("doc_id", F.concat("source", F.lit("#L"), "first_line", F.lit("-L"), "last_line").alias("loc"), "state", "body")
 
 
-@query()
+@query(
+    """WITH RECURSIVE w AS (SELECT doc_id, text FROM documents WHERE length(text) > 1500), l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM w),
+ r AS (SELECT doc_id, line, n AS size, 0 AS place FROM l WHERE line = 1
+  UNION ALL SELECT l.doc_id, l.line, CASE WHEN size + l.n + 1 > 1500 THEN l.n ELSE size + l.n + 1 END, place + (size + l.n + 1 > 1500)::INT FROM r JOIN l ON l.doc_id = r.doc_id AND l.line = r.line + 1),
+ g AS (SELECT doc_id, least(place, 8) AS place, min(line) AS a, max(line) AS z FROM r GROUP BY ALL) SELECT doc_id, place::INT AS place, a::INT AS first, z::INT AS last, place = 8 AS rest FROM g"""
+)
 def doc_read_ranges(spark, d):
     """Ranges offered in place of slices that are too long: eight at most, and what is left."""
     docs = _texts(spark, d).withColumn("source", F.col("doc_id").cast("string"))
