@@ -201,7 +201,15 @@ def doc_segments(spark, d):
     return docs_.segments(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, text, strlen(text) AS total FROM documents WHERE length(text) > 0),
+ k AS (SELECT doc_id, i, substr(text, i::INT, 1) AS c FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM d) q),
+ e AS MATERIALIZED (SELECT doc_id, i, c = chr(10) AS nl, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS ends FROM k),
+ r AS (SELECT doc_id, -1 AS part, 0::BIGINT AS since, 0::BIGINT AS upto, total FROM d
+  UNION ALL SELECT doc_id, part + 1, upto, CASE WHEN total - upto <= 2400 THEN total WHEN coalesce(line, 0) - upto > (last - upto) // 2 THEN line ELSE last END, total
+   FROM (SELECT r.doc_id, part, upto, total, max(ends) AS last, max(ends) FILTER (nl) AS line FROM r JOIN e ON e.doc_id = r.doc_id AND ends > upto AND ends <= upto + 2400 WHERE upto < total GROUP BY ALL) n)
+ SELECT r.doc_id, part::INT AS part, string_agg(substr(text, i::INT, 1), '' ORDER BY i) AS content FROM r JOIN e ON e.doc_id = r.doc_id AND ends > since AND ends <= upto JOIN d ON d.doc_id = r.doc_id WHERE part >= 0 GROUP BY r.doc_id, part"""
+)
 def doc_windows(spark, d):
     """Windows of at most 2400 bytes (F16)."""
     return docs_.byte_windows(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")

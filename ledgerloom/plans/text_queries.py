@@ -210,18 +210,18 @@ def doc_read_section(spark, d):
 
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'raw/[a-z0-9-]+\.md#L[0-9]+-L[0-9]+'))) AS loc FROM documents WHERE text IS NOT NULL),
- p AS (SELECT doc_id, loc, regexp_extract(loc, '#L([0-9]+)', 1)::INT AS a, regexp_extract(loc, '-L([0-9]+)$', 1)::INT AS z, replace(regexp_extract(loc, '^raw/(.*)\.md#', 1), chr(0), '') AS name FROM l),
- s AS (SELECT regexp_extract(path, '([^/]+)\.md$', 1) AS name, min_by(text, doc_id) AS text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+ p AS (SELECT doc_id, loc, regexp_extract(loc, '#L([0-9]+)', 1)::INT AS a, regexp_extract(loc, '-L([0-9]+)$', 1)::INT AS z, regexp_extract(loc, '^raw/([a-z]+)-', 1) AS name FROM l),
+ s AS (SELECT regexp_extract(path, '([a-z]+)-[a-z0-9]+\.md$', 1) AS name, min_by(text, doc_id) AS text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY 1)
  SELECT p.doc_id, loc, CASE WHEN s.name IS NULL THEN 'no source' WHEN a < 1 OR z < a OR a > len(string_split(text, chr(10))) THEN 'no lines' WHEN length(array_to_string(string_split(text, chr(10))[a:z], chr(10))) > 500 THEN 'too long' ELSE 'read' END AS state,
  CASE WHEN s.name IS NOT NULL AND a >= 1 AND z >= a AND a <= len(string_split(text, chr(10))) AND length(array_to_string(string_split(text, chr(10))[a:z], chr(10))) <= 500 THEN array_to_string(string_split(text, chr(10))[a:z], chr(10)) END AS body FROM p LEFT JOIN s ON p.name = s.name"""
 )
 def doc_read_raw(spark, d):
-    """Exact slices by line locators; what is too long is refused."""
-    found = docs_.locators(_texts(spark, d), "doc_id", "text").distinct()
+    """Exact slices by line locators, of the first page of the cited stem; what is too long is refused."""
+    found = docs_.locators(_texts(spark, d), "doc_id", "text").distinct().withColumnRenamed("source", "file").withColumn("source", F.regexp_extract("file", "^raw/([a-z]+)-", 1))
     sources = load(spark, d, "documents", "doc_id", "text", "path").where("path is not null and text is not null")
-    sources = sources.groupBy(F.concat(F.lit("raw/"), F.regexp_extract("path", r"([^/]+)\.md$", 1), F.lit(".md")).alias("source")).agg(F.min_by("text", "doc_id").alias("text"))
+    sources = sources.groupBy(F.regexp_extract("path", r"([a-z]+)-[a-z0-9]+\.md$", 1).alias("source")).agg(F.min_by("text", "doc_id").alias("text"))
     s = docs_.read_raw(found, sources, most=500)
-    return s.select("doc_id", F.concat("source", F.lit("#L"), "first_line", F.lit("-L"), "last_line").alias("loc"), "state", "body")
+    return s.select("doc_id", F.concat("file", F.lit("#L"), "first_line", F.lit("-L"), "last_line").alias("loc"), "state", "body")
 
 
 @query(
