@@ -91,16 +91,20 @@ def excerpt(docs: DataFrame, key: str, text: str, wanted: list[str], most: int =
         if len(base) != len(value):
             base = value
         hits = sorted((i, k) for k, w in enumerate(low) for i in _finds(base, w))
-        top, at, j, count = 0, 0, 0, {}
-        for i, (start, _) in enumerate(hits):
-            while j < len(hits) and hits[j][0] + len(low[hits[j][1]]) <= start + most:
-                count[hits[j][1]] = count.get(hits[j][1], 0) + 1
-                j += 1
-            n = sum(1 for v in count.values() if v)
+        ends = sorted((i + len(low[k]), i, k) for i, k in hits)
+        top, at, gone, come, inside = 0, 0, 0, 0, [0] * len(low)
+        for start in sorted({i for i, _ in hits}):  # hits enter by their ends and leave by their beginnings
+            while come < len(ends) and ends[come][0] <= start + most:
+                inside[ends[come][2]] += ends[come][1] >= start
+                come += 1
+            while hits[gone][0] < start:
+                i, k = hits[gone]
+                inside[k] -= i >= last and i + len(low[k]) <= last + most  # it had been counted
+                gone += 1
+            n = sum(1 for v in inside if v)
             if n > top:
                 top, at = n, start
-            if i < j:
-                count[hits[i][1]] -= 1
+            last = start
         end = min(len(value), at + most)
         return at, end, top, at > 0 or end < len(value), value[at:end]
 

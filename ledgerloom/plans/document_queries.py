@@ -215,7 +215,13 @@ def doc_windows(spark, d):
     return docs_.byte_windows(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+@query(
+    """WITH t AS (SELECT doc_id, text, CASE WHEN length(lower(text)) = length(text) THEN lower(text) ELSE text END AS low FROM documents WHERE text IS NOT NULL), w AS (SELECT unnest(['tensor train', 'entropy', 'threshold']) AS w),
+ p AS (SELECT doc_id, low, w, unnest(range(1, length(low) - length(w) + 2)) AS i FROM t, w WHERE contains(low, w)), h AS (SELECT doc_id, w, i - 1 AS pos, length(w) AS n FROM p WHERE substr(low, i::INT, length(w)) = w),
+ s AS (SELECT a.doc_id, a.pos, count(DISTINCT b.w) AS k FROM (SELECT DISTINCT doc_id, pos FROM h) a JOIN h b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos + b.n <= a.pos + 700 GROUP BY ALL), best AS (SELECT doc_id, max(k) AS k, max_by(pos, (k, -pos)) AS pos FROM s GROUP BY doc_id),
+ f AS (SELECT t.doc_id, text, coalesce(pos, 0) AS a, least(length(text), coalesce(pos, 0) + 700) AS z, coalesce(k, 0) AS k FROM t LEFT JOIN best ON t.doc_id = best.doc_id)
+ SELECT doc_id, a::INT AS first, z::INT AS "end", k::INT AS n_terms, a > 0 OR z < length(text) AS truncated, substr(text, a::INT + 1, 700) AS excerpt FROM f"""
+)
 def doc_excerpts(spark, d):
     """Match-centred excerpts."""
     return docs_.excerpt(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text", ["tensor train", "entropy", "threshold"])

@@ -139,6 +139,18 @@ def test_documents(spark):
     assert e[4].n_terms == 2 and e[4].excerpt.startswith("entropy") and e[3].n_terms == 0 and not e[3].truncated
 
 
+def test_excerpts_against_all_windows(spark):
+    rng = random.Random(7)
+    wanted, most = ["a", "bb", "cabc", "dddd"], 12
+    texts = ["".join(rng.choice("aabbccdd ") for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: (r["first"], r.n_terms) for r in documents.excerpt(df, "k", "t", wanted, most).collect()}
+    for k, t in enumerate(texts):
+        windows = [(-sum(w in t[i : i + most] for w in wanted), i) for i in range(len(t)) if any(t.startswith(w, i) for w in wanted)]
+        n, at = min(windows, default=(0, 0))
+        assert got[k] == (at if n else 0, -n), (k, t)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(150)] + [(150, [0.0] * 8), (151, None)]
