@@ -5,8 +5,7 @@ its transpose with itself by item blocks, and the sparse partial products are su
 reach the least count take part (a pair never occurs more often than either item), which loses nothing.
 
 Defined results: null baskets and items are left out, an item counts once per basket, ties need no order, an empty table
-gives no rows. Within the product baskets are told apart by a 64-bit hash: among 10^9 baskets two collide with a chance of
-3 %, which would join these two.
+gives no rows. Within the product baskets are told apart by 128 bits of their name.
 """
 
 from __future__ import annotations
@@ -131,10 +130,14 @@ def _gram(width: int):
                     yield from long()
 
         kept: list[tuple[np.ndarray, np.ndarray]] = []  # batches of a basket that goes on and on
+        number, last_name = 0, None
         for batch in batches:
-            row, item = batch.column("basket").to_numpy(zero_copy_only=False), batch.column("item").to_numpy(zero_copy_only=False)
-            if not len(row):
+            x, y, item = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "item"))
+            if not len(item):
                 continue
+            new = np.append((x[0], y[0]) != last_name, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            row = number + np.cumsum(new)
+            number, last_name = int(row[-1]), (x[-1], y[-1])
             kept.append((row, item))
             if row[0] == row[-1] and kept[0][0][0] == row[0]:
                 continue
@@ -179,8 +182,8 @@ def pair_counts(spark, baskets: DataFrame, least: int = 10, repeats: bool = True
         at += r["size"]
     offset = F.create_map(*[F.lit(x).cast("bigint") for kv in begin.items() for x in kv])
     items = items.withColumn("id", F.element_at(offset, part) + F.col("id").bitwiseAND((1 << 33) - 1))
-    numbered = rows.join(items.select("kind", "item", "id"), ["kind", "item"]).select(F.xxhash64("kind", "basket").alias("basket"), F.col("id").alias("item"))
-    blocks = numbered.repartition("basket").sortWithinPartitions("basket")
+    numbered = rows.join(items.select("kind", "item", "id"), ["kind", "item"]).select(F.xxhash64("kind", "basket").alias("x"), F.xxhash64(F.lit("second"), "kind", "basket").alias("y"), F.col("id").alias("item"))
+    blocks = numbered.repartition("x").sortWithinPartitions("x", "y")
     parts = blocks.mapInArrow(_gram(at), "a bigint, b bigint, n bigint")
     sums = parts.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
     side = lambda s: items.select(F.col("id").alias(s), F.col("kind").alias(f"kind_{s}"), F.col("item").alias(f"item_{s}"), F.col("n_item").alias(f"n_{s}"))
