@@ -164,8 +164,8 @@ def retract(edges: DataFrame, origins: DataFrame, pages: DataFrame) -> DataFrame
 
 def attach(delta: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each delta node (delta_id, name, type): reuse the only node of that type and title, abstain if many, create if none."""
-    n = nodes.select(F.lower("title").alias("key"), "type", "path")
-    hits = delta.withColumn("key", F.lower("name")).join(n, ["key", "type"], "left").groupBy("delta_id").agg(F.count("path").alias("n_matches"), F.min("path").alias("first"))
+    n = nodes.select(F.lower("title").alias("key"), "type", "path").groupBy("key", "type").agg(F.count("path").alias("n"), F.min("path").alias("least"))  # a title may stand for any number of nodes
+    hits = delta.withColumn("key", F.lower("name")).join(n, ["key", "type"], "left").groupBy("delta_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"), F.min("least").alias("first"))
     decision = F.when(F.col("n_matches") == 1, "reuse").when(F.col("n_matches") > 1, "abstain").otherwise("create")
     return hits.select("delta_id", "n_matches", decision.alias("decision"), F.when(F.col("n_matches") == 1, F.col("first")).alias("path"))
 

@@ -41,6 +41,18 @@ def test_components_empty(spark):
     assert graph.components(spark, spark.createDataFrame([], "s string, p string, o string")).count() == 0
 
 
+def test_attach_common_titles(spark):
+    nodes = [(f"p/{i:03d}", "Bolt", "entity") for i in range(300)] + [("p/x", "bOlt", "hub"), ("p/one", "Nut", "entity"), (None, "Nut", "entity"), ("p/y", None, "entity")]
+    delta = [(1, "bolt", "entity"), (2, "BOLT", "hub"), (3, "nut", "entity"), (4, None, "entity"), (5, "pin", "entity"), (6, "nut", "entity"), (6, "NUT", "entity")]
+    out = graph.attach(spark.createDataFrame(delta, "delta_id long, name string, type string"), spark.createDataFrame(nodes, "path string, title string, type string"))
+    got = {r.delta_id: (r.n_matches, r.decision, r.path) for r in out.collect()}
+    assert got == {1: (300, "abstain", None), 2: (1, "reuse", "p/x"), 3: (1, "reuse", "p/one"), 4: (0, "create", None), 5: (0, "create", None), 6: (2, "abstain", None)}
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert node.right().nodeName() == "Aggregate"  # a row for each title: the join makes no pairs
+
+
 def test_chains(spark):
     rows = [(1, 2), (2, 3), (3, None), (4, 99), (5, 6), (6, 5), (7, 7)] + [(100 + i, 101 + i) for i in range(50)] + [(150, None)]
     got = {r.id: (r.current, r.hops) for r in chains.follow(spark, spark.createDataFrame(rows, "id bigint, next bigint")).collect()}
