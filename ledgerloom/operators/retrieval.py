@@ -91,24 +91,60 @@ def hybrid(pages: DataFrame, request: Request, candidates: int = 5, more: dict[s
     return results, counts.select("channel", F.coalesce("n", F.lit(0)).alias("n_candidates"), (F.coalesce("n", F.lit(0)) >= most).alias("window_full"))
 
 
-def ratio_pairs(names: DataFrame, authority: DataFrame, least: float = 0.6) -> DataFrame:
-    """name, best, ratio: all pairs of a name and an authority name within an edit ratio.
+def _far_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """name, best: pairs of ``a`` (name) and ``b`` (best) for ``ratio_pairs``, among them all within the ratio.
 
     A ratio of at least r needs lengths within a factor r, and among the pieces that a name of n characters is cut into
-    (more pieces than edits allowed) one that the other has unchanged. Names meet by (piece, shift of its place), not all
-    by all.
+    (more pieces than edits allowed) one that the other has unchanged. Names meet by piece.
     """
     cut = lambda n: F.floor((1 - F.lit(least)) * n / F.lit(least)).cast("int") + 1  # noqa: E731  (edits that the longer partner allows, plus one)
-    a = names.select(F.col("name")).where("name is not null and name <> ''").distinct().withColumn("n", F.length("name"))
+    a, b = a.withColumn("n", F.length("name")), b.withColumn("m", F.length("best"))
     pieces = a.withColumn("k", F.least(cut(F.col("n")), F.col("n"))).select("name", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     start = F.floor(F.col("i") * F.col("n") / F.col("k")).cast("int")
     end = F.floor((F.col("i") + 1) * F.col("n") / F.col("k")).cast("int")
     pieces = pieces.select("name", "n", F.col("name").substr(start + 1, end - start).alias("piece"), (end - start).alias("size"), start.alias("at"))
-    b = authority.select(F.col("name").alias("best")).where("best is not null and best <> ''").distinct().withColumn("m", F.length("best"))
     sizes = pieces.groupBy("size").agg(F.max("at").alias("far"))
     grams = b.join(F.broadcast(sizes)).where("m >= size")  # a row for each piece length
     grams = grams.select("best", "m", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("size") + 1)).alias("p"), "size").select("best", "m", F.col("best").substr(F.col("p"), F.col("size")).alias("piece")).distinct()
-    pairs = pieces.join(grams, "piece").where((F.least("n", "m") >= F.greatest("n", "m") * least)).select("name", "best").distinct()
+    return pieces.join(grams, "piece").where((F.least("n", "m") >= F.greatest("n", "m") * least)).select("name", "best").distinct()
+
+
+def _close_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """name, best: pairs of ``a`` (name) and ``b`` (best) for ``ratio_pairs``, where the ratio allows few edits.
+
+    Two lengths n and m allow d edits. Of d + 1 pieces of the name some i-th (from 0) stands unchanged in the other, with
+    i edits before it and d - i behind it at most: the first up to whose end there are fewer edits than pieces. So a piece
+    meets few places of names of fitting length. Each edit changes at most two of the parities of characters, which are
+    compared before the names are.
+    """
+    edits = lambda n: F.floor((1 - least) * n + 1e-9).cast("int")
+    n, m, d, i = F.col("n"), F.col("m"), F.col("d"), F.col("i")
+    at = lambda k: F.floor(k * n / (d + 1)).cast("int")
+    size, apart = at(i + 1) - at(i), m - n
+    key = lambda c, place: F.xxhash64(n, d, i, F.substring(c, place + 1, size))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(x), F.lit(64)))
+    odd = lambda c: F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(bit(x)))
+    a = a.withColumns({"n": F.length("name"), "a_odd": odd("name")})
+    a = a.select("*", F.explode(F.sequence(edits(n), edits(F.floor(n / least + 1e-9)))).alias("d"))
+    a = a.select("*", F.explode(F.sequence(F.lit(0), d)).alias("i")).select("name", "a_odd", "d", key("name", at(i)).alias("key"))
+    b = b.withColumns({"m": F.length("best"), "b_odd": odd("best")})
+    b = b.select("*", F.explode(F.sequence(F.ceil(m * least - 1e-9).cast("int"), F.floor(m / least + 1e-9).cast("int"))).alias("n"))
+    b = b.withColumn("d", edits(F.greatest(n, m))).select("*", F.explode(F.sequence(F.lit(0), d)).alias("i"))
+    first = F.greatest(F.lit(0), at(i) + F.greatest(-i, apart - d + i))
+    last = F.least(m - size, at(i) + F.least(i, apart + d - i))
+    b = b.select("*", F.explode(F.when(first <= last, F.sequence(first, last))).alias("place")).select("best", "b_odd", key("best", F.col("place")).alias("key"))
+    met = a.join(b, "key").where(F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd"))) <= 2 * d)
+    return met.where(F.call_function("levenshtein", F.col("name"), F.col("best"), d) >= 0).select("name", "best").distinct()
+
+
+def ratio_pairs(names: DataFrame, authority: DataFrame, least: float = 0.6) -> DataFrame:
+    """name, best, ratio: all pairs of a name and an authority name within an edit ratio.
+
+    Names meet by pieces that stand unchanged in both, not all by all.
+    """
+    a = names.select(F.col("name")).where("name is not null and name <> ''").distinct()
+    b = authority.select(F.col("name").alias("best")).where("best is not null and best <> ''").distinct()
+    pairs = _close_pairs(a, b, least) if least >= 0.9 else _far_pairs(a, b, least)
     return pairs.withColumn("ratio", fn.title_ratio(F.col("name"), F.col("best"))).where(F.col("ratio") >= least)
 
 

@@ -67,6 +67,39 @@ def test_ratio_top(spark, least):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [0.9, 0.95])
+def test_ratio_pairs_of_long_names(spark, least):
+    import random
+
+    rng = random.Random(9)
+
+    def edited(text, n):
+        text = list(text)
+        for _ in range(n):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "é", "😀", "ab"])
+        return "".join(text)
+
+    base = ["".join(rng.choice("aab 😀é") for _ in range(rng.choice([1, 9, 19, 20, 39, 40, 41, 60, 61, 90]))) for _ in range(30)]
+    names, authority = [edited(x, k) for x in base for k in range(7)], base + [edited(x, 1) for x in base]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {(a, b) for a in set(names) if a for b in set(authority) if b and 1 - edits(a, b) / max(len(a), len(b)) >= least}
+    assert any(edits(a, b) >= 4 for a, b in want)
+    df = lambda v: spark.createDataFrame([(x,) for x in v], "name string")
+    pairs = retrieval.ratio_pairs(df(names), df(authority), least)
+    assert {(r.name, r.best) for r in pairs.collect()} == want and pairs.count() == len(want)
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()  # no name meets every length of piece
+
+
 def test_permutation(spark):
     members = spark.createDataFrame([(f"m{i}", "a" if i < 10 else "b", float(i)) for i in range(20)], "member string, stratum string, x double")
     whole = spark.createDataFrame([("g", f"m{i}") for i in range(20)] + [("one", "m1"), (None, "m1")], "grp string, member string")
