@@ -141,6 +141,23 @@ def test_coherence_null(spark, width):
         resampling.coherence_null(spark, p.withColumn("stratum", F.lit(None).cast("int")), inc, ["concepts"])
 
 
+def test_coherence_null_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import aggregates
+
+    items = [[f"w{j}" for j in range(i % 7)] + [f"r{(i * k) % 997}" for k in range(1, i % 5)] for i in range(900)]
+    p = spark.createDataFrame([(i, 2000 + i % 3, sorted(set(x)), [f"d{i % 4}"]) for i, x in enumerate(items)], "member int, stratum int, concepts array<string>, disciplines array<string>")
+    inc = spark.createDataFrame([(f"g{g}", i) for g in range(4) for i in range(g, 900, g * g + 1)] + [("few", 3), ("few", 10), ("few", 11)], "grp string, member int")
+    out = resampling.coherence_null(spark, p, inc, ["concepts", "disciplines"], draws=39)
+    for f in ("concepts", "disciplines"):  # a group in tables with items too rare for them, and one in runs
+        seen = aggregates.coherence(inc, p.select("member", F.col(f).alias("items"))).agg(F.avg("coherence")).first()[0]
+        assert out.where((F.col("field") == f) & (F.col("draw") == 0)).first().value == pytest.approx(seen, abs=1e-12)
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    copies = 2 * spark.sparkContext.defaultParallelism
+    assert sizes == [2 * 40 // copies] * copies  # all draws, as many in each task; the tables are sent no more often than that
+
+
 def test_permutation_query(spark, data):
     from ledgerloom.plans import core_queries
 
