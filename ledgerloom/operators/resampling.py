@@ -117,7 +117,7 @@ def _macro_coherence(group: np.ndarray, member: np.ndarray, sizes: np.ndarray, i
             by = np.argsort(kinds, kind="stable")
             ends = np.searchsorted(kinds[by], np.arange(k + 1))
             codes = counted if lo < tables else run
-            key, at = np.empty(np.dot(np.diff(ends), lengths), start.dtype), 0
+            key, at = np.empty(int(np.dot(np.diff(ends)[: len(lengths)], lengths)), start.dtype), 0
             for c, size in enumerate(lengths):
                 x = by[ends[c] : ends[c + 1]]
                 part = key[at : at + size * len(x)].reshape(size, len(x))
@@ -193,7 +193,7 @@ def coherence_null(spark, profiles: DataFrame, incidence: DataFrame, fields: lis
                     has[a : a + c] = a + rng.permutation(c)
             out += [(draw, f, value(has)) for f, value in ways]
         drawn, names, found = zip(*out)
-        yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.int32()), pa.array(names, pa.string()), pa.array(found, pa.float64())], ["draw", "field", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.int32()), pa.array(names, pa.string()), pa.array(found, pa.float64(), from_pandas=True)], ["draw", "field", "value"])
 
     return parts.repartitionById(chunks, "chunk").mapInArrow(run, "draw int, field string, value double")  # each chunk a partition of its own
 

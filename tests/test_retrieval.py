@@ -158,6 +158,14 @@ def test_coherence_null_is_spread(spark):
     assert sizes == [2 * 40 // copies] * copies  # all draws, as many in each task; the tables are sent no more often than that
 
 
+def test_coherence_null_of_nothing(spark):
+    p = spark.createDataFrame([(i, 2000, [], ["a"] if i == 5 else []) for i in range(6)], "member int, stratum int, concepts array<string>, disciplines array<string>")
+    inc = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3), ("h", 4), ("h", 5)], "grp string, member int")
+    assert [r.value for r in resampling.coherence_null(spark, p, inc, ["concepts", "disciplines"], draws=3).collect()] == [0.0] * 8
+    alone = resampling.coherence_null(spark, p, inc.where("member = 1"), ["concepts"], draws=3).collect()
+    assert len(alone) == 4 and all(r.value is None for r in alone)  # no group of two
+
+
 def test_permutation_query(spark, data):
     from ledgerloom.plans import core_queries
 
